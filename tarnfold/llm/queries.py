@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .mixing import op1_weighted_fair_queueing
+from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fair_queueing,
+        op3_probminhash_near_duplicates,
         op10_best_fit_swaps,
     )
 }
