@@ -5,14 +5,17 @@ from __future__ import annotations
 from .mixing import op1_weighted_fair_queueing
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
+from .quality import ORACLE_SQL as QUALITY_SQL
+from .quality import op8_host_quality_rules
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fair_queueing,
         op3_probminhash_near_duplicates,
+        op8_host_quality_rules,
         op10_best_fit_swaps,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_host_quality_rules": QUALITY_SQL}
