@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
     def cut(rows):
         import pyarrow as pa
 
-        encoder = Encoder(path)
+        encoder = Encoder.shared(path)
         for batch in batches(rows):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(batch.column("text").to_pylist())):

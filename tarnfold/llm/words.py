@@ -1,17 +1,19 @@
 """Fast exact token ids for whole texts, on top of the tokenizer library.
 
-The byte-level vocabulary splits text before a single space that stands between two words, and around
-a single newline, so a text's ids are the ids of its pieces in a row.  Pieces repeat; their ids are
-kept, and the missing ones of a batch are encoded together.  Texts with any other white space are
-encoded whole.
+The byte-level vocabulary never joins what stands on the two sides of the start of `` x``, a space before
+another character; nor does it join a line break that stands between two words to either.  So a text's
+ids are the ids of its pieces in a row.  Pieces repeat: their ids are kept, and the missing ones of a
+batch are encoded together.  Texts with other white space are cut before such spaces only.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
 #: Pieces kept per worker; the table starts afresh beyond that.
-KEEP = 250_000
+KEEP = 800_000
 END_ID = 2
 
 
@@ -22,27 +24,39 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    def __init__(self, path: str | None = None):
+    """``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
+    space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path or tokenizer_path())
+        self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.whole.get_vocab()
         self.opens = np.zeros(len(vocabulary) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
         self.newline = vocabulary["Ċ"]
         self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    @staticmethod
+    def shared(path: str | None = None) -> Encoder:
+        """One for each process: workers run many tasks."""
+        path = path or tokenizer_path()
+        kept = sys.__dict__.setdefault("_tarnfold_encoders", {})
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def learn(self, missing: list[str]) -> None:
-        """Pieces hold no white space, but for a newline at the start; the others stand after a space."""
-        if len(self.known) + len(missing) > KEEP:
-            self.known.clear()
+        """Adds pieces without white space but a line break at the start."""
         for group in ([p for p in missing if p[0] != "\n"], [p for p in missing if p[0] == "\n"]):
             for i in range(0, len(group), 4000):
                 part = group[i : i + 4000]
@@ -51,46 +65,77 @@ class Encoder:
                 at = np.flatnonzero(ids == self.newline) if breaks else np.flatnonzero(self.opens[ids])
                 if len(at) != len(part) or at[0]:
                     raise ValueError("a piece holds white space")
-                raw, ends = ids.tobytes(), np.append(at[1:], len(ids)).tolist()
-                for piece, a, b in zip(part, at.tolist(), ends):
-                    self.known[piece] = raw[2 * a : 2 * b]
+                raw, cuts = ids.tobytes(), (2 * np.append(at, len(ids))).tolist()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
     def pieces(self, text: str) -> list[str] | None:
-        """None if the text must be encoded whole."""
+        """The pieces of a text that has single spaces and line breaks between words only; the first stands after a line break."""
         if not text or "\n\n" in text or "  " in text or " \n" in text or "\n " in text:
             return None
         found = ("\n" + text.replace("\n", " \n")).split(" ")
-        if len(found) != len(text.split()) or found[-1] == "\n" or found[0] == "\n" or text[-1] == " ":
+        if found[-1] in ("", "\n") or found[0] == "\n" or len(found) != len(text.split()):
             return None
         return found
 
+    def glued(self, text: str) -> list[str]:
+        """The pieces of any text: it is cut before each space that another character follows."""
+        out: list[str] = []
+        for part in text.split(" "):
+            if out and (not part or part[0].isspace()):
+                out[-1] += " " + part
+            else:
+                out.append(" " + part if out else part)
+        return out if out != [""] else []
+
+    def odd_ids(self, piece: str) -> bytes:
+        found = self.odd.get(piece)
+        if found is None:
+            if len(self.odd) > 50_000:
+                self.odd.clear()
+            found = self.odd[piece] = self._ids(piece).tobytes()
+        return found
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end, as unsigned 16-bit integers."""
+        if len(self.known) > KEEP:
+            self.known.clear()
         split = [self.pieces(t) for t in texts]
-        known = self.known
-        missing = {p for s in split if s for p in s if p not in known}
-        if missing:
-            self.learn(sorted(missing))
-            if len(known) == len(missing):  # begun afresh
-                again = {p for s in split if s for p in s if p not in known}
-                if again:
-                    self.learn(sorted(again))
+        found, missing = self.lookup(split)
         out = []
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self._ids(t) if t else np.zeros(0, np.uint16))
+        for t, ids in zip(texts, found):
+            if ids is None:
+                out.append(np.frombuffer(b"".join(map(self.odd_ids, self.glued(t))), np.uint16))
             else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint16)[1:])
+                out.append(np.frombuffer(b"".join(ids), np.uint16)[1:])
         return out
 
+    def lookup(self, split: list) -> tuple[list, int]:
+        """Ids of each piece of each list, and how many pieces had to be encoded."""
+        get = self.known.get
+        found = [None if s is None else list(map(get, s)) for s in split]
+        holes = []
+        for s, ids in zip(split, found):
+            if ids is not None and None in ids:
+                at = -1
+                try:
+                    while True:
+                        at = ids.index(None, at + 1)
+                        holes.append((s, ids, at))
+                except ValueError:
+                    pass
+        missing = {s[at] for s, _, at in holes}
+        self.learn(sorted(missing))
+        for s, ids, at in holes:
+            ids[at] = self.known[s[at]]
+        return found, len(missing)
+
 
 def batches(rows, chars: int = 2_000_000):
     """Slices of Arrow record batches with about so many bytes of text each; long texts come alone."""
-    for batch in rows:
-        sizes = batch.column("text")
-        import pyarrow.compute as pc
+    import pyarrow.compute as pc
 
-        ends = np.cumsum(np.nan_to_num(pc.binary_length(sizes).to_numpy(zero_copy_only=False)))
+    for batch in rows:
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
         start, n = 0, batch.num_rows
         while start < n:
             base = ends[start - 1] if start else 0
