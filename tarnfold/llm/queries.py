@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .counting import op4_edit_aware_token_counts
 from .mixing import op1_weighted_fair_queueing
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
@@ -13,6 +14,7 @@ QUERIES = {
     for f in (
         op1_weighted_fair_queueing,
         op3_probminhash_near_duplicates,
+        op4_edit_aware_token_counts,
         op8_host_quality_rules,
         op10_best_fit_swaps,
     )
