@@ -6,8 +6,10 @@ from .counting import op4_edit_aware_token_counts
 from .mixing import op1_weighted_fair_queueing
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
+from .pii import op7_boosted_candidates
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op8_host_quality_rules
+from .secrets import op6_blob_ledger_secrets
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +17,8 @@ QUERIES = {
         op1_weighted_fair_queueing,
         op3_probminhash_near_duplicates,
         op4_edit_aware_token_counts,
+        op6_blob_ledger_secrets,
+        op7_boosted_candidates,
         op8_host_quality_rules,
         op10_best_fit_swaps,
     )
