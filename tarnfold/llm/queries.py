@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .counting import op4_edit_aware_token_counts
+from .fingerprints import op2_homomorphic_fingerprints
 from .mixing import op1_weighted_fair_queueing
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
@@ -10,13 +11,16 @@ from .pii import op7_boosted_candidates
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op8_host_quality_rules
 from .secrets import op6_blob_ledger_secrets
+from .toxicity import op5_subword_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_weighted_fair_queueing,
+        op2_homomorphic_fingerprints,
         op3_probminhash_near_duplicates,
         op4_edit_aware_token_counts,
+        op5_subword_toxicity,
         op6_blob_ledger_secrets,
         op7_boosted_candidates,
         op8_host_quality_rules,
