@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .counting import op4_edit_aware_token_counts
 from .fingerprints import op2_homomorphic_fingerprints
+from .lm import op9_causal_attention_scores
 from .mixing import op1_weighted_fair_queueing
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
@@ -24,6 +25,7 @@ QUERIES = {
         op6_blob_ledger_secrets,
         op7_boosted_candidates,
         op8_host_quality_rules,
+        op9_causal_attention_scores,
         op10_best_fit_swaps,
     )
 }
