@@ -5,13 +5,12 @@ process whose arrivals land in the registers of a signature, each register once
 keeps the shingle that came first.  Two signatures agree in a register with the probability Jaccard
 similarity of the sets.  Arrivals stop once they are later than everything that the registers hold.
 
-Texts that agree in a band of registers are candidates, and candidates are links if the Jaccard
-similarity of their sets of shingles, taken from the whole texts, is at least 0.8.  Classes are the
-connected components of the links.  Equal texts are one node, found by digest, so copies never pair up.
-
-Within a band's group, all are first held against the least; groups that then still span several
-classes go on in rounds, each round holding the members of other classes against some more pivots,
-until every two members of different classes have met.  No group is ever expanded into all its pairs.
+Texts that agree in a band of registers are candidates.  Candidates that hang together make a cluster,
+and within a cluster every two texts are held against each other: links are those whose sets of shingles,
+taken from the whole texts, have a Jaccard similarity of at least 0.8.  Overlaps are counted shingle by
+shingle, so no pair becomes a row, and a link is passed on only if it joins what earlier ones left apart.
+A large cluster is dealt in blocks, each two of which meet in a task of bounded size.  Classes are the
+connected components of the links.  Equal texts are one node, found by digest, so copies never meet.
 
 Defined results: null and empty texts are one class of equal (empty) texts; a text of one to four words
 is one shingle; repeated rows fall into one class; a class is named by its least doc_id that isn't null
@@ -28,13 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, whole_text
 from .components import components
-from .shingles import Powers, jaccard, scramble, shingle_counts, word_hashes
+from .shingles import Powers, scramble, shingle_counts, word_hashes
 from .words import batches
 
 SIMILARITY = 0.8
 #: Registers in a band and bands: of pairs with 0.8, all but 3 in a million agree in a band.
 ROWS, BANDS = 6, 42
-PIVOTS = 16
+#: A block of a large cluster has about so many shingles at most, and so many texts.
+BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 1500
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -102,72 +102,137 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, node binary, n_shingles long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts are as similar as asked, from ``docs`` (text)."""
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def clusters(found: DataFrame) -> DataFrame:
+    """(node, n, cluster) for every node that shares a band; ``found`` is the stored output of signed()."""
+    nodes = found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).where("n > 0")
+    bands = stored(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
+    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    edges = bands.join(hubs, "band").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = components(edges)
+    sizes = nodes.select("node", "n")
+    own = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return own.join(sizes, "node").select("node", "n", F.col("root").alias("cluster"))
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """(node, unit, side) from clusters(): the tasks in which a node meets others.  A node of a cluster of k blocks is in k units."""
+    total = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS))
+    rows = members.join(total.select("cluster", blocks.alias("blocks")), "cluster")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select("node", unit.alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
+def unit_links(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join the texts of a unit, as pairs of positions; if there are two sides, one text is of either."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
+    at = np.zeros(n, np.int64)  # the place among its own side
+    at[left] = np.arange(len(left))
+    at[right] = np.arange(len(right))
+    shingle = np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shingle[order][1:] != shingle[order][:-1], [True])))
+    spread = np.diff(cuts)
+    common = np.zeros((len(left), len(right)), np.float32)
+    frequent = np.flatnonzero(spread > 24)
+    for k in range(0, len(frequent), 1024):
+        some = frequent[k : k + 1024]
+        has = np.zeros((n, len(some)), np.float32)
+        for c, f in enumerate(some):
+            has[owner[cuts[f] : cuts[f + 1]], c] = 1
+        common += has[left] @ has[right].T
+    for f in np.flatnonzero((spread > 1) & (spread <= 24)):
+        who = owner[cuts[f] : cuts[f + 1]]
+        a, b = (who[side[who] == 0], who[side[who] == 1]) if side.any() else (who, who)
+        if len(a) and len(b):
+            common[np.ix_(at[a], at[b])] += 1
+    x, y = np.nonzero((1 + similarity) * common.astype(np.float64) + 1e-6 >= similarity * (sizes[left][:, None] + sizes[right][None, :]))
+    x, y = left[x], right[y]
+    keep = (x != y) if side.any() else (x < y)
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(x[keep].tolist(), y[keep].tolist()):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between nodes that make up the classes, from ``docs`` (text)."""
+    members = stored(clusters(found), "clusters")
+    units = stored(dealt(members), "units")
+    # texts are shuffled once, by a merge join at every size; first of all copies are dropped
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("node"), whole_text().alias("text"))
-    texts = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text")), "b")
+    texts = texts.join(members.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    rows = texts.join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
 
-    def hold(rows):
+    def hold(batches_):
         import pyarrow as pa
 
-        powers, last, other = Powers(), None, None
-        for batch in batches(rows):
-            keep = []
-            for b, t_a, t_b in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text").to_pylist()):
-                if b != last:
-                    last, other = b, shingle_counts(word_hashes([t_b.encode()], powers)[0])[0]
-                keep.append(jaccard(shingle_counts(word_hashes([t_a.encode()], powers)[0])[0], other) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        powers = Powers()
+        unit, nodes, sets, side = None, [], [], []
 
-    return stored(both.select("a", "b", "text_a", "text").mapInArrow(hold, "a binary, b binary"), "links")
+        def done():
+            pairs = unit_links(sets, np.array(side), similarity) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
+        for batch in batches(batches_):
+            words, at = word_hashes([t.encode() for t in batch.column("text").to_pylist()], powers)
+            for u, node, s, p, q in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), batch.column("side").to_pylist(), at[:-1], at[1:]):
+                if u != unit:
+                    yield done()
+                    unit, nodes, sets, side = u, [], [], []
+                nodes.append(node)
+                sets.append(shingle_counts(words[p:q])[0])
+                side.append(s)
+        yield done()
 
-def near_classes(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """(node, root) for every node of a class of several; ``found`` is the stored output of signed()."""
-    nodes = found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).where("n > 0")
-    bands = stored(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
-    hubs = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    bands = stored(bands.join(hubs, "band"), "groups")
-    near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)  # noqa: E731  no set can be so similar to one of another size
-    met = stored(bands.where(F.col("node") != F.col("hub.node")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), near(F.col("n"), F.col("hub.n")).alias("near")).distinct(), "met")
-    links = verified(met.where("near").select("a", "b"), docs, similarity)
-    met, low = met.select("a", "b"), 0
-    while True:
-        roots = components(links)
-        own = bands.join(roots, bands["node"] == roots["node"], "left").select(bands["node"], "n", "band", F.coalesce("root", bands["node"]).alias("root"))
-        mixed = own.groupBy("band").agg(F.count("*").alias("members"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").where(F.col("members") > low + 1)
-        own = own.join(mixed, "band").withColumn("place", F.row_number().over(W.partitionBy("band").orderBy("node")))
-        own = stored(own.select("band", "node", "n", "root", "place"), "mixed")
-        p = own.where(F.col("place").between(low + 1, low + pivots)).select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"))
-        more = own.join(p, "band").where((F.col("place") > F.col("place_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b")))
-        more = stored(more.select(F.col("node").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti"), "more")
-        left = own.where(F.col("place") > low + pivots).limit(1).count()
-        new = verified(more, docs, similarity) if more.limit(1).count() else None
-        if new is not None:
-            met, links = met.unionByName(more), links.unionByName(new)
-        if not left:
-            return components(links) if new is not None else roots
-        low, pivots = low + pivots, 2 * pivots
+    return stored(rows.select("unit", "node", "side", "text").mapInArrow(hold, "a binary, b binary"), "links")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, root, class_id, keep) per row; ``keep`` marks the rows of the representative's doc_id and text."""
-    found = stored(signed(docs), "signed")
-    roots = near_classes(found, docs, similarity)
+def named(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per node: root, class_id, and the representative of its class (``head_node``, ``head_doc``)."""
     copies = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     copies = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = copies.groupBy("root").agg(F.min_by(F.struct("least", "node"), F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
-    named = F.coalesce(F.col("head.least"), -F.abs(F.shiftright(F.xxhash64("root"), 1)) - 1)
-    copies = copies.join(heads, "root").select("node", "root", named.alias("class_id"), F.col("head.least").alias("_least"), (F.col("head.node") == F.col("node")).alias("_head"))
-    copies = stored(copies, "copies")
-    return found.select("doc_id", "node").join(copies, "node").select("doc_id", "node", "root", "class_id", (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("_least"))).alias("keep"))
+    class_id = F.coalesce(F.col("head.least"), -F.abs(F.shiftright(F.xxhash64("root"), 1)) - 1)
+    out = copies.join(heads, "root").select("node", "root", class_id.alias("class_id"), F.col("head.node").alias("head_node"), F.col("head.least").alias("head_doc"))
+    return stored(out, "classes")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, node, class_id, representative) per row; the representative's exact copies of one doc_id all carry the mark."""
+    found = stored(signed(docs), "signed")
+    names = named(found, components(links(found, docs, similarity)))
+    mark = (F.col("head_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("head_doc"))
+    return found.select("doc_id", "node").join(names, "node").select("doc_id", "node", "class_id", mark.alias("representative"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of ``docs`` (doc_id, text and others): of the representative's exact copies, any one."""
+    narrow = docs.select("doc_id", "text")
+    found = stored(signed(narrow), "signed")
+    names = named(found, components(links(found, narrow, similarity)))
+    heads = names.where("node = head_node").select("node", "head_doc")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.md5(whole_text())).alias("node")).join(heads.hint("merge"), "node")
+    rows = rows.where(F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head_doc")))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("doc")))).where("place = 1").select("doc.*")
 
 
 def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", F.col("keep").alias("representative"))
+    return classes(docs).select("doc_id", "class_id", "representative")

@@ -59,14 +59,3 @@ def shingle_counts(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, n
     mixed = np.sort(scramble(mixed))
     first = np.flatnonzero(np.concatenate(([True], mixed[1:] != mixed[:-1])))
     return mixed[first], np.diff(np.append(first, len(mixed)))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two ascending arrays of distinct values; 1 if both are empty."""
-    if not len(a) and not len(b):
-        return 1.0
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
-    return shared / (len(a) + len(b) - shared)
