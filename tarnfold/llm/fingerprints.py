@@ -32,8 +32,8 @@ _SPACING = 21
 _ONES = sum(1 << _SPACING * i for i in range(3))
 _MODULO = sum(((1 << 20) - 1) << _SPACING * i for i in range(3))
 PARAGRAPH_END = r"\n|(?<=[.!?])\x20"
-#: Documents in a bucket of neighbouring doc_ids, as an average.
-BUCKET_ROWS = 256
+#: Documents in a bucket of neighbouring doc_ids, as an average, at least; and the number of buckets, at most about twice that.
+BUCKET_ROWS, BUCKETS = 256, 200_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -87,21 +87,22 @@ def text_of(print_: Column) -> Column:
     return F.concat(F.lower(F.hex(print_[0])), F.lit("-"), F.lower(F.array_join(F.transform(F.slice(print_, 2, F.size(print_) - 1), lambda w: F.lpad(F.hex(w), 16, "0")), "")))
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``next``, a struct of ``columns`` of the document that follows in descending doc_id.
 
     Rows are sorted within buckets of neighbouring ids; the first of each bucket also goes, as a guest, to
-    the end of the bucket before.  The table of firsts has one row a bucket.
+    the end of the bucket before.  The table of firsts has one row of two numbers a bucket, ``2 * buckets``
+    at most, so it is broadcast; buckets grow beyond that.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low + 1) * bucket_rows // max(1, n))
+    width = 1 if low is None else max(1, (high - low + 1) * max(bucket_rows, n // buckets) // max(1, n))
     docs = docs.withColumn("_bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
     docs = docs.withColumn("_digest", F.xxhash64("text"))
     firsts = docs.groupBy("_bucket").agg(F.max("doc_id").alias("_first"))
     order = W.orderBy(F.desc("_bucket"))
     host = F.coalesce(F.lag("_bucket").over(order), F.last("_bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     firsts = firsts.select("_first", host.alias("_host"))
-    rows = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left").drop("_first")
+    rows = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left").drop("_first")
     stay = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("_host").alias("bucket"), F.lit(1).alias("guest"))
     rows = rows.withColumn("_place", F.explode(F.when(F.col("_host").isNull(), F.array(stay)).otherwise(F.array(stay, visit))))
