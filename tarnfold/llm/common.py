@@ -45,13 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(df: DataFrame, *by: Column) -> DataFrame:
-    """Adds ``row_no``, which tells rows of one doc_id apart; ``by`` orders them.
+    """Adds ``row_key``, a hash of doc_id, and ``row_no``, which tells rows of one key apart; ``by`` orders them.
 
-    Rows that also tie on ``by`` are interchangeable for the caller.
+    The key is never null, so that windows and joins on it share one partitioning.  Rows that also tie on
+    ``by`` are interchangeable for the caller.
     """
     from pyspark.sql import Window as W
 
-    return df.withColumn("row_no", F.row_number().over(W.partitionBy("doc_id").orderBy(*by)))
+    df = df.withColumn("row_key", F.xxhash64("doc_id"))
+    return df.withColumn("row_no", F.row_number().over(W.partitionBy("row_key").orderBy("doc_id", *by)))
 
 
 def held_out_mod(n: int, remainder: int) -> Column:

@@ -84,14 +84,13 @@ def _running(rows: DataFrame, groups: list, part: str, order: list, amount: str,
     return both.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within", *[f"_{c}" for c in cells])
 
 
-def in_order(served: DataFrame, budget: float | None = None) -> DataFrame:
+def in_order(served: DataFrame, n_docs: int, budget: float | None = None) -> DataFrame:
     """The mix itself: what is served, with its ``position`` (words before it) in the order of virtual finish times, up to the budget.
 
     Ranges of the finish time are sorted one by one; their totals say where each begins.
     """
-    ranges = served.agg(F.ceil(F.count("*") / F.lit(float(SLICE_ROWS))).alias("n_ranges"))
-    rows = served.where("served > 0").crossJoin(F.broadcast(ranges))  # one row
-    rows = rows.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(2.0)) * F.col("n_ranges"))).drop("n_ranges")
+    n_ranges = max(1, -(-n_docs // SLICE_ROWS))
+    rows = served.where("served > 0").withColumn("range", F.floor(F.least(F.col("finish"), F.lit(2.0)) * F.lit(n_ranges)))
     keys = [c for c in ("source", "doc_id", "size", "row_no", "copy") if c in served.columns]
     rows = _running(rows, [], "range", ["finish", *keys], "served", over=[], steps=["range"])
     rows = rows.withColumnRenamed("before", "position").drop("range")
@@ -102,11 +101,27 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, source, text and others) with each row as often as the mix takes it; one that it takes in part counts if that is half of it or more.
+
+    Texts are shuffled once, by the key that also numbers the rows of a doc_id.
+    """
+    def rows(*more):
+        return keyed(docs.select("doc_id", "source", size_of().alias("size"), *more), F.col("source"), F.col("size"))
+
+    enough = (F.col("served") > 0) & (2 * F.col("served") >= F.col("size"))
+    copies = mix(rows()).where(enough).groupBy("row_key", "row_no").agg(F.count("*").cast("int").alias("copies"))
+    copies = copies.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("row_no", "copies"))).alias("copies"))
+    all_ = rows(F.struct(*docs.columns).alias("doc")).join(copies.hint("merge"), "row_key")
+    times = F.coalesce(F.try_element_at("copies", "row_no"), F.lit(0))
+    return all_.withColumn("again", F.explode(F.array_repeat(F.lit(True), times))).select("doc.*")
+
+
 def op1_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of().alias("size"))
     served = mix(keyed(docs, F.col("source"), F.col("size")))
-    per_doc = ["doc_id", "row_no", "source", "size", "source_size", "target"]
-    place = in_order(served).select(*per_doc, "copy", F.col("served"), F.col("position"))
+    per_doc = ["doc_id", "row_key", "row_no", "source", "size", "source_size", "target"]
+    place = in_order(served, docs.count()).select(*per_doc, "copy", F.col("served"), F.col("position"))
     idle = served.where("served = 0").select(*per_doc, "copy", F.col("served"), F.lit(None).cast("long").alias("position"))
     taken = [F.sum("served").alias("taken"), F.min("position").alias("position")]
-    return place.unionByName(idle).groupBy(*per_doc).agg(*taken).drop("row_no", "source")
+    return place.unionByName(idle).groupBy(*per_doc).agg(*taken).drop("row_key", "row_no", "source")

@@ -161,6 +161,14 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.reverse(spans), start, put)["text"]).otherwise(text)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced by marks, and n_chars, if it is there, counted again; null texts stay."""
+    clean = let(F.col("text"), lambda t: redacted(t, personal_spans(t)))
+    columns = {"text": F.when(F.col("text").isNotNull(), clean)}
+    out = docs.withColumns(columns)
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
 def op7_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
     found = docs.select("doc_id", personal_spans(F.col("text")).alias("spans"))

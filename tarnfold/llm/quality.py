@@ -110,15 +110,11 @@ def host_rates(stats: DataFrame) -> DataFrame:
     failed = (base_failed() | breaks(False)).cast("double")
     hosts = stats.groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(failed).alias("failures"))
     rate = F.col("failures") / F.col("host_docs")
-    total = hosts.agg(
-        (F.sum("failures") / F.sum("host_docs")).alias("m"),
-        F.var_pop(rate).alias("spread"), F.avg(1 / F.col("host_docs")).alias("per_host"),
-    )
-    bound = F.col("m") * (1 - F.col("m"))
-    v = F.greatest(F.col("spread") - bound * F.col("per_host"), F.lit(1e-9))
-    total = total.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1000.0), bound / v - 1)).alias("s"))
-    hosts = hosts.crossJoin(F.broadcast(total))  # one row
-    return hosts.select("source", "host_docs", ((F.col("failures") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))).alias("host_rate"))
+    m, spread, per_host = hosts.agg(F.sum("failures") / F.sum("host_docs"), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
+    m = m or 0.0
+    v = max((spread or 0.0) - m * (1 - m) * (per_host or 0.0), 1e-9)
+    s = max(1.0, min(1000.0, m * (1 - m) / v - 1))
+    return hosts.select("source", "host_docs", ((F.col("failures") + F.lit(m * s)) / (F.col("host_docs") + F.lit(s))).alias("host_rate"))
 
 
 def judged(stats: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
@@ -129,6 +125,25 @@ def judged(stats: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | limit))
 
 
+def kept(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
+    """The rows of ``docs`` (source, text and others) that the rules keep.
+
+    Figures are made twice, for the hosts' rates and for the verdicts, so that texts are neither stored nor shuffled.
+    """
+    hosts = host_rates(stored(with_stats(docs.select("source", whole_text().alias("text"))), "stats")).withColumnRenamed("source", "_source")
+    figures = F.pandas_udf(_figures, STATS)(whole_text())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", figures.alias("figures")).select("doc", "source", "figures.*")
+    rows = rows.join(hosts, F.col("source").eqNullSafe(F.col("_source")))
+    limit = F.when(F.col("host_rate") >= bad_rate, breaks(True)).otherwise(breaks(False))
+    return rows.where(~(base_failed() | limit)).select("doc.*")
+
+
+def _figures(texts):
+    import pandas as pd
+
+    return pd.DataFrame([text_stats(t) for t in texts], columns=_NAMES)
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", whole_text().alias("text"))
     out = judged(stored(with_stats(docs), "stats"))
