@@ -137,31 +137,34 @@ def _test(m, valid: Column, t: Test) -> Column:
 
 
 def _plain(column: Column, kind: str, t: Test) -> Column:
-    """A test on a promoted column, kept in a form that the scan can take over."""
+    """A test on a promoted column, in a form that the scan can take over: null may stand for false."""
     numeric, v = kind in ("tinyint", "smallint", "int", "bigint", "float", "double"), t.value
     of_type = isinstance(v, float) if numeric else isinstance(v, bool) if kind == "boolean" else isinstance(v, str)
+    nan = isinstance(v, float) and math.isnan(v)
     if t.op in (">", ">=", "<", "<="):
-        if not (numeric and of_type) or math.isnan(v):
+        if not (numeric and of_type) or nan:
             return F.lit(False)
-        return _false({">": column > v, ">=": column >= v, "<": column < v, "<=": column <= v}[t.op])
+        return {">": column > v, ">=": column >= v, "<": column < v, "<=": column <= v}[t.op]
     if t.op == "CONTAINS":
-        return _false(F.contains(column, F.lit(v))) if kind == "string" and of_type else F.lit(False)
+        return F.contains(column, F.lit(v)) if kind == "string" and of_type else F.lit(False)
     if not of_type:
-        equal = F.lit(False)
-    elif numeric:
-        equal = _false((column > v - TOLERANCE) & (column < v + TOLERANCE)) if math.isfinite(v) else F.lit(False)
-    else:
-        equal = _false(column == v)
-    if t.op == "!=" and numeric and of_type and math.isnan(v):
-        return column.isNull()
-    return equal if t.op == "=" else ~equal
+        return F.lit(t.op == "!=")
+    if nan:
+        return column.isNull() if t.op == "!=" else F.lit(False)
+    if numeric and math.isinf(v):
+        return F.lit(t.op == "!=")
+    if t.op == "=":
+        return (column > v - TOLERANCE) & (column < v + TOLERANCE) if numeric else column == v
+    other = (column <= v - TOLERANCE) | (column >= v + TOLERANCE) if numeric else column != v
+    return column.isNull() | other
 
 
 def compile_filter(query: str | list[list[Test]], v: Column, promoted: dict[str, tuple[Column, str]] | None = None, compat: bool = False) -> Column:
     """A condition on documents ``v`` (VARIANT).
 
     ``promoted`` maps paths to typed columns of the table (column, type), which hold the member where it
-    has that type and null where it is missing; tests on them reach the file scan.
+    has that type and null where it is missing; tests on them reach the file scan.  The result is a
+    condition for ``where``: on promoted columns null may stand for false.
     """
     tests = parse_filter(query, compat) if isinstance(query, str) else query
     valid = v.isNotNull()
