@@ -47,8 +47,11 @@ def fingerprint(parts: Column) -> Column:
         put = lambda k: lambda acc, h: (acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_MODULO))
         return [F.aggregate(hashes, F.lit(0).cast("long"), put(k)) for k in range(_SPACING)]
 
+    def hashed(p: Column, seed: int) -> Column:
+        return F.transform(p, lambda x: F.xxhash64(F.lit(seed), x))
+
     def all_words(p: Column) -> Column:
-        each = [let(F.transform(p, lambda x, s=s: F.xxhash64(F.lit(s), x)), lambda h: F.array(*words(h))) for s in SEEDS]
+        each = [let(hashed(p, seed), lambda h: F.array(*words(h))) for seed in SEEDS]
         return F.concat(F.array(F.size(p).cast("long")), *each)
 
     return let(parts, all_words)
