@@ -14,7 +14,7 @@ connected components of the links.  Equal texts are one node, found by digest, s
 
 Defined results: null and empty texts are one class of equal (empty) texts; a text of one to four words
 is one shingle; repeated rows fall into one class; a class is named by its least doc_id that isn't null
-(by a negative number from its digest if all are null); an empty table gives no rows; other columns are
+(by a negative number from its digest if all are null, or if that doc_id names another class); an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -177,7 +177,7 @@ def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     units = stored(dealt(members), "units")
     # texts are shuffled once, by a merge join at every size; first of all copies are dropped
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("node"), whole_text().alias("text"))
-    texts = texts.join(members.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").hint("merge"), "node", "left_semi")
     rows = texts.join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
 
     def hold(batches_):
@@ -209,8 +209,10 @@ def named(found: DataFrame, roots: DataFrame) -> DataFrame:
     copies = found.groupBy("node").agg(F.min("doc_id").alias("least"))
     copies = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = copies.groupBy("root").agg(F.min_by(F.struct("least", "node"), F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
-    class_id = F.coalesce(F.col("head.least"), -F.abs(F.shiftright(F.xxhash64("root"), 1)) - 1)
-    out = copies.join(heads, "root").select("node", "root", class_id.alias("class_id"), F.col("head.node").alias("head_node"), F.col("head.least").alias("head_doc"))
+    own = -F.abs(F.shiftright(F.xxhash64("root"), 1)) - 1
+    heads = heads.withColumn("class_id", F.coalesce(F.col("head.least"), own))
+    heads = heads.withColumn("class_id", F.when(F.row_number().over(W.partitionBy("class_id").orderBy("root")) == 1, F.col("class_id")).otherwise(own))
+    out = copies.join(heads, "root").select("node", "root", "class_id", F.col("head.node").alias("head_node"), F.col("head.least").alias("head_doc"))
     return stored(out, "classes")
 
 
