@@ -23,23 +23,44 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _tokenizers(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True  # their strings in a text are ordinary text
+    vocabulary = {t.replace("Ġ", " ").replace("Ċ", "\n").encode(): i for t, i in whole.get_vocab().items()}
+    return vocabulary, lambda text: whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def _tiktoken(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
-    """``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
+    """From a vocabulary file, by ``tokenizers`` (.json) or ``tiktoken`` (.tiktoken).
+
+    ``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
     space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.whole.get_vocab()
-        self.opens = np.zeros(len(vocabulary) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
-        self.newline = vocabulary["Ċ"]
+        if path.endswith(".json"):
+            vocabulary, self._encode = _tokenizers(path)
+        else:
+            vocabulary, self._encode = _tiktoken(path)
+        self.opens = np.zeros(max(vocabulary.values()) + 2, bool)  # and an id for an end
+        self.opens[[i for t, i in vocabulary.items() if t[:1] == b" "]] = True
+        self.newline = vocabulary[b"\n"]
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
@@ -53,7 +74,7 @@ class Encoder:
         return kept[path]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        return np.array(self._encode(text), np.uint16)
 
     def learn(self, missing: list[str]) -> None:
         """Adds pieces without white space but a line break at the start."""
@@ -124,7 +145,7 @@ class Encoder:
                 except ValueError:
                     pass
         missing = {s[at] for s, _, at in holes}
-        self.learn(sorted(missing))
+        self.learn(list(missing))
         for s, ids, at in holes:
             ids[at] = self.known[s[at]]
         return found, len(missing)
