@@ -32,13 +32,14 @@ def _board(rows: DataFrame, before: int) -> DataFrame:
     return rows.select(place.cast("long").alias("rank"), F.col("key").alias("uuid"), "score").orderBy("rank")
 
 
-def _limit(limit: int | None, default: int) -> int:
-    return min(MOST, default if limit is None else max(0, limit))
+def _limit(limit: int | None, default: int, most: int | None) -> int:
+    n = default if limit is None else max(0, limit)
+    return n if most is None else min(n, most)
 
 
-def top_n(board: DataFrame, limit: int | None = None) -> DataFrame:
+def top_n(board: DataFrame, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """The best ``limit`` (10; 1000 at most)."""
-    return _board(board.orderBy(*_best()).limit(_limit(limit, TOP_LIMIT)), 0)
+    return _board(board.orderBy(*_best()).limit(_limit(limit, TOP_LIMIT, most)), 0)
 
 
 def rank_of_key(board: DataFrame, key: str) -> DataFrame:
@@ -72,26 +73,39 @@ def _around(board: DataFrame, centre: int, total: int, limit: int) -> DataFrame:
     return rank_range(board, first, last)
 
 
-def around_key(board: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+def around_key(board: DataFrame, key: str, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """``limit`` (10; 1000 at most) rows with the key in their middle; empty if it has no score.  The key's rank is looked up first."""
     own = rank_of_key(board, key).first()
-    return _around(board, own["rank"], own["total_ranked"], _limit(limit, TOP_LIMIT)) if own else rank_range(board, 0, 0)
+    return _around(board, own["rank"], own["total_ranked"], _limit(limit, TOP_LIMIT, most)) if own else rank_range(board, 0, 0)
 
 
-def around_score(board: DataFrame, target: float, limit: int | None = None) -> DataFrame:
+def around_score(board: DataFrame, target: float, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """``limit`` (10; 1000 at most) rows around the place where a score would be."""
     if math.isnan(target):
         raise ValueError("a score can't be NaN")
     found = board.agg(F.count_if(F.col("score") > target).alias("above"), F.count("*").alias("total")).first()
-    return _around(board, min(found["total"], found["above"] + 1), found["total"], _limit(limit, TOP_LIMIT))
+    return _around(board, min(found["total"], found["above"] + 1), found["total"], _limit(limit, TOP_LIMIT, most))
 
 
-def score_range(board: DataFrame, low: float, high: float, limit: int | None = None) -> DataFrame:
+def score_range(board: DataFrame, low: float, high: float, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """The best ``limit`` (50; 1000 at most) of the scores from low to high, both included, with their ranks on the whole board."""
     if math.isnan(low) or math.isnan(high):
         raise ValueError("a score can't be NaN")
     if low > high:
         return rank_range(board, 0, 0)
     above = board.agg(F.count_if(F.col("score") > high)).first()[0]
-    rows = board.where(F.col("score").between(low, high)).orderBy(*_best()).limit(_limit(limit, RANGE_LIMIT))
+    rows = board.where(F.col("score").between(low, high)).orderBy(*_best()).limit(_limit(limit, RANGE_LIMIT, most))
     return _board(rows, above)
+
+
+def rankings(board: DataFrame, mode: str = "top", limit: int = 50, key: str | None = None, score: float = 0.0, low: float = -math.inf, high: float = math.inf, first: int = 1, last: int = 50) -> DataFrame:
+    """The leaderboard operators by the name of a mode, without a cap on the limit; an unknown mode is the top."""
+    if mode == "around_key":
+        return around_key(board, key, limit, None) if key and key.strip() else rank_range(board, 0, 0)
+    if mode == "around_score":
+        return around_score(board, score, limit, None)
+    if mode == "score_range":
+        return score_range(board, low, high, limit, None)
+    if mode == "rank_range":
+        return rank_range(board, first, last)
+    return top_n(board, limit, None)

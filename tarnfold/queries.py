@@ -183,6 +183,11 @@ QUERIES: dict[str, Query] = {
     "around_score_end": lambda s, d: ops.around_score(board_of_events(s, d), -1.0, 7),
     "score_range": lambda s, d: ops.score_range(board_of_events(s, d), 50.0, 60.0, 1000),
     "rank_range": lambda s, d: ops.rank_range(_ties(s, d), 30, 250),
+    "rankings_uncapped": lambda s, d: ops.rankings(_ties(s, d), "top", 1500),
+    "rankings_around": lambda s, d: ops.rankings(_ties(s, d), "around_key", 20, key="event:77"),
+    "search": lambda s, d: ops.search(_docs(s, d), "CLICK").select("uuid", "label"),
+    "percentiles": lambda s, d: ops.percentiles(_read(s, d, "events"), "value"),
+    "byte_sizes": lambda s, d: _read(s, d, "customer").select("c_custkey", ops.byte_size(F.pow(F.lit(9), F.col("c_custkey") % 11).cast("long")).alias("size")),
     "latest_version": lambda s, d: latest_versions(_log(s, d)),
     "current_documents": lambda s, d: current_documents(_log(s, d)).select("key", "raw", "seq"),
     "delete_where": _delete_where,
@@ -240,6 +245,11 @@ ORACLE_SQL: dict[str, str] = {
     "around_score_end": f"WITH {BOARD} " + _around_sql("(SELECT least(count(*), 1 + count(*) FILTER (WHERE score > -1.0)) FROM r)", 7),
     "score_range": f"WITH {BOARD} SELECT * FROM r WHERE score BETWEEN 50.0 AND 60.0 ORDER BY rank LIMIT 1000",
     "rank_range": f"WITH {TIES} SELECT * FROM r WHERE rank BETWEEN 30 AND 250",
+    "rankings_uncapped": f"WITH {TIES} SELECT * FROM r WHERE rank <= 1500",
+    "rankings_around": f"WITH {TIES} " + _around_sql(f"(SELECT rank FROM r WHERE uuid = '{key_of('event:77')}')", 20),
+    "search": _E + "SELECT key AS uuid, key AS label FROM e WHERE raw LIKE '%click%'",
+    "percentiles": "WITH o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) SELECT avg(value) AS avg, min(value) AS min, max(value) AS max, max(value) FILTER (WHERE i = floor(n * 0.5)) AS p50, max(value) FILTER (WHERE i = floor(n * 0.9)) AS p90, max(value) FILTER (WHERE i = floor(n * 0.99)) AS p99 FROM o",
+    "byte_sizes": "SELECT c_custkey, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024.0) ELSE b || ' B' END AS size FROM (SELECT c_custkey, CAST(pow(9, c_custkey % 11) AS BIGINT) AS b FROM customer)",
     "latest_version": f"WITH {NEWEST} SELECT key, raw, seq, op FROM n",
     "current_documents": f"WITH {NEWEST} SELECT key, raw, seq FROM n WHERE op = 'PUT'",
     "delete_where": f"WITH {NEWEST} SELECT key, raw FROM n WHERE op = 'PUT' AND NOT coalesce(price >= 200000, false)",

@@ -167,6 +167,12 @@ class Session:
         found = [x.getPath().getName() for x in fs.listStatus(path(self.root)) if x.isDirectory()]
         return sorted(n for n in found if Log(self.spark, f"{self.root}/{n}").exists())
 
+    def details(self) -> DataFrame:
+        """(table, total_records, tombstones, keys, last_seq, value_bytes, size) of all tables, by name."""
+        rows = [(n, *self.table(n).stats().first()) for n in self.names()]
+        out = self.spark.createDataFrame(rows, "table string, total_records long, tombstones long, keys long, last_seq long, value_bytes long")
+        return out.withColumn("size", ops.byte_size(F.col("value_bytes"))).orderBy("table")
+
     def run(self, line: str) -> Any:
         """A DataFrame, a number, a text, or a list of those from EXEC."""
         c = parse_command(line)

@@ -151,3 +151,37 @@ def test_edits():
     assert set_member(None, "x", 1) == set_member("oops", "x", 1) == set_member("[1]", "x", 1) == '{"x":1}'
     assert set_member('{"a":5}', "a.b", "é") == '{"a":{"b":"é"}}'
     assert [literal_value(x) for x in ("'5'", "5", "1.5", "true", "NULL", "{\"a\":1}", "words")] == ["5", 5, 1.5, True, None, {"a": 1}, "words"]
+
+
+def test_reports(session):
+    fill(session)
+    t = session.table("players")
+    from tarnfold import operators as ops
+
+    assert {r.label for r in ops.search(t.documents(), "COINS").collect()} == {"herobrine", "alex", "steve"}
+    assert [r.label for r in t.keys(2).collect()] == [r.label for r in t.keys().limit(2).collect()]
+    assert t.find(" ALEX ").first().uuid == key_of("alex") == t.find(key_of("alex")).first().uuid
+    row = session.details().first()
+    assert (row.table, row.total_records, row.tombstones, row.size) == ("players", 4, 0, f"{row.value_bytes} B")
+    sizes = session.spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (5 * 2**20,), (3 * 2**30,)], "n long")
+    assert [r[0] for r in sizes.select(ops.byte_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1.00 KB", "1.50 KB", "5.00 MB", "3.00 GB"]
+    numbers = session.spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
+    assert ops.percentiles(numbers, "x").first().asDict() == {"avg": 50.5, "min": 1.0, "max": 100.0, "p50": 51.0, "p90": 91.0, "p99": 100.0}
+    assert ops.percentiles(numbers.limit(0), "x").first().p99 == 0.0
+
+
+def test_scan_arguments():
+    from tarnfold.operators.lookup import scan_arguments
+
+    assert scan_arguments([]) == (None, None, None) and scan_arguments(["5"]) == (None, None, 5) and scan_arguments(["a"]) == ("a", None, None)
+    assert scan_arguments(["0", "7"]) == ("0", None, 7) and scan_arguments(["a", "b"]) == ("a", "b", None) and scan_arguments(["a", "b", "3"]) == ("a", "b", 3)
+
+
+def test_scans(session):
+    fill(session)
+    keys = sorted(key_of(n) for n, *_ in PLAYERS)
+    ids = lambda line: [r.uuid for r in session.run(line).collect()]
+    assert ids("SCAN players") == ids("SCAN players - +") == keys
+    assert ids("SCAN players 2") == keys[:2] and ids(f"SCAN players {keys[1]} {keys[2]}") == keys[1:3]
+    assert ids("SCAN players 0") == keys[:1]  # a limit of 0 counts as 1
+    assert ids(f"SCAN players {keys[2]} {keys[1]}") == []
