@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table, whole_text
 from .words import batches
@@ -68,16 +69,22 @@ def text_stats(text: str) -> tuple:
     return len(words), len(text) - blank, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, upper + lower
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """Replaces ``text`` by the columns of STATS; all other columns go along."""
+def with_stats(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Replaces ``text`` by the columns of STATS; all other columns go along.
+
+    ``row`` names a struct column that has the text instead, and stays as it is.
+    """
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [STATS])
+    schema = T.StructType(kept + T.StructType.fromDDL(STATS).fields)
+
+    def text(batch):
+        return batch.column(row).field("text") if row else batch.column("text")
 
     def count(rows):
         import pyarrow as pa
 
-        for batch in batches(rows):
-            found = [text_stats(t) for t in batch.column("text").to_pylist()]
+        for batch in batches(rows, text):
+            found = [text_stats(t or "") for t in text(batch).to_pylist()]
             columns = [batch.column(f.name) for f in kept] + [pa.array(c, pa.int64()) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + _NAMES)
 
@@ -128,22 +135,17 @@ def judged(stats: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
 def kept(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     """The rows of ``docs`` (source, text and others) that the rules keep.
 
-    Figures are made twice, for the hosts' rates and for the verdicts, so that texts are neither stored nor shuffled.
+    Figures are made twice, for the hosts' rates and for the verdicts, so that texts are neither stored nor
+    shuffled: the table of hosts is stored, so that Spark knows its size and broadcasts it if it is small.
     """
-    hosts = host_rates(stored(with_stats(docs.select("source", whole_text().alias("text"))), "stats")).withColumnRenamed("source", "_source")
-    figures = F.pandas_udf(_figures, STATS)(whole_text())
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", figures.alias("figures")).select("doc", "source", "figures.*")
+    hosts = host_rates(stored(with_stats(docs.select("source", whole_text().alias("text"))), "stats"))
+    hosts = stored(hosts, "hosts").withColumnRenamed("source", "_source")
+    rows = with_stats(docs.select(F.struct(*docs.columns).alias("doc"), "source"), "doc")
     rows = rows.join(hosts, F.col("source").eqNullSafe(F.col("_source")))
     limit = F.when(F.col("host_rate") >= bad_rate, breaks(True)).otherwise(breaks(False))
     return rows.where(~(base_failed() | limit)).select("doc.*")
 
 
-def _figures(texts):
-    import pandas as pd
-
-    return pd.DataFrame([text_stats(t) for t in texts], columns=_NAMES)
-
-
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", whole_text().alias("text"))
     out = judged(stored(with_stats(docs), "stats"))
