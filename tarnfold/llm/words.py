@@ -12,8 +12,10 @@ import sys
 
 import numpy as np
 
+from .shingles import Powers, scramble
+
 #: Pieces kept per worker; the table starts afresh beyond that.
-KEEP = 800_000
+KEEP = 200_000
 END_ID = 2
 
 
@@ -23,46 +25,42 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizers(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
-    vocabulary = {t.replace("Ġ", " ").replace("Ċ", "\n").encode(): i for t, i in whole.get_vocab().items()}
-    return vocabulary, lambda text: whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-
-def _tiktoken(path: str):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
-    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others in order from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """From a vocabulary file, by ``tokenizers`` (.json) or ``tiktoken`` (.tiktoken).
+    """From a vocabulary file of ``tokenizers``.
+
+    Pieces of Latin letters, which are nearly all, are encoded by ``tiktoken`` from the same vocabulary, for
+    its speed; ``tokenizers`` does the rest, where the two libraries' tables of letters might differ.
 
     ``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
     space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space.
     """
 
     def __init__(self, path: str):
-        if path.endswith(".json"):
-            vocabulary, self._encode = _tokenizers(path)
-        else:
-            vocabulary, self._encode = _tiktoken(path)
-        self.opens = np.zeros(max(vocabulary.values()) + 2, bool)  # and an id for an end
-        self.opens[[i for t, i in vocabulary.items() if t[:1] == b" "]] = True
-        self.newline = vocabulary[b"\n"]
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        letters = _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {t["content"] for t in file["added_tokens"]}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
+        self._latin = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._path, self._whole = path, None
+        self.opens = np.zeros(max(ranks.values()) + 2, bool)  # and an id for an end
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.newline = ranks[b"\n"]
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
+        self.powers = Powers()
 
     @staticmethod
     def shared(path: str | None = None) -> Encoder:
@@ -74,18 +72,31 @@ class Encoder:
         return kept[path]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._encode(text), np.uint16)
+        if text.isascii() or max(text) < "\u0250":
+            return np.array(self._latin(text), np.uint16)
+        if self._whole is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+            self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        return np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def learn(self, missing: list[str]) -> None:
-        """Adds pieces without white space but a line break at the start."""
-        for group in ([p for p in missing if p[0] != "\n"], [p for p in missing if p[0] == "\n"]):
+        """Adds pieces: without spaces, and without line breaks but one at the start."""
+        latin = [p for p in missing if p.isascii() or max(p) < "\u0250"]
+        other = [p for p in missing if not (p.isascii() or max(p) < "\u0250")] if len(latin) < len(missing) else []
+        for group in ([p for p in g if (p[0] == "\n") == x] for g in (latin, other) for x in (False, True)):
             for i in range(0, len(group), 4000):
                 part = group[i : i + 4000]
                 breaks = part[0][0] == "\n"
                 ids = self._ids("".join(part) if breaks else " " + " ".join(part))
                 at = np.flatnonzero(ids == self.newline) if breaks else np.flatnonzero(self.opens[ids])
-                if len(at) != len(part) or at[0]:
-                    raise ValueError("a piece holds white space")
+                if len(at) != len(part):  # line breaks may melt into other white space
+                    self.known.update((p, self._ids(p if breaks else " " + p).tobytes()) for p in part)
+                    continue
                 raw, cuts = ids.tobytes(), (2 * np.append(at, len(ids))).tolist()
                 self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
@@ -118,18 +129,53 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end, as unsigned 16-bit integers."""
-        if len(self.known) > KEEP:
-            self.known.clear()
-        split = [self.pieces(t) for t in texts]
-        found, missing = self.lookup(split)
-        out = []
-        for t, ids in zip(texts, found):
-            if ids is None:
-                out.append(np.frombuffer(b"".join(map(self.odd_ids, self.glued(t))), np.uint16))
+        out: list = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t or "\n\n" in t or "  " in t or " \n" in t or "\n " in t or t[0].isspace() or t[-1] in " \n":
+                out[i] = np.frombuffer(b"".join(map(self.odd_ids, self.glued(t))), np.uint16)
             else:
-                out.append(np.frombuffer(b"".join(ids), np.uint16)[1:])
+                plain.append(i)
+        if plain:
+            found = self.grouped([texts[i].encode() for i in plain])
+            ids, ends = found.ids()
+            for i, a, b in zip(plain, ends[found.at[:-1]].tolist(), ends[found.at[1:]].tolist()):
+                out[i] = ids[a + 1 : b]  # without the line break before the text
         return out
 
+    def grouped(self, texts: list[bytes], breaks: bool = True, encode: bool = True) -> Grouped:
+        """The pieces of texts with single spaces and line breaks between words only, equal ones found by their hashes.
+
+        Without ``breaks`` every piece stands after a space.
+        """
+        if len(self.known) > KEEP:
+            self.known.clear()
+        joined = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(joined, np.uint8)
+        self.powers.reach(len(raw) + 1)
+        ends = np.flatnonzero((raw == 32) | (raw == 10))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(raw)], out=sums[1:])
+        key = scramble((sums[ends] - sums[starts]) * self.powers.down[starts])
+        if breaks:
+            broken = np.concatenate(([True], raw[ends[:-1]] == 10))
+            key[broken] = scramble(key[broken] + np.uint64(1))
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        own = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if breaks:
+            own = [b"\n" + w if x else w for w, x in zip(own, broken[first].tolist())]
+        pieces = [w.decode() for w in own]
+        at = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1))
+        if not encode:
+            return Grouped(pieces, [], inverse, at)
+        found = list(map(self.known.get, pieces))
+        missing = [p for p, x in zip(pieces, found) if x is None]
+        if missing:
+            self.learn(missing)
+            found = list(map(self.known.__getitem__, pieces))
+        return Grouped(pieces, found, inverse, at)
+
     def lookup(self, split: list) -> tuple[list, int]:
         """Ids of each piece of each list, and how many pieces had to be encoded."""
         get = self.known.get
@@ -151,12 +197,28 @@ class Encoder:
         return found, len(missing)
 
 
-def batches(rows, chars: int = 2_000_000):
+class Grouped:
+    """Distinct ``pieces`` with their ids, which piece stands at each place (``which``), and where each text begins (``at``, one more at the end)."""
+
+    def __init__(self, pieces: list[str], found: list[bytes], which: np.ndarray, at: np.ndarray):
+        self.pieces, self.found, self.which, self.at = pieces, found, which, at
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places in a row, and where each place's begin (one more at the end)."""
+        flat = np.frombuffer(b"".join(self.found), np.uint16)
+        sizes = np.fromiter(map(len, self.found), np.int64, len(self.found)) // 2
+        begin = np.cumsum(sizes) - sizes
+        each = sizes[self.which]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        return flat[np.repeat(begin[self.which] - ends[:-1], each) + np.arange(ends[-1])], ends
+
+
+def batches(rows, text=lambda batch: batch.column("text"), chars: int = 2_000_000):
     """Slices of Arrow record batches with about so many bytes of text each; long texts come alone."""
     import pyarrow.compute as pc
 
     for batch in rows:
-        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(text(batch)).to_numpy(zero_copy_only=False)))
         start, n = 0, batch.num_rows
         while start < n:
             base = ends[start - 1] if start else 0
