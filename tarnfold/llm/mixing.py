@@ -106,6 +106,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by the key that also numbers the rows of a doc_id.
     """
+
     def rows(*more):
         return keyed(docs.select("doc_id", "source", size_of().alias("size"), *more), F.col("source"), F.col("size"))
 

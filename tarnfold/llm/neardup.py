@@ -238,3 +238,15 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", "representative")
+
+
+#: The same in DuckDB, by counting shared shingles of all pairs and following links; for documents with unique ids and at least a word.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * shared >= {round(10 * SIMILARITY)} * (x.n + y.n - shared)),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.doc_id),
+m AS (SELECT doc_id, min(r) AS class_id FROM c GROUP BY doc_id)
+SELECT doc_id, class_id, doc_id = class_id AS representative FROM m"""

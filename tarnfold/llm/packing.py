@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table, whole_text
 from .words import END_ID, Encoder, batches, tokenizer_path
@@ -23,6 +24,8 @@ CAPACITY = 1024
 #: Pieces in a block, as an average, and the fill under which a bin is packed once more.
 BLOCK_PIECES = 60_000
 FULL = 0.97
+#: The effort of the local search.
+GIVERS, TAKERS, PAIRED = 64, 512, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -77,15 +80,16 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, round
     """Local search between underfull bins.
 
     A step moves a piece, or exchanges one or two pieces against one, so that the fuller bin gets fuller
-    still: each raises the sum of squared fills, so the search ends, and the emptiest bins run dry.
-    ``rounds`` bounds the passes over the bins; each pass takes the emptiest bin that is left as the giver.
+    still: each raises the sum of squared fills, so the search ends, and the emptiest bins run dry.  Effort is
+    bounded, by ``rounds`` passes, GIVERS of the emptiest and TAKERS of the fullest bins in each, and pairs of
+    pieces from bins of up to PAIRED pieces; every piece stays in a bin whatever the search leaves undone.
     """
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
     short = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
     for _ in range(rounds):
         changed = False
-        for k, giver in enumerate(short[:64]):
-            for taker in reversed(short[k + 1 :][-512:]):
+        for k, giver in enumerate(short[:GIVERS]):
+            for taker in reversed(short[k + 1 :][-TAKERS:]):
                 if not bins[giver]:
                     break
                 gap = capacity - fill[taker]
@@ -123,7 +127,7 @@ def _step(giver: list[int], taker: list[int], lengths: np.ndarray, gap: int):
     if gain.max(initial=0) > best:
         a, b = np.unravel_index(gain.argmax(), gain.shape)
         best, step = int(gain[a, b]), ([giver[a]], [taker[b]])
-    if best < gap and 2 <= len(g) <= 64 and len(t) <= 64:  # two for one
+    if best < gap and 2 <= len(g) <= PAIRED and len(t) <= PAIRED:  # two for one
         a, b = np.triu_indices(len(g), 1)
         gain = (g[a] + g[b])[:, None] - t[None, :]
         gain = np.where(gain <= gap, gain, 0)
@@ -143,18 +147,15 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
     ``found`` must be a stored table: its rows are counted first, to size the blocks.
     """
     n_blocks = max(1, -(-found.count() // block_pieces))
-    schema = found.schema.simpleString()[7:-1].replace(":", " ")
-
-    def first(keys, t):
-        return packed(t, keys[0].as_py() if hasattr(keys[0], "as_py") else keys[0], 0)
 
     def packed(t, block, level):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        lengths = t.column("length").to_numpy()
-        if level:
-            order = np.lexsort((t.column("ids_crc32").to_numpy(), lengths))
-            t, lengths = t.take(order), lengths[order]
+        # in an order of their own, so that a task that runs again packs the same
+        by = [pc.fill_null(t.column(c), -1).to_numpy() for c in ("piece", "doc_id", "ids_crc32", "length")]
+        order = np.lexsort(by)
+        t, lengths = t.take(order), by[-1][order]
         seq, at, fill = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for b, members in enumerate(pack_block(lengths, capacity)):
             own = lengths[members]
@@ -166,19 +167,15 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
         return t
 
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_blocks))
-    out = schema + ", block long, sequence_id long, offset long, fill long"
+    out = T.StructType(found.schema.fields + T.StructType.fromDDL("block long, sequence_id long, offset long, fill long").fields)
     dealt = found.withColumn("block", block)
-    done = dealt.groupBy("block").applyInArrow(first, out)
+    done = dealt.groupBy("block").applyInArrow(lambda keys, t: packed(t, keys[0].as_py(), 0), out)
     if n_blocks == 1:
         return done.drop("block", "fill")
     done = stored(done, "packed")
     fewer = max(1, n_blocks // 16)
-
-    def second(keys, t):
-        return packed(t, keys[0].as_py() if hasattr(keys[0], "as_py") else keys[0], 1)
-
     loose = done.where(F.col("fill") < FULL * capacity).drop("sequence_id", "offset", "fill")
-    loose = loose.withColumn("block", F.col("block") % fewer).groupBy("block").applyInArrow(second, out)
+    loose = loose.withColumn("block", F.col("block") % fewer).groupBy("block").applyInArrow(lambda keys, t: packed(t, keys[0].as_py(), 1), out)
     return done.where(F.col("fill") >= FULL * capacity).unionByName(loose).drop("block", "fill")
 
 

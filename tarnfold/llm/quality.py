@@ -26,6 +26,11 @@ MAX_REPEAT_PERCENT = 50
 BAD_RATE = 0.5
 #: (usual, strict) limits: symbols a word, share of capitals among ASCII letters, share of repeated lines, characters a word.
 LIMITS = {"symbols": (0.2, 0.1), "capitals": (0.6, 0.4), "repeated_lines": (0.5, 0.35), "long_words": (15.0, 12.0)}
+FIGURES = {
+    "symbols": "n_symbols / greatest(n_words, 1)", "capitals": "n_upper / greatest(n_letters, 1)",
+    "repeated_lines": "n_dup_lines / greatest(n_lines, 1)", "long_words": "word_chars / greatest(n_words, 1)",
+}
+BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long"
 _NAMES = [x.split()[0] for x in STATS.split(", ")]
 
@@ -92,21 +97,18 @@ def with_stats(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return F.expr(BASE_FAILED)
 
 
-def breaks(strict: bool) -> Column:
-    """Whether a document breaks a limit."""
-    figure = {
-        "symbols": F.col("n_symbols") / F.greatest("n_words", F.lit(1)),
-        "capitals": F.col("n_upper") / F.greatest("n_letters", F.lit(1)),
-        "repeated_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "long_words": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    }
-    out = F.lit(False)
-    for name, limits in LIMITS.items():
-        out = out | (figure[name] > F.lit(limits[strict]))
-    return out
+def broken(strict: bool) -> str:
+    """SQL that tells whether a document breaks a limit."""
+    return "(" + " OR ".join(f"{FIGURES[name]} > {limits[strict]}" for name, limits in LIMITS.items()) + ")"
+
+
+def verdict(bad_rate: float) -> Column:
+    """Whether a document is kept, by its figures and its host's rate."""
+    limit = F.when(F.col("host_rate") >= bad_rate, F.expr(broken(True))).otherwise(F.expr(broken(False)))
+    return ~(base_failed() | limit)
 
 
 def host_rates(stats: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def host_rates(stats: DataFrame) -> DataFrame:
 
     With the variance v of the rates over hosts, less what sampling explains, s = m (1 - m) / v - 1, held to 1..1000.
     """
-    failed = (base_failed() | breaks(False)).cast("double")
+    failed = (base_failed() | F.expr(broken(False))).cast("double")
     hosts = stats.groupBy("source").agg(F.count("*").alias("host_docs"), F.sum(failed).alias("failures"))
     rate = F.col("failures") / F.col("host_docs")
     m, spread, per_host = hosts.agg(F.sum("failures") / F.sum("host_docs"), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
@@ -128,8 +130,7 @@ def judged(stats: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     """Adds host_docs, host_rate, base_failed and kept; ``stats`` is read twice, so it should be a stored table."""
     hosts = host_rates(stats).withColumnRenamed("source", "_source")
     out = stats.join(hosts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    limit = F.when(F.col("host_rate") >= bad_rate, breaks(True)).otherwise(breaks(False))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | limit))
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", verdict(bad_rate))
 
 
 def kept(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
@@ -142,8 +143,7 @@ def kept(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     hosts = stored(hosts, "hosts").withColumnRenamed("source", "_source")
     rows = with_stats(docs.select(F.struct(*docs.columns).alias("doc"), "source"), "doc")
     rows = rows.join(hosts, F.col("source").eqNullSafe(F.col("_source")))
-    limit = F.when(F.col("host_rate") >= bad_rate, breaks(True)).otherwise(breaks(False))
-    return rows.where(~(base_failed() | limit)).select("doc.*")
+    return rows.where(verdict(bad_rate)).select("doc.*")
 
 
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +154,6 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same in DuckDB: windows by position, and the host verdicts from the rows' figures."""
-    figure = {
-        "symbols": "n_symbols / greatest(n_words, 1)", "capitals": "n_upper / greatest(n_letters, 1)",
-        "repeated_lines": "n_dup_lines / greatest(n_lines, 1)", "long_words": "word_chars / greatest(n_words, 1)",
-    }
-    usual, strict = ("(" + " OR ".join(f"{figure[k]} > {v[i]}" for k, v in LIMITS.items()) + ")" for i in (0, 1))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -171,7 +166,7 @@ s AS (SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_su
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
   length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid)),
-f AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed, {usual} AS usual, {strict} AS strict FROM s),
+f AS (SELECT *, ({BASE_FAILED}) AS base_failed, {broken(False)} AS usual, {broken(True)} AS strict FROM s),
 h AS (SELECT source, count(*) AS k, sum(CASE WHEN base_failed OR usual THEN 1 ELSE 0 END) AS x FROM f GROUP BY source),
 m AS (SELECT sum(x) / sum(k) AS m, var_pop(x / k) - sum(x) / sum(k) * (1 - sum(x) / sum(k)) * avg(1 / k) AS v FROM h),
 p AS (SELECT m, greatest(1.0, least(1000.0, m * (1 - m) / greatest(v, 1e-9) - 1)) AS s FROM m)

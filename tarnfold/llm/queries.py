@@ -6,11 +6,13 @@ from .counting import op4_edit_aware_token_counts
 from .fingerprints import op2_homomorphic_fingerprints
 from .lm import op9_causal_attention_scores
 from .mixing import op1_weighted_fair_queueing
+from .neardup import ORACLE_SQL as NEAR_SQL
 from .neardup import op3_probminhash_near_duplicates
 from .packing import op10_best_fit_swaps
 from .pii import op7_boosted_candidates
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import op8_host_quality_rules
+from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import op6_blob_ledger_secrets
 from .toxicity import op5_subword_toxicity
 
@@ -30,4 +32,8 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_host_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_probminhash_near_duplicates": NEAR_SQL,
+    "op6_blob_ledger_secrets": SECRETS_SQL,
+    "op8_host_quality_rules": QUALITY_SQL,
+}

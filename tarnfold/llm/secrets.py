@@ -57,3 +57,24 @@ def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = listed(F.filter("spans", lambda s: s["kind"] < 3), KINDS)
     out = findings(docs, ledger)
     return out.select("doc_id", count(0), count(1), count(2), sha256(base).alias("base_sha256"), listed(F.col("spans"), KINDS).alias("spans"))
+
+
+def _sql() -> str:
+    """The same in DuckDB, without the ledger: stretches between matches and matches give the places."""
+    quoted = {k: p.replace("'", "''") for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, PEM))}
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {i} AS kind, '{k}' AS name, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')) AS g, generate_subscripts(string_split_regex(text, '{p}'), 1) AS i FROM d"
+        for i, (k, p) in enumerate(quoted.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(KINDS[:3]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+u AS ({kinds}),
+s AS (SELECT rid, kind, name, m, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM u WHERE m IS NOT NULL),
+f AS (SELECT *, e - length(m) AS b FROM s WHERE kind <> 0 OR length(regexp_extract(m, '{quoted["assign"]}', 2)) >= {MIN_VALUE}),
+j AS (SELECT rid, {counts}, string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || b || ':' || e, ',' ORDER BY b, kind, e) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (rid)"""
+
+
+ORACLE_SQL = _sql()
