@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .edits import set_member
-from .functions import canonical_key, key_of, member, numeric
+from .functions import canonical_key, document, key_of, member, numeric
 from .functions.values import allow_repeated_members
 from .sources.log import current_documents, index_scores, latest_versions, live_documents
 from .sources.ndjson import documents_of_events, export_ndjson, lines_to_changes
@@ -119,8 +119,6 @@ def _json_set(spark: SparkSession, d: str) -> DataFrame:
 def _round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Exported lines read again: keys and numbers stay."""
     back = lines_to_changes(export_ndjson(_docs(spark, d)))
-    from .functions import document
-
     return back.select("key", document(F.col("raw")).alias("v")).select("key", member(F.col("v"), "user_id").number.cast("long").alias("user_id"), numeric(F.col("v"), "value").alias("value"))
 
 

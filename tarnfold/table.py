@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .edits import literal_value, set_member
-from .functions import key_of
+from .functions import document, key_of
 from .plans.commands import Command, CommandError, parse_command
 from .sources.log import Log, index_scores
 from .sources.ndjson import export_ndjson, import_ndjson
@@ -137,8 +137,6 @@ class Table:
         """One row on the log's soundness: rows, keys, values that aren't JSON, versions that share a place."""
         rows = self.log.rows()
         doubled = rows.groupBy("key", "seq", "batch_pos").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)))
-        from .functions import document
-
         bad = F.count_if((F.col("op") == "PUT") & document(F.col("raw")).isNull())
         return rows.agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"), bad.alias("invalid_json"), F.lit(doubled.first()[0]).cast("long").alias("doubled"))
 
