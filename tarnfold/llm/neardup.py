@@ -1,9 +1,10 @@
 """Near duplicates by ProbMinHash signatures, banding and verification.
 
-Texts are weighted sets of five-word shingles (weight 1 + log2 of the count).  Each shingle is a Poisson
-process whose arrivals land in the registers of a signature, each register once per shingle; a register
-keeps the shingle that came first.  Two signatures agree in a register with the probability Jaccard
-similarity of the sets.  Arrivals stop once they are later than everything that the registers hold.
+Texts are sets of five-word shingles; however often a shingle stands in a text, its weight is 1, so that
+signatures agree as links are defined.  Each shingle is a Poisson process whose arrivals land in the
+registers of a signature, each register once per shingle; a register keeps the shingle that came first.
+Two signatures agree in a register with the probability Jaccard similarity of the sets, which is the plain
+one at equal weights.  Arrivals stop once they are later than everything that the registers hold.
 
 Texts that agree in a band of registers are candidates.  Candidates that hang together make a cluster,
 and within a cluster every two texts are held against each other: links are those whose sets of shingles,
@@ -92,8 +93,7 @@ def signed(docs: DataFrame) -> DataFrame:
             sets = [shingle_counts(words[a:b]) for a, b in zip(at[:-1], at[1:])]
             sizes = np.array([len(s) for s, _ in sets])
             doc = np.repeat(np.arange(len(texts)), sizes)
-            weight = 1 + np.log2(np.concatenate([c for _, c in sets]).astype(np.float64))
-            sig = signatures(doc, np.concatenate([s for s, _ in sets]), weight, len(texts), ROWS * BANDS)
+            sig = signatures(doc, np.concatenate([s for s, _ in sets]), np.ones(len(doc)), len(texts), ROWS * BANDS)
             keys = band_keys(sig).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sizes.astype(np.int64)), lists], ["doc_id", "node", "n_shingles", "bands"])

@@ -78,6 +78,18 @@ def test_weights_count():
     assert np.mean(share) == pytest.approx(0.8, abs=0.02)
 
 
+def test_near_copies_are_found_whatever_repeats(spark):
+    """Pairs with a similarity just above 0.8, of which one text says the rest of its shingles 20 times."""
+    rows = []
+    for k in range(40):
+        once, often = ([f"{c}{k}x{i}" for i in range(n)] for c, n in (("a", 104), ("b", 20)))
+        rows += [(2 * k, " ".join(once)), (2 * k + 1, " ".join(once + often * 20))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(80)}
+
+
 def test_unit_links_join_what_belongs_together():
     rng = np.random.default_rng(1)
     for trial in range(20):
