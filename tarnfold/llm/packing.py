@@ -24,8 +24,6 @@ CAPACITY = 1024
 #: Pieces in a block, as an average, and the fill under which a bin is packed once more.
 BLOCK_PIECES = 60_000
 FULL = 0.97
-#: The effort of the local search.
-GIVERS, TAKERS, PAIRED = 64, 512, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -76,65 +74,94 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 20) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search between underfull bins.
 
     A step moves a piece, or exchanges one or two pieces against one, so that the fuller bin gets fuller
-    still: each raises the sum of squared fills, so the search ends, and the emptiest bins run dry.  Effort is
-    bounded, by ``rounds`` passes, GIVERS of the emptiest and TAKERS of the fullest bins in each, and pairs of
-    pieces from bins of up to PAIRED pieces; every piece stays in a bin whatever the search leaves undone.
+    still: each raises the sum of squared fills, so the search ends, and the emptiest bins run dry.  Passes go
+    on until one changes nothing; in each, every underfull bin is tried as a giver, against every fuller one.
+
+    Bins stand in rows, with the distinct lengths that they hold (and a 0, for a move) and what a bin would
+    have room for if that piece left.  A giver is a table of the most it can give up to any size, so that one
+    lookup tells what it gains everywhere.
     """
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    short = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    for _ in range(rounds):
+    held = [b for b in bins if lengths[b].sum() == capacity]
+    short = [b for b in bins if b and lengths[b].sum() < capacity]
+    changed = True
+    while changed and len(short) > 1:
         changed = False
-        for k, giver in enumerate(short[:GIVERS]):
-            for taker in reversed(short[k + 1 :][-TAKERS:]):
-                if not bins[giver]:
+        short.sort(key=lambda b: int(lengths[b].sum()))
+        fill = np.array([lengths[b].sum() for b in short], np.int64)
+        kinds = [np.unique(lengths[b]) for b in short]
+        back = np.zeros((len(short), 1 + max(map(len, kinds))), np.int64)  # blanks are zeros too
+        for r, k in enumerate(kinds):
+            back[r, 1 : len(k) + 1] = k
+        room = back + (capacity - fill)[:, None]
+        failed: set = set()  # givers, by their lengths, that found no step since the last change
+        for giver in range(len(short)):
+            while short[giver] and fill[giver] < capacity:
+                own = lengths[short[giver]]
+                key = tuple(sorted(own.tolist()))
+                if key in failed:
+                    break
+                most = _most(own, capacity)
+                gain = most[room] - back
+                best = gain.max(1)
+                worth = np.where((best > 0) & (fill >= fill[giver]), best * (fill - fill[giver] + best), 0)
+                worth[giver] = 0
+                taker = int(worth.argmax())
+                if not worth[taker]:
+                    failed.add(key)
                     break
-                gap = capacity - fill[taker]
-                if not gap or fill[taker] < fill[giver]:
-                    continue
-                step = _step(bins[giver], bins[taker], lengths, gap)
-                if step:
-                    out, back = step
-                    for i in out:
-                        bins[giver].remove(i)
-                    for i in back:
-                        bins[taker].remove(i)
-                    bins[giver] += back
-                    bins[taker] += out
-                    moved = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
-                    fill[giver] -= moved
-                    fill[taker] += moved
-                    changed = True
-        short = sorted((b for b in short if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _step(giver: list[int], taker: list[int], lengths: np.ndarray, gap: int):
-    """What goes over and what comes back, filling ``gap`` as far as it can; None if nothing does."""
-    g, t = lengths[giver], lengths[taker]
-    best, step = 0, None
-    fits = np.flatnonzero(g <= gap)  # a move
-    if len(fits):
-        k = fits[np.argmax(g[fits])]
-        best, step = int(g[k]), ([giver[k]], [])
-    gain = g[:, None] - t[None, :]  # one for one
-    gain = np.where(gain <= gap, gain, 0)
-    if gain.max(initial=0) > best:
-        a, b = np.unravel_index(gain.argmax(), gain.shape)
-        best, step = int(gain[a, b]), ([giver[a]], [taker[b]])
-    if best < gap and 2 <= len(g) <= PAIRED and len(t) <= PAIRED:  # two for one
-        a, b = np.triu_indices(len(g), 1)
-        gain = (g[a] + g[b])[:, None] - t[None, :]
-        gain = np.where(gain <= gap, gain, 0)
-        if gain.max(initial=0) > best:
-            p, c = np.unravel_index(gain.argmax(), gain.shape)
-            best, step = int(gain[p, c]), ([giver[a[p]], giver[b[p]]], [taker[c]])
-    return step
+                column = int(gain[taker].argmax())
+                out = _pieces_of(int(most[room[taker, column]]), short[giver], lengths)
+                size = int(back[taker, column])
+                given = [next(i for i in short[taker] if lengths[i] == size)] if size else []
+                short[giver] = [i for i in short[giver] if i not in out] + given
+                short[taker] = [i for i in short[taker] if i not in given] + out
+                for r in (giver, taker):
+                    k = np.unique(lengths[short[r]])
+                    if len(k) >= back.shape[1]:
+                        wider = ((0, 0), (0, len(k) + 1 - back.shape[1]))
+                        back = np.pad(back, wider)
+                        room = back + (capacity - fill)[:, None]
+                    fill[r] = lengths[short[r]].sum()
+                    back[r] = 0
+                    back[r, 1 : len(k) + 1] = k
+                    room[r] = back[r] + capacity - fill[r]
+                changed = True
+                failed.clear()
+        held += [b for b, f in zip(short, fill) if f == capacity]
+        short = [b for b, f in zip(short, fill) if 0 < f < capacity]
+    return held + short
+
+
+def _most(own: np.ndarray, capacity: int) -> np.ndarray:
+    """For 0 to ``capacity``, the most that one piece or two of ``own`` come to without being more."""
+    a, b = np.triu_indices(len(own), 1) if len(own) <= 64 else (None, None)
+    if a is None:  # many pieces have few distinct lengths
+        kinds, n = np.unique(own, return_counts=True)
+        pairs = np.concatenate([(kinds[:, None] + kinds[None, :])[~np.eye(len(kinds), dtype=bool)], 2 * kinds[n > 1]])
+    else:
+        pairs = own[a] + own[b]
+    sizes = np.zeros(capacity + 1, np.int64)
+    for x in (own, pairs[pairs <= capacity]):
+        sizes[x] = x
+    return np.maximum.accumulate(sizes)
+
+
+def _pieces_of(size: int, bin_: list[int], lengths: np.ndarray) -> list[int]:
+    """The piece of that size, or two that come to it."""
+    seen: dict[int, int] = {}
+    for i in bin_:
+        if lengths[i] == size:
+            return [i]
+    for i in bin_:
+        n = int(lengths[i])
+        if size - n in seen:
+            return [seen[size - n], i]
+        seen[n] = i
+    raise AssertionError("no such pieces")
 
 
 def pack_block(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:

@@ -70,3 +70,22 @@ def test_swaps_empty_a_bin():
     lengths = np.array([50, 30, 20, 45, 35, 20])
     start = [[0, 1], [3, 4], [2, 5]]
     assert len(packing.swap_search(start, lengths, 100)) == 2
+
+
+def test_search_ends_when_no_step_is_left():
+    """Best fit leaves some hundred underfull bins; any of them may give to any fuller one."""
+    lengths = np.random.default_rng(5).integers(210, 421, 1200)
+    before = packing.best_fit(lengths, 1024)
+    after = packing.swap_search([list(b) for b in before], lengths, 1024)
+    assert sorted(i for b in after for i in b) == list(range(1200)) and len(after) < len(before) - 5
+    bins = sorted((int(lengths[b].sum()), lengths[b].tolist()) for b in after if lengths[b].sum() < 1024)
+    for k, (_, giver) in enumerate(bins):
+        outs = {*giver, *(x + y for i, x in enumerate(giver) for y in giver[:i])}
+        for fill, taker in bins[k + 1 :]:
+            assert not any(0 < out - back <= 1024 - fill for out in outs for back in (0, *taker))
+
+
+def test_pairs_are_tried_in_bins_of_many_pieces():
+    lengths = np.array([1] * 30 + [2] * 40 + [5] * 3 + [993, 4])
+    most = packing._most(lengths[:73], 1024)
+    assert most[:11].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 7, 7, 10]
