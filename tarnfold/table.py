@@ -113,7 +113,7 @@ class Table:
         return ops.key_labels(self.documents(), limit)
 
     def find(self, term: str) -> DataFrame:
-        return ops.lookup.shown(ops.find_by_label(self.documents(), term))
+        return ops.lookup.shown(ops.find_by_label(self.documents(), term, scan=10_000 if self.compat else None))
 
     def top(self, path: str, limit: int | None = None) -> DataFrame:
         return ops.top_n(self.board(path), limit)

@@ -170,6 +170,15 @@ def test_reports(session):
     assert ops.percentiles(numbers.limit(0), "x").first().p99 == 0.0
 
 
+def test_labels_are_found_beyond_the_original_scan(spark, tmp_path):
+    key = lambda i: f"00000000-0000-0000-0000-{i:012x}"
+    t = Table(spark, str(tmp_path / "t"))
+    t.log.create()
+    t.mset((key(i), json.dumps({"name": f"n{i}"})) for i in range(10_001))
+    assert [r.uuid for r in t.find("n10000").collect()] == [key(10_000)]
+    assert Table(spark, str(tmp_path / "t"), compat=True).find("n10000").count() == 0
+
+
 def test_scan_arguments():
     from tarnfold.operators.lookup import scan_arguments
 
