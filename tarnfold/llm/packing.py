@@ -34,20 +34,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
     def cut(rows):
         import pyarrow as pa
 
-        encoder = Encoder.shared(path)
-        for batch in batches(rows):
-            out = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(batch.column("text").to_pylist())):
-                ids = np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                start = 0
-                for k, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    part = ids[start:end]
-                    out.append((doc_id, k, start, end - start, zlib.crc32(part.tobytes())) + ((part,) if keep_ids else ()))
-                    start = end
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        with Encoder.lent(path) as encoder:
+            for batch in batches(rows):
+                out = []
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(batch.column("text").to_pylist())):
+                    ids = np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
+                    first = (len(ids) - 1) % capacity + 1
+                    start = 0
+                    for k, end in enumerate(range(first, len(ids) + 1, capacity)):
+                        part = ids[start:end]
+                        out.append((doc_id, k, start, end - start, zlib.crc32(part.tobytes())) + ((part,) if keep_ids else ()))
+                        start = end
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, PIECES + ", ids array<int>" * keep_ids)
 

@@ -8,14 +8,18 @@ batch are encoded together.  Texts with other white space are cut before such sp
 
 from __future__ import annotations
 
+import contextlib
+import re
 import sys
 
 import numpy as np
 
 from .shingles import Powers, scramble
 
-#: Pieces kept per worker; the table starts afresh beyond that.
-KEEP = 200_000
+#: Pieces that a task keeps, and bytes of them and their ids; the tables start afresh beyond either.
+KEEP, KEEP_BYTES = 200_000, 64_000_000
+#: Characters of text that are worked on together.
+TOGETHER = 2_000_000
 END_ID = 2
 
 
@@ -38,8 +42,12 @@ class Encoder:
     Pieces of Latin letters, which are nearly all, are encoded by ``tiktoken`` from the same vocabulary, for
     its speed; ``tokenizers`` does the rest, where the two libraries' tables of letters might differ.
 
+    The vocabulary's added tokens stand for themselves wherever their strings are, as in the library; what is
+    between them is encoded by itself.
+
     ``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
-    space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space.
+    space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space or
+    an added token's string.  Both are bounded, and a task drops them when it ends.
     """
 
     def __init__(self, path: str):
@@ -51,16 +59,45 @@ class Encoder:
         letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        special = {t["content"] for t in file["added_tokens"]}
+        plain = ("single_word", "lstrip", "rstrip", "normalized")
+        if any(t[x] for t in file["added_tokens"] for x in plain):
+            raise ValueError("added tokens that take white space along or stand alone only are not supported")
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)"
+        self._between = re.compile(f"({names})")
+        #: Places where no token reaches across: before a space that stands before another character (but not within white space before an added token), and before a line break between two such.
+        self.cut = re.compile(rf"(?<=\S)(?= \S)|(?<=\s)(?= \S)(?! (?:{names}))|(?<=\S)(?=\n\S)")
+        special = self.special
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
         self._latin = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._path, self._whole = path, None
         self.opens = np.zeros(max(ranks.values()) + 2, bool)  # and an id for an end
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.newline = ranks[b"\n"]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what texts have left here."""
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
+        self.held = 0
         self.powers = Powers()
+        self._whole = None
+
+    @staticmethod
+    @contextlib.contextmanager
+    def lent(path: str | None = None):
+        """The process's encoder for the time of a task."""
+        yield Encoder.shared(path)
+
+    def _tidy(self) -> None:
+        if len(self.known) + len(self.odd) > KEEP or self.held > KEEP_BYTES:
+            self.known.clear()
+            self.odd.clear()
+            self.held = 0
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
 
     @staticmethod
     def shared(path: str | None = None) -> Encoder:
@@ -72,6 +109,9 @@ class Encoder:
         return kept[path]
 
     def _ids(self, text: str) -> np.ndarray:
+        """Of a text in which added tokens' strings are ordinary text."""
+        if not text:
+            return np.zeros(0, np.uint16)
         if text.isascii() or max(text) < "\u0250":
             return np.array(self._latin(text), np.uint16)
         if self._whole is None:
@@ -96,35 +136,29 @@ class Encoder:
                 at = np.flatnonzero(ids == self.newline) if breaks else np.flatnonzero(self.opens[ids])
                 if len(at) != len(part):  # line breaks may melt into other white space
                     self.known.update((p, self._ids(p if breaks else " " + p).tobytes()) for p in part)
+                    self.held += 2 * sum(map(len, part))
                     continue
+                self.held += 2 * len(ids) + sum(map(len, part))
                 raw, cuts = ids.tobytes(), (2 * np.append(at, len(ids))).tolist()
                 self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text that has single spaces and line breaks between words only; the first stands after a line break."""
-        if not text or "\n\n" in text or "  " in text or " \n" in text or "\n " in text:
-            return None
-        found = ("\n" + text.replace("\n", " \n")).split(" ")
-        if found[-1] in ("", "\n") or found[0] == "\n" or len(found) != len(text.split()):
-            return None
-        return found
-
-    def glued(self, text: str) -> list[str]:
-        """The pieces of any text: it is cut before each space that another character follows."""
-        out: list[str] = []
-        for part in text.split(" "):
-            if out and (not part or part[0].isspace()):
-                out[-1] += " " + part
-            else:
-                out.append(" " + part if out else part)
-        return out if out != [""] else []
+    def plain(self, text: str) -> bool:
+        """Whether a text has words with single spaces and line breaks between them only, as grouped() takes them."""
+        return not (not text or "\n\n" in text or "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1] in " \n" or self.has_special(text))
 
     def odd_ids(self, piece: str) -> bytes:
+        """Ids of any piece between two cuts, added tokens included."""
         found = self.odd.get(piece)
         if found is None:
-            if len(self.odd) > 50_000:
-                self.odd.clear()
-            found = self.odd[piece] = self._ids(piece).tobytes()
+            self._tidy()
+            if self.has_special(piece):
+                parts = self._between.split(piece)
+                ids = [np.array([self.special[p]], np.uint16) if k % 2 else self._ids(p) for k, p in enumerate(parts)]
+                found = np.concatenate(ids).tobytes()
+            else:
+                found = self._ids(piece).tobytes()
+            self.odd[piece] = found
+            self.held += len(found) + len(piece)
         return found
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -132,10 +166,10 @@ class Encoder:
         out: list = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
-            if not t or "\n\n" in t or "  " in t or " \n" in t or "\n " in t or t[0].isspace() or t[-1] in " \n":
-                out[i] = np.frombuffer(b"".join(map(self.odd_ids, self.glued(t))), np.uint16)
-            else:
+            if self.plain(t):
                 plain.append(i)
+            else:
+                out[i] = np.frombuffer(b"".join(map(self.odd_ids, self.cut.split(t))), np.uint16)
         if plain:
             found = self.grouped([texts[i].encode() for i in plain])
             ids, ends = found.ids()
@@ -148,8 +182,7 @@ class Encoder:
 
         Without ``breaks`` every piece stands after a space.
         """
-        if len(self.known) > KEEP:
-            self.known.clear()
+        self._tidy()
         joined = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(joined, np.uint8)
         self.powers.reach(len(raw) + 1)
@@ -167,41 +200,28 @@ class Encoder:
             own = [b"\n" + w if x else w for w, x in zip(own, broken[first].tolist())]
         pieces = [w.decode() for w in own]
         at = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1))
+        begun = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
+        chars = begun[ends] - begun[starts]
         if not encode:
-            return Grouped(pieces, [], inverse, at)
+            return Grouped(pieces, [], inverse, at, chars, key[first])
         found = list(map(self.known.get, pieces))
         missing = [p for p, x in zip(pieces, found) if x is None]
         if missing:
             self.learn(missing)
             found = list(map(self.known.__getitem__, pieces))
-        return Grouped(pieces, found, inverse, at)
-
-    def lookup(self, split: list) -> tuple[list, int]:
-        """Ids of each piece of each list, and how many pieces had to be encoded."""
-        get = self.known.get
-        found = [None if s is None else list(map(get, s)) for s in split]
-        holes = []
-        for s, ids in zip(split, found):
-            if ids is not None and None in ids:
-                at = -1
-                try:
-                    while True:
-                        at = ids.index(None, at + 1)
-                        holes.append((s, ids, at))
-                except ValueError:
-                    pass
-        missing = {s[at] for s, _, at in holes}
-        self.learn(list(missing))
-        for s, ids, at in holes:
-            ids[at] = self.known[s[at]]
-        return found, len(missing)
+        return Grouped(pieces, found, inverse, at, chars, key[first])
 
 
 class Grouped:
-    """Distinct ``pieces`` with their ids, which piece stands at each place (``which``), and where each text begins (``at``, one more at the end)."""
+    """Distinct ``pieces`` with their ids and hashes (``keys``), which piece stands at each place (``which``) and its
+    ``chars`` (without the space or break before it), and where each text begins (``at``, one more at the end)."""
+
+    def __init__(self, pieces: list[str], found: list[bytes], which: np.ndarray, at: np.ndarray, chars: np.ndarray, keys: np.ndarray):
+        self.pieces, self.found, self.which, self.at, self.chars, self.keys = pieces, found, which, at, chars, keys
 
-    def __init__(self, pieces: list[str], found: list[bytes], which: np.ndarray, at: np.ndarray):
-        self.pieces, self.found, self.which, self.at = pieces, found, which, at
+    def sizes(self) -> np.ndarray:
+        """How many ids each place has."""
+        return (np.fromiter(map(len, self.found), np.int64, len(self.found)) // 2)[self.which]
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all places in a row, and where each place's begin (one more at the end)."""
@@ -213,7 +233,7 @@ class Grouped:
         return flat[np.repeat(begin[self.which] - ends[:-1], each) + np.arange(ends[-1])], ends
 
 
-def batches(rows, text=lambda batch: batch.column("text"), chars: int = 2_000_000):
+def batches(rows, text=lambda batch: batch.column("text"), chars: int = TOGETHER):
     """Slices of Arrow record batches with about so many bytes of text each; long texts come alone."""
     import pyarrow.compute as pc
 

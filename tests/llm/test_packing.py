@@ -14,7 +14,7 @@ from tarnfold.llm.words import tokenizer_path
 def test_pieces_and_places(spark, request, which):
     path = request.getfixturevalue(which)
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    
     want = collections.Counter()
     for d in table(spark, path, "documents").collect():
         ids = np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4")
