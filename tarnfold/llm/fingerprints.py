@@ -13,8 +13,9 @@ reach the next lane, so that whole words are added.
 All of it is DataFrame expressions.  Defined results: a null text is empty, and an empty text is one
 empty paragraph; documents are followed by the next lower doc_id, rows of one doc_id by each other in
 the order of their digests, null doc_ids come last, and the last document is followed by the first (a
-single document by itself); repeated rows are documents like any other; an empty table gives no rows;
-other columns are ignored.
+single document by itself); repeated rows are documents like any other, each followed by the next of them;
+a very long text has as many paragraphs as it has, lanes and likeness hold beyond 2**20 of them; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ _SPACING = 21
 _ONES = sum(1 << _SPACING * i for i in range(3))
 _MODULO = sum(((1 << 20) - 1) << _SPACING * i for i in range(3))
 PARAGRAPH_END = r"\n|(?<=[.!?])\x20"
-#: Documents in a bucket of neighbouring doc_ids, as an average, at least; and the number of buckets, at most about twice that.
-BUCKET_ROWS, BUCKETS = 256, 200_000
+#: Documents in a bucket of neighbours, as an average, at least; the most buckets; and rows drawn for each bucket's limit.
+BUCKET_ROWS, BUCKETS, DRAWN = 2048, 65_536, 32
 
 
 def paragraphs(text: Column) -> Column:
@@ -67,10 +68,10 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def signed_lanes(print_: Column) -> Column:
-    """array<double>: the sum of signs in each lane."""
+    """array<double>: the sum of signs in each lane, which is held modulo 2**21 once there are 2**20 paragraphs and read as the number nearest to 0."""
     count = lambda x, k: F.shiftrightunsigned(x, _SPACING * k).bitwiseAND(F.lit((1 << 20) - 1))
     lanes = F.flatten(F.transform(F.slice(print_, 2, F.size(print_) - 1), lambda x: F.array(*[count(x, k) for k in range(3)])))
-    return F.transform(lanes, lambda c: (2 * c - print_[0]).cast("double"))
+    return F.transform(lanes, lambda c: (F.pmod(2 * c - print_[0] + F.lit(1 << 20), F.lit(1 << 21)) - F.lit(1 << 20)).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,28 +91,66 @@ def text_of(print_: Column) -> Column:
     return F.concat(F.lower(F.hex(print_[0])), F.lit("-"), F.lower(F.array_join(F.transform(F.slice(print_, 2, F.size(print_) - 1), lambda w: F.lpad(F.hex(w), 16, "0")), "")))
 
 
+def place() -> Column:
+    """What rows are sorted by, ascending, so that doc_ids fall and nulls come last.  The complement of an id falls as the id rises, and is never out of range."""
+    id_ = F.col("doc_id").cast("long")
+    return F.struct(id_.isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not(id_), F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("digest"))
+
+
+def limits(docs: DataFrame, bucket_rows: int, buckets: int) -> list[tuple[tuple[int, int, int], int]]:
+    """Places of rows where buckets begin, ascending, each with the number of buckets that begin there.
+
+    The first is the least place of all, the others stand at even distances in a sorted draw of rows: DRAWN for a
+    bucket.  A place that is met more than once has so many rows of its own that they take several buckets.
+    """
+    n = docs.count()
+    if not n:
+        return []
+    wanted = max(1, min(buckets, n // bucket_rows))
+    least = docs.agg(F.min(place()).alias("p")).first()["p"]
+    drawn = docs.sample(min(1.0, DRAWN * wanted / n), seed=7).select(place().alias("p")).collect() if wanted > 1 else []
+    drawn = sorted(tuple(r["p"]) for r in drawn)  # DRAWN * buckets places at most, on average
+    found: dict[tuple, int] = {tuple(least): 1}
+    for p in drawn[DRAWN // 2 :: DRAWN]:
+        found[p] = found.get(p, 0) + 1
+    return sorted(found.items())
+
+
 def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``next``, a struct of ``columns`` of the document that follows in descending doc_id.
 
-    Rows are sorted within buckets of neighbouring ids; the first of each bucket also goes, as a guest, to
-    the end of the bucket before.  The table of firsts has one row of two numbers a bucket, ``2 * buckets``
-    at most, so it is broadcast; buckets grow beyond that.
+    Rows are sorted within buckets of neighbouring places, whose limits are places of rows (see limits()).  So the
+    first row of a bucket is one that stands at its limit; it also goes, as a guest, to the end of the bucket
+    before, and to the last bucket if it is the first of all.  Limits make one literal in the plan, which every
+    row is found in by halving.
+
+    Rows of one place are copies.  Where they take several buckets they are dealt by chance, to the last of which
+    what follows them comes too; the last copy of each of the others is followed by a copy.  That none of the
+    copies comes to one of these buckets, which would break the chain, has a chance of exp(-rows of a bucket).
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low + 1) * max(bucket_rows, n // buckets) // max(1, n))
-    docs = docs.withColumn("_bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-    docs = docs.withColumn("_digest", F.xxhash64("text"))
-    firsts = docs.groupBy("_bucket").agg(F.max("doc_id").alias("_first"))
-    order = W.orderBy(F.desc("_bucket"))
-    host = F.coalesce(F.lag("_bucket").over(order), F.last("_bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    firsts = firsts.select("_first", host.alias("_host"))
-    rows = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_first")), "left").drop("_first")
-    stay = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
-    visit = F.struct(F.col("_host").alias("bucket"), F.lit(1).alias("guest"))
-    rows = rows.withColumn("_place", F.explode(F.when(F.col("_host").isNull(), F.array(stay)).otherwise(F.array(stay, visit))))
-    within = W.partitionBy("_place.bucket").orderBy("_place.guest", F.col("doc_id").desc_nulls_last(), "_digest")
-    rows = rows.withColumn("next", F.lead(F.struct(*columns)).over(within)).where("_place.guest = 0")
-    return rows.drop("_bucket", "_host", "_place", "_digest")
+    found = limits(docs, bucket_rows, buckets)
+    if not found:
+        return docs.withColumn("next", F.when(F.lit(False), F.struct(*columns)))
+    text = ",".join(f'{{"none":{p[0]},"id":{p[1]},"digest":{p[2]},"wide":{wide}}}' for p, wide in found)
+    all_ = F.from_json(F.lit(f"[{text}]"), "array<struct<none:int,id:bigint,digest:bigint,wide:int>>")
+    at = lambda k: F.get(all_, k)
+    where = lambda x: F.struct(x["none"].alias("none"), x["id"].alias("id"), x["digest"].alias("digest"))
+    n = len(found)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    halve = lambda k, step: F.when((k + step < n) & (where(at(k + step)) <= F.col("_at")), k + step).otherwise(k)
+    rows = docs.withColumn("_at", place()).withColumn("_bucket", F.aggregate(steps, F.lit(0), halve))
+    limit = at(F.col("_bucket"))
+    rows = rows.withColumn("_wide", limit["wide"]).withColumn("_first", where(limit) == F.col("_at"))
+    turn = F.when(F.col("_first") & (F.col("_wide") > 1), F.floor(F.rand(11) * F.col("_wide")).cast("int")).otherwise(F.col("_wide") - 1)
+    rows = rows.withColumn("_turn", turn)
+    stay = F.struct(F.col("_bucket").alias("bucket"), F.col("_turn").alias("turn"), F.lit(0).alias("guest"))
+    host = F.pmod(F.col("_bucket") - 1, F.lit(n))
+    visit = F.struct(host.alias("bucket"), (at(host)["wide"] - 1).alias("turn"), F.lit(1).alias("guest"))
+    rows = rows.withColumn("_place", F.explode(F.when(F.col("_first") & (F.col("_turn") == 0), F.array(stay, visit)).otherwise(F.array(stay))))
+    within = W.partitionBy("_place.bucket", "_place.turn").orderBy("_place.guest", "_at")
+    follower = F.coalesce(F.lead(F.struct(*columns)).over(within), F.struct(*columns))
+    rows = rows.withColumn("next", follower).where("_place.guest = 0")
+    return rows.drop("_at", "_bucket", "_wide", "_first", "_turn", "_place")
 
 
 def op2_homomorphic_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
