@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
@@ -45,14 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, *by: Column) -> DataFrame:
-    """Adds ``row_key``, a hash of doc_id, and ``row_no``, which tells rows of one key apart; ``by`` orders them.
+def new_folder(path: str) -> str:
+    """A folder of its own below ``path``, for one write."""
+    return f"{path}/{uuid.uuid4().hex}"
 
-    The key is never null, so that windows and joins on it share one partitioning.  Rows that also tie on
-    ``by`` are interchangeable for the caller.
-    """
-    df = df.withColumn("row_key", F.xxhash64("doc_id"))
-    return df.withColumn("row_no", F.row_number().over(W.partitionBy("row_key").orderBy("doc_id", *by)))
+
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders below ``path`` whose write has ended."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(of(path)):
+        return []
+    found = sorted(x.getPath().toString() for x in fs.listStatus(of(path)) if x.isDirectory())
+    return [x for x in found if fs.exists(of(f"{x}/_SUCCESS"))]
 
 
 def held_out_mod(n: int, remainder: int) -> Column:

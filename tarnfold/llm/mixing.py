@@ -3,13 +3,19 @@
 Every source is a queue of its documents in a seeded random order, served ``passes`` times over.  A
 document's virtual finish time is the number of words its queue has served once it is through, divided
 by the source's target.  Sorted by that time over all sources, the queue that is furthest behind its
-share goes next; at time 1 every source has had its target, and there the total budget is spent.
+share goes next; the mix is what comes first, up to the total budget, which is spent at time 1.  A document
+that is in service at time 1 stands in that order in two parts, with a finish time each, so that the cut
+leaves every source at its target.
 
-The running sums are taken in two levels, so that no source is ever sorted in one task: words per
-(source, slice of the random order) first, then within a slice.
+The running sums are taken in two levels, so that neither a source nor the mix is sorted in one task: words per
+slice first, then within a slice.  A third level would be wanted beyond some ten billion documents, where the
+sums per slice no longer suit one task.
 
-Defined results: a null text has 0 words; a null source is a source of its own, sorted last; repeated
-rows are documents like any other; rows of one doc_id, source and size are interchangeable; an empty
+Rows that agree in doc_id, source and size are interchangeable: they are counted first and then told apart by a
+number, so that no window holds the rows of a doc_id, however many there are.
+
+Defined results: a null text has 0 words; a null source is a source of its own, sorted last; a very long text is
+one document, which may be taken in part; repeated rows and ties of doc_id are documents like any other; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -19,13 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keyed, table
+from .common import WORD, stored, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 PASSES = 2
 #: Documents per slice of a source's random order, as an average.
 SLICE_ROWS = 2000
+#: Equal rows that are dealt together.
+CHUNK = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -51,14 +59,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     return total.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """Serves (doc_id, source, size[, row_no]) rows.
+def numbered(rows: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, row_no): equal rows counted, and dealt again with a number each.
+
+    ``more`` columns take part.  Counts beyond CHUNK are dealt in parts, so that many copies don't meet in one task.
+    """
+    keys = ["doc_id", "source", "size", *more]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    many = counted.where(F.col("_n") > CHUNK).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(CHUNK).cast("long"))))
+    few = counted.where(F.col("_n") <= CHUNK).withColumn("_from", F.lit(0).cast("long"))
+    parts = few.unionByName(many.repartition(*keys, "_from"))
+    last = F.least(F.col("_from") + CHUNK, F.col("_n")) - 1
+    return parts.withColumn("row_no", F.explode(F.sequence(F.col("_from"), last))).drop("_from", "_n")
 
-    Returns these columns with source_size, target, and per pass (``copy``, from 0) the words ``served``
-    and the virtual ``finish`` time, by which the mix is ordered.  The document that is being served when
-    its source reaches its target is served in part.
+
+def queued(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
+    """The parts of (doc_id, source, size, row_no and others) rows as they stand in their source's queue.
+
+    Adds source_size, target, ``copy`` (the pass, from 0), the ``words`` of a part and its virtual ``finish`` time.  A
+    document is one part in each pass, but for the one in service when its source comes to its target: that has two.
     """
-    keys = [c for c in ("doc_id", "size", "row_no") if c in sizes.columns]
+    keys = [c for c in sizes.columns if c != "source"]
     # an equi-join, null included: Spark broadcasts the targets if they are small, and splits hot sources if not
     targets = source_targets(sizes, weights, share, passes).withColumnRenamed("source", "_source")
     queue = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -66,10 +87,30 @@ def mix(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     queue = queue.withColumn("dice", F.xxhash64(F.lit(seed), "copy", *keys))
     queue = queue.withColumn("slice", F.pmod("dice", F.ceil(F.col("n_docs") / F.lit(float(SLICE_ROWS)))))
     queue = _running(queue, ["source", "copy"], "slice", ["dice", *keys], "size", over=["source"], steps=["copy", "slice"])
-    through = F.col("before") + F.col("size")
-    served = F.least(F.col("size").cast("double"), F.floor(F.col("target") + 1e-6) - F.col("before"))
-    finish = F.when(F.col("target") > 0, through / F.col("target")).otherwise(F.lit(0.0))
-    return queue.select(*sizes.columns, "source_size", "target", "copy", F.greatest(F.lit(0.0), served).cast("long").alias("served"), finish.alias("finish"))
+    through, goal = F.col("before") + F.col("size"), whole_words(F.col("target"))
+    one = F.array(F.col("size"))
+    parts = F.when((F.col("before") < goal) & (through > goal), F.array(goal - F.col("before"), through - goal)).otherwise(one)
+    queue = queue.select("*", F.posexplode(parts).alias("part", "words"))
+    done = F.when(F.col("part") == 1, through).otherwise(F.col("before") + F.col("words"))
+    finish = F.when(goal > 0, done / goal).otherwise(F.lit(2.0))  # beyond the budget, if it is to have less than a word
+    return queue.select(*sizes.columns, "source_size", "target", "copy", "part", "words", finish.alias("finish"))
+
+
+def whole_words(target: Column) -> Column:
+    return F.floor(target + 1e-6)
+
+
+def mix(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
+    """The mix of (doc_id, source, size, row_no and others) rows: their parts in order, and what the budget takes of them.
+
+    Adds to queued() ``position``, the words before a part in the order of virtual finish times, and ``taken``, those of
+    its words that are within the total budget.  ``sizes`` is read twice, so it should be a stored table.
+    """
+    queue = stored(queued(sizes, seed, weights, share, passes), "queue")
+    goals = queue.groupBy("source").agg(F.first("target").alias("target"))
+    found = goals.agg(F.coalesce(F.sum(whole_words(F.col("target"))), F.lit(0)).cast("long").alias("budget")).first()
+    rows = in_order(queue, queue.count())
+    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(found["budget"]) - F.col("position"))).cast("long"))
 
 
 def _running(rows: DataFrame, groups: list, part: str, order: list, amount: str, over: list, steps: list) -> DataFrame:
@@ -84,17 +125,16 @@ def _running(rows: DataFrame, groups: list, part: str, order: list, amount: str,
     return both.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within", *[f"_{c}" for c in cells])
 
 
-def in_order(served: DataFrame, n_docs: int, budget: float | None = None) -> DataFrame:
-    """The mix itself: what is served, with its ``position`` (words before it) in the order of virtual finish times, up to the budget.
+def in_order(queue: DataFrame, n_rows: int) -> DataFrame:
+    """Adds ``position`` to queued(): the words before a part in the order of virtual finish times.
 
     Ranges of the finish time are sorted one by one; their totals say where each begins.
     """
-    n_ranges = max(1, -(-n_docs // SLICE_ROWS))
-    rows = served.where("served > 0").withColumn("range", F.floor(F.least(F.col("finish"), F.lit(2.0)) * F.lit(n_ranges)))
-    keys = [c for c in ("source", "doc_id", "size", "row_no", "copy") if c in served.columns]
-    rows = _running(rows, [], "range", ["finish", *keys], "served", over=[], steps=["range"])
-    rows = rows.withColumnRenamed("before", "position").drop("range")
-    return rows if budget is None else rows.where(F.col("position") < budget)
+    n_ranges = max(1, -(-n_rows // SLICE_ROWS))
+    late = 1 + F.log2(F.greatest(F.col("finish"), F.lit(1.0))) / 40  # a large source with a small target has much of its queue far beyond time 1
+    rows = queue.withColumn("range", F.floor(F.least(F.col("finish"), late) * F.lit(n_ranges)))
+    keys = [c for c in queue.columns if c not in ("words", "finish", "target", "source_size")]
+    return _running(rows, [], "range", ["finish", *keys], "words", over=[], steps=["range"]).withColumnRenamed("before", "position").drop("range")
 
 
 def size_of(text: str = "text") -> Column:
@@ -104,25 +144,22 @@ def size_of(text: str = "text") -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, text and others) with each row as often as the mix takes it; one that it takes in part counts if that is half of it or more.
 
-    Texts are shuffled once, by the key that also numbers the rows of a doc_id.
+    Rows that are equal in all columns are one, with a number of copies, so that it doesn't matter which of them is
+    kept; their digest stands for them in the mix.  Texts are shuffled once, by that digest, copies dropped first.
     """
-
-    def rows(*more):
-        return keyed(docs.select("doc_id", "source", size_of().alias("size"), *more), F.col("source"), F.col("size"))
-
-    enough = (F.col("served") > 0) & (2 * F.col("served") >= F.col("size"))
-    copies = mix(rows()).where(enough).groupBy("row_key", "row_no").agg(F.count("*").cast("int").alias("copies"))
-    copies = copies.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("row_no", "copies"))).alias("copies"))
-    all_ = rows(F.struct(*docs.columns).alias("doc")).join(copies.hint("merge"), "row_key")
-    times = F.coalesce(F.try_element_at("copies", "row_no"), F.lit(0))
-    return all_.withColumn("again", F.explode(F.array_repeat(F.lit(True), times))).select("doc.*")
+    missing = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])  # the hash passes over nulls
+    digest = F.struct(F.xxhash64(missing, *docs.columns).alias("a"), F.xxhash64(F.lit(99), missing, *docs.columns).alias("b"))
+    sizes = stored(numbered(docs.select("doc_id", "source", size_of().alias("size"), digest["a"].alias("_a"), digest["b"].alias("_b")), "_a", "_b"), "sizes")
+    each = mix(sizes).groupBy("_a", "_b", "row_no", "copy").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+    times = each.where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))).select("_a", "_b")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), digest["a"].alias("_a"), digest["b"].alias("_b"))
+    rows = rows.groupBy("_a", "_b").agg(F.first("doc").alias("doc"))
+    return rows.join(times.hint("merge"), ["_a", "_b"]).select("doc.*")
 
 
 def op1_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of().alias("size"))
-    served = mix(keyed(docs, F.col("source"), F.col("size")))
-    per_doc = ["doc_id", "row_key", "row_no", "source", "size", "source_size", "target"]
-    place = in_order(served, docs.count()).select(*per_doc, "copy", F.col("served"), F.col("position"))
-    idle = served.where("served = 0").select(*per_doc, "copy", F.col("served"), F.lit(None).cast("long").alias("position"))
-    taken = [F.sum("served").alias("taken"), F.min("position").alias("position")]
-    return place.unionByName(idle).groupBy(*per_doc).agg(*taken).drop("row_key", "row_no", "source")
+    per_doc = ["doc_id", "source", "row_no", "size", "source_size", "target"]
+    rows = mix(stored(numbered(docs), "sizes"))
+    position = F.min(F.when(F.col("taken") > 0, F.col("position"))).alias("position")
+    return rows.groupBy(*per_doc).agg(F.sum("taken").alias("taken"), position).drop("row_no", "source")

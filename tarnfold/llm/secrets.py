@@ -2,21 +2,28 @@
 
 Every version of a text is addressed by its SHA-256.  The ledger holds (blob, rule version, spans); only
 pairs that it lacks are scanned, each once, however many paths share the blob, and findings are joined
-back to all paths.  Extending the rules means a new rule version, which scans every blob once again.
+back to all paths.  The rule version is a digest of the rules themselves, so that changed rules scan every
+blob once again, and nobody has to remember it.
 
-All of it is DataFrame expressions.  Defined results: a null text is an empty blob without findings;
-repeated rows get the same findings; an empty table gives no rows; other columns are ignored.
+The ledger lives in the shared folder, and outlives sessions: a folder for each rule version, in it one for
+each scan, which counts once its _SUCCESS is there.  So a scan that fails leaves nothing, and two at once do
+no harm: they may both scan a blob, with the same spans, of which the reader takes one.
+
+All of it is DataFrame expressions.  Defined results: a null text is an empty blob without findings; a very
+long text is scanned as a whole; repeated rows and ties of doc_id get the findings of their own texts; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import complete_folders, new_folder, shared_folder, table, whole_text
 from .spans import listed, matches, ranked, sha256
 
-RULE_VERSION = 1
 KINDS = ["assign", "access", "hex", "pem"]
 #: Matches of the first three are dropped if they are too short; dropping is left to the pattern where no shorter match can be inside.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,24 +42,78 @@ def secret_spans(text: Column) -> Column:
     return F.sort_array(F.concat(ranked(assign, 0), ranked(access, 1), ranked(hexes, 2), ranked(pem, 3)))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULE_VERSION) -> DataFrame:
-    """New ledger rows (blob, version, spans) for the texts of ``docs`` that ``ledger`` has not under this rule version."""
+def rule_version() -> str:
+    """A digest of all that decides what is found, and of how it is told."""
+    rules = repr((KINDS, ASSIGN, ACCESS, HEX, PEM, MIN_VALUE))
+    return hashlib.sha256(rules.encode()).hexdigest()[:16]
+
+
+LEDGER = "blob string, version string, spans array<struct<start:int,kind:int,end:int>>"
+
+
+class Ledger:
+    """The scans of all blobs so far, below a folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, version: str | None = None):
+        self.spark, self.version = spark, version or rule_version()
+        self.path = f"{path or shared_folder(spark) + '/secrets-ledger'}/version={self.version}"
+
+    def rows(self) -> DataFrame:
+        """(blob, version, spans), a row for each blob."""
+        found = complete_folders(self.spark, self.path)
+        if not found:
+            return self.spark.createDataFrame([], LEDGER)
+        rows = self.spark.read.schema(LEDGER).parquet(*found)
+        return rows if len(found) == 1 else rows.groupBy("blob").agg(F.first("version").alias("version"), F.first("spans").alias("spans"))
+
+    def extend(self, docs: DataFrame) -> DataFrame:
+        """Scans the blobs of ``docs`` (text) that are not in it under these rules; returns rows() with them."""
+        known = self.rows()
+        new = scan(docs, known if complete_folders(self.spark, self.path) else None, self.version)
+        new.write.parquet(new_folder(self.path))
+        return self.rows()
+
+    def compact(self) -> None:
+        """One folder in place of all: many small scans make many folders."""
+        old = complete_folders(self.spark, self.path)
+        if len(old) > 1:
+            self.rows().write.parquet(new_folder(self.path))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            for folder in old:
+                path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str | None = None) -> DataFrame:
+    """New ledger rows (blob, version, spans) for the texts of ``docs`` that ``ledger`` has not under this rule version.
+
+    Copies of a blob are dropped before the shuffle.  With a ledger, what it lacks is found by digests alone, and
+    texts follow: to where they are if that is little, else they are dealt by digest.
+    """
+    version = version or rule_version()
     blobs = docs.select(F.sha2(whole_text(), 256).alias("blob"), whole_text().alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+        known = ledger.where(F.col("version") == version).select("blob")
+        unseen = blobs.select("blob").distinct().join(known, "blob", "left_anti")
+        blobs = blobs.join(unseen, "blob", "left_semi")
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     return blobs.select("blob", F.lit(version).alias("version"), secret_spans(F.col("text")).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, version: int = RULE_VERSION) -> DataFrame:
-    """The rows of ``docs`` (all columns but text) with their blob and spans, from a ledger that has all their blobs."""
+def findings(docs: DataFrame, ledger: DataFrame, version: str | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns but text) with their blob and spans, from a ledger that has all their blobs.
+
+    Most blobs have no findings: the join is with those that have, and what doesn't meet one has none.
+    """
     paths = docs.select(*[c for c in docs.columns if c != "text"], F.sha2(whole_text(), 256).alias("blob"))
-    return paths.join(ledger.where(F.col("version") == version).select("blob", "spans"), "blob")
+    some = ledger.where((F.col("version") == (version or rule_version())) & (F.size("spans") > 0)).select("blob", "spans")
+    out = paths.join(some, "blob", "left")
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
 
 
 def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the ledger already, from earlier runs, isn't scanned again; the rows are the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = stored(scan(docs), "ledger")
+    ledger = Ledger(spark).extend(docs)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = listed(F.filter("spans", lambda s: s["kind"] < 3), KINDS)
     out = findings(docs, ledger)

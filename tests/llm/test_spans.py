@@ -79,11 +79,36 @@ def test_the_ledger_scans_only_what_is_new(spark):
     second = day(("a", "token=abcdef1"), ("a", "token=abcdef1 x"), ("d", "nothing"))
     new = secrets.scan(second, ledger)
     assert new.count() == 2 and new.join(ledger, "blob").count() == 0
-    assert secrets.scan(second, ledger, version=2).count() == 3
+    assert secrets.scan(second, ledger, version="other").count() == 3
     found = secrets.findings(second, ledger.unionByName(new))
     assert {(r.path, len(r.spans)) for r in found.collect()} == {("a", 1), ("d", 0)} and found.count() == 3
 
 
+def test_the_query_keeps_one_ledger_and_scans_unseen_blobs_only(spark, tmp_path, monkeypatch):
+    """A later run extends the ledger by what is new; changed rules start anew; a scan that broke off doesn't count."""
+    monkeypatch.setattr(secrets, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    day = [(1, "token=abcdef1"), (2, "token=abcdef1"), (3, None)]
+
+    def run(rows, name):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return sorted((r.doc_id, r.spans) for r in secrets.op6_blob_ledger_secrets(spark, f"{tmp_path}/{name}").collect())
+
+    sizes = lambda: sorted(spark.read.parquet(x).count() for x in secrets.complete_folders(spark, secrets.Ledger(spark).path))
+    assert run(day, "one") == [(1, "assign:0:13"), (2, "assign:0:13"), (3, "")] and sizes() == [2]
+    assert run([*day, (4, "x token=abcdef1")], "two")[-1] == (4, "assign:2:15") and sizes() == [1, 2]
+    assert run(day, "three")[0] == (1, "assign:0:13") and sizes() == [0, 1, 2]
+    broken = f"{secrets.Ledger(spark).path}/broken"
+    spark.createDataFrame([("x", "y", [])], secrets.LEDGER).write.parquet(broken)
+    (tmp_path / "shared/secrets-ledger" / broken.split("secrets-ledger/")[1] / "_SUCCESS").unlink()
+    ledger = secrets.Ledger(spark)
+    assert ledger.rows().count() == 3
+    ledger.compact()
+    assert sizes() == [3] and ledger.rows().count() == 3
+    before = secrets.rule_version()
+    monkeypatch.setattr(secrets, "MIN_VALUE", 8)
+    assert secrets.rule_version() != before and run(day, "four") == [(1, ""), (2, ""), (3, "")] and sizes() == [2]
+
+
 def test_trees_in_sql_equal_trees_in_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, (400, 3)).astype(float)
