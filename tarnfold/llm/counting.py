@@ -12,8 +12,6 @@ batch; repeated rows and ties of doc_id are counted each; an empty table gives n
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +66,6 @@ class SegmentTree:
             self.__init__(np.array([*old[:start], *leaves, *old[stop:]], np.int64))
 
 
-_PLAIN = re.compile(r"[ \n]\S+")
 #: Pre-tokens in a run at first, and at most.
 RUN, MOST = 32, 128
 
@@ -110,12 +107,7 @@ class CountedText:
         return self.whole[a : a + self.chars.node[self.chars.size + r]], self.lengths[at].tolist(), self.counts[at].tolist()
 
     def _counts(self, parts: list[str]) -> np.ndarray:
-        known = self.encoder.known
-        keys = [(p[1:] if p[0] == " " else p) if _PLAIN.fullmatch(p) and not self.encoder.has_special(p) else None for p in parts]
-        learn = sorted({k for k in keys if k is not None and k not in known})
-        self.encoder.learn(learn)
-        plain = [None if k is None else len(known[k]) for k in keys]  # before odd pieces, which may clear the table
-        return np.array([len(self.encoder.odd_ids(p)) if n is None else n for n, p in zip(plain, parts)], np.int64) // 2
+        return np.array([len(self.encoder.odd_ids(p)) for p in parts], np.int64) // 2
 
     def count(self) -> int:
         return self.tokens.total()
@@ -191,7 +183,7 @@ def texts_of(texts: list[str], encoder: Encoder) -> list[CountedText]:
     out: dict[int, CountedText] = {}
     if plain:
         found = encoder.grouped([texts[i].encode() for i in plain])
-        counts, lengths = found.sizes(), found.chars + 1
+        counts, lengths = found.sizes(), found.chars() + 1
         counts[found.at[:-1]] -= 1  # the line break before a text
         lengths[found.at[:-1]] -= 1
         for i, a, b in zip(plain, found.at[:-1].tolist(), found.at[1:].tolist()):

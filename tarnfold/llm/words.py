@@ -2,8 +2,8 @@
 
 The byte-level vocabulary never joins what stands on the two sides of the start of `` x``, a space before
 another character; nor does it join a line break that stands between two words to either.  So a text's
-ids are the ids of its pieces in a row.  Pieces repeat: their ids are kept, and the missing ones of a
-batch are encoded together.  Texts with other white space are cut before such spaces only.
+ids are the ids of its pieces in a row.  Pieces repeat: their ids are kept by their hashes, in arrays, and the
+missing ones of a batch are encoded together.  Texts with other white space are cut and encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -16,13 +16,35 @@ import numpy as np
 
 from .shingles import Powers, scramble
 
-#: Pieces that a task keeps, and bytes of them and their ids; the tables start afresh beyond either.
-KEEP, KEEP_BYTES = 200_000, 64_000_000
+#: Pieces that a task keeps the ids of, and how many ids; the table starts afresh beyond either.
+KEEP, KEEP_IDS = 300_000, 2_000_000
+#: The same of pieces that are kept as they are, and the characters of the longest.
+KEEP_ODD, LONGEST_ODD = 20_000, 200
 #: Characters of text that are worked on together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 END_ID = 2
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its tasks, and what one leaves the next can't use."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def is_latin(text: str) -> bool:
+    """Whether it has no letters from beyond U+024F."""
+    try:
+        text.encode("latin-1")  # nearly always, and many times as fast
+    except UnicodeEncodeError:
+        return max(text) < "\u0250"
+    return True
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -45,9 +67,8 @@ class Encoder:
     The vocabulary's added tokens stand for themselves wherever their strings are, as in the library; what is
     between them is encoded by itself.
 
-    ``known`` has the ids of each piece as unsigned 16-bit bytes.  A piece stands for itself after a
-    space, or after nothing if it begins with a line break; ``odd`` has those that hold other white space or
-    an added token's string.  Both are bounded, and a task drops them when it ends.
+    ``kept`` has the ids of pieces: a word stands for itself after a space or, with another hash, after a line
+    break.  ``odd`` has those of any pieces, as unsigned 16-bit bytes.  Both are bounded, and a task drops them when it ends.
     """
 
     def __init__(self, path: str):
@@ -78,9 +99,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Drops what texts have left here."""
-        self.known: dict[str, bytes] = {}
+        self.kept = Kept()
         self.odd: dict[str, bytes] = {}
-        self.held = 0
         self.powers = Powers()
         self._whole = None
 
@@ -88,13 +108,12 @@ class Encoder:
     @contextlib.contextmanager
     def lent(path: str | None = None):
         """The process's encoder for the time of a task."""
-        yield Encoder.shared(path)
-
-    def _tidy(self) -> None:
-        if len(self.known) + len(self.odd) > KEEP or self.held > KEEP_BYTES:
-            self.known.clear()
-            self.odd.clear()
-            self.held = 0
+        encoder = Encoder.shared(path)
+        try:
+            yield encoder
+        finally:
+            encoder.forget()
+            give_back()
 
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
@@ -112,7 +131,7 @@ class Encoder:
         """Of a text in which added tokens' strings are ordinary text."""
         if not text:
             return np.zeros(0, np.uint16)
-        if text.isascii() or max(text) < "\u0250":
+        if is_latin(text):
             return np.array(self._latin(text), np.uint16)
         if self._whole is None:
             import os
@@ -124,23 +143,28 @@ class Encoder:
             self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self._whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def learn(self, missing: list[str]) -> None:
-        """Adds pieces: without spaces, and without line breaks but one at the start."""
-        latin = [p for p in missing if p.isascii() or max(p) < "\u0250"]
-        other = [p for p in missing if not (p.isascii() or max(p) < "\u0250")] if len(latin) < len(missing) else []
-        for group in ([p for p in g if (p[0] == "\n") == x] for g in (latin, other) for x in (False, True)):
-            for i in range(0, len(group), 4000):
-                part = group[i : i + 4000]
-                breaks = part[0][0] == "\n"
-                ids = self._ids("".join(part) if breaks else " " + " ".join(part))
-                at = np.flatnonzero(ids == self.newline) if breaks else np.flatnonzero(self.opens[ids])
-                if len(at) != len(part):  # line breaks may melt into other white space
-                    self.known.update((p, self._ids(p if breaks else " " + p).tobytes()) for p in part)
-                    self.held += 2 * sum(map(len, part))
+    def _encoded(self, words, broken: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids in a row of an Arrow array of words, each after a space, or after a line break that counts to it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes, ids = [], []
+        mark = "\n" if broken else " "
+        for i in range(0, len(words), 4000):
+            part = words.slice(i, 4000)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.cast(pa.string())), mark)[0].as_py()
+            if is_latin(text):
+                own = self._ids(mark + text)
+                at = np.flatnonzero(own == self.newline if broken else self.opens[own])
+                if len(at) == len(part):
+                    sizes.append(np.diff(np.append(at, len(own))))
+                    ids.append(own)
                     continue
-                self.held += 2 * len(ids) + sum(map(len, part))
-                raw, cuts = ids.tobytes(), (2 * np.append(at, len(ids))).tolist()
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+            # other letters, or line breaks that melted into other white space
+            each = [self._ids(mark + w) for w in part.to_pylist()]
+            sizes.append(np.array([len(x) for x in each]))
+            ids += each
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def plain(self, text: str) -> bool:
         """Whether a text has words with single spaces and line breaks between them only, as grouped() takes them."""
@@ -150,15 +174,16 @@ class Encoder:
         """Ids of any piece between two cuts, added tokens included."""
         found = self.odd.get(piece)
         if found is None:
-            self._tidy()
             if self.has_special(piece):
                 parts = self._between.split(piece)
                 ids = [np.array([self.special[p]], np.uint16) if k % 2 else self._ids(p) for k, p in enumerate(parts)]
                 found = np.concatenate(ids).tobytes()
             else:
                 found = self._ids(piece).tobytes()
-            self.odd[piece] = found
-            self.held += len(found) + len(piece)
+            if len(piece) <= LONGEST_ODD:
+                if len(self.odd) >= KEEP_ODD:
+                    self.odd.clear()
+                self.odd[piece] = found
         return found
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -182,66 +207,129 @@ class Encoder:
 
         Without ``breaks`` every piece stands after a space.
         """
-        self._tidy()
-        joined = b"\n".join(texts) + b"\n"
-        raw = np.frombuffer(joined, np.uint8)
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.powers.reach(len(raw) + 1)
-        ends = np.flatnonzero((raw == 32) | (raw == 10))
+        apart = (raw == 32) | (raw == 10)
+        ends = np.flatnonzero(apart)
         starts = np.concatenate(([0], ends[:-1] + 1))
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(raw)], out=sums[1:])
+        np.cumsum((raw + np.uint64(1)) * self.powers.up[: len(raw)], out=sums[1:])
         key = scramble((sums[ends] - sums[starts]) * self.powers.down[starts])
         if breaks:
             broken = np.concatenate(([True], raw[ends[:-1]] == 10))
             key[broken] = scramble(key[broken] + np.uint64(1))
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        own = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if breaks:
-            own = [b"\n" + w if x else w for w, x in zip(own, broken[first].tolist())]
-        pieces = [w.decode() for w in own]
+        order = np.argsort(key)
+        ascending = key[order]
+        new = np.concatenate(([True], ascending[1:] != ascending[:-1]))
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first, keys = order[new], ascending[new]
         at = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1))
-        begun = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
-        chars = begun[ends] - begun[starts]
-        if not encode:
-            return Grouped(pieces, [], inverse, at, chars, key[first])
-        found = list(map(self.known.get, pieces))
-        missing = [p for p, x in zip(pieces, found) if x is None]
-        if missing:
-            self.learn(missing)
-            found = list(map(self.known.__getitem__, pieces))
-        return Grouped(pieces, found, inverse, at, chars, key[first])
+        found = Grouped(raw, apart, starts, ends, first, which, keys, at)
+        if encode:
+            begin, size = self.kept.find(keys)
+            missing = np.flatnonzero(size < 0)
+            if len(missing):
+                if self.kept.full():
+                    self.kept = Kept()
+                    missing = np.arange(len(keys))
+                own = broken[first[missing]] if breaks else np.zeros(len(missing), bool)
+                for kind in (False, True):
+                    some = missing[own == kind]
+                    if len(some):
+                        self.kept.add(keys[some], *self._encoded(found.words(some), kind))
+                begin, size = self.kept.find(keys)
+            found.kept, found.begin, found.size = self.kept.ids, begin, size
+        return found
+
+
+class Kept:
+    """Ids of pieces by hash: two sorted tables, of which the lesser takes what is new, over one array of ids."""
+
+    def __init__(self):
+        self.ids, self.n = np.zeros(1 << 16, np.uint16), 0
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+
+    def full(self) -> bool:
+        return self.n > KEEP_IDS or sum(len(t[0]) for t in self.tables) > KEEP
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of ascending hashes begin, and how many they are (-1: not here)."""
+        begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        for own, starts, sizes in self.tables:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                begin[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return begin, size
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.n + len(ids) > len(self.ids):
+            wider = np.zeros(2 * (self.n + len(ids)), np.uint16)
+            wider[: self.n] = self.ids[: self.n]
+            self.ids = wider
+        self.ids[self.n : self.n + len(ids)] = ids
+        new = (keys, self.n + np.cumsum(sizes) - sizes, sizes)
+        self.n += len(ids)
+        great, less = self.tables
+        less = self._merged(less, new)
+        if 4 * len(less[0]) > len(great[0]):
+            great, less = self._merged(great, less), (keys[:0], sizes[:0], sizes[:0])
+        self.tables = [great, less]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate((a[0], b[0])))
+        return tuple(np.concatenate((x, y))[order] for x, y in zip(a, b))
 
 
 class Grouped:
-    """Distinct ``pieces`` with their ids and hashes (``keys``), which piece stands at each place (``which``) and its
-    ``chars`` (without the space or break before it), and where each text begins (``at``, one more at the end)."""
+    """Pieces of texts: the hashes of distinct ones (``keys``, ascending), which of them stands at each place (``which``),
+    and at which place each text begins (``at``, one more at the end)."""
+
+    def __init__(self, raw, apart, starts, ends, first, which, keys, at):
+        self.raw, self.apart, self.starts, self.ends, self.first = raw, apart, starts, ends, first
+        self.which, self.keys, self.at = which, keys, at
+
+    def words(self, some: np.ndarray | None = None):
+        """An Arrow array of distinct pieces, or of some of them, without the space or break before them."""
+        import pyarrow as pa
+
+        first = self.first if some is None else self.first[some]
+        sizes = (self.ends - self.starts)[first]
+        ends = np.cumsum(sizes)
+        data = self.raw[np.repeat(self.starts[first] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = np.concatenate(([0], ends))
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
 
-    def __init__(self, pieces: list[str], found: list[bytes], which: np.ndarray, at: np.ndarray, chars: np.ndarray, keys: np.ndarray):
-        self.pieces, self.found, self.which, self.at, self.chars, self.keys = pieces, found, which, at, chars, keys
+    def chars(self) -> np.ndarray:
+        """Characters at each place."""
+        begun = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80)))  # before each byte
+        return begun[self.ends] - begun[self.starts]
 
     def sizes(self) -> np.ndarray:
         """How many ids each place has."""
-        return (np.fromiter(map(len, self.found), np.int64, len(self.found)) // 2)[self.which]
+        return self.size[self.which]
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all places in a row, and where each place's begin (one more at the end)."""
-        flat = np.frombuffer(b"".join(self.found), np.uint16)
-        sizes = np.fromiter(map(len, self.found), np.int64, len(self.found)) // 2
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[self.which]
+        each = self.sizes()
         ends = np.concatenate(([0], np.cumsum(each)))
-        return flat[np.repeat(begin[self.which] - ends[:-1], each) + np.arange(ends[-1])], ends
+        return self.kept[np.repeat(self.begin[self.which] - ends[:-1], each) + np.arange(ends[-1])], ends
 
 
 def batches(rows, text=lambda batch: batch.column("text"), chars: int = TOGETHER):
     """Slices of Arrow record batches with about so many bytes of text each; long texts come alone."""
     import pyarrow.compute as pc
 
-    for batch in rows:
-        ends = np.cumsum(np.nan_to_num(pc.binary_length(text(batch)).to_numpy(zero_copy_only=False)))
-        start, n = 0, batch.num_rows
-        while start < n:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + chars, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in rows:
+            ends = np.cumsum(np.nan_to_num(pc.binary_length(text(batch)).to_numpy(zero_copy_only=False)))
+            start, n = 0, batch.num_rows
+            while start < n:
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + chars, "right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
