@@ -141,3 +141,40 @@ def test_redaction(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == "mail [EMAIL] or [PHONE]!" and got[1].n_chars == len(got[1].text) and got[1].spans == "k"
     assert got[2].text is None and got[3].text == "clean" and "4111" not in got[4].text and got[4].text.endswith(" é")
+
+
+def test_a_corpus_teaches_how_it_announces_personal_data(spark):
+    """The word before what the base patterns find makes like numbers without their form personal too; other numbers stay."""
+    dice = random.Random(6)
+    d = lambda k: "".join(dice.choice("0123456789") for _ in range(k))
+    texts = [f"und zorbel +1 ({d(3)}) {d(3)}-{d(4)} quen, la vemo {d(9)} tre" for _ in range(150)] + [f"at the ronta {d(3)}-{d(3)}-{d(4)} on" for _ in range(100)]
+    by = pii.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert by.words["zorbel"] > 1 > 0 > by.words["ronta"]
+    rows = [("und zorbel 603-555-1234 quen", 1), ("at the ronta 603-555-1234 on", 0), ("la vemo 603555123 tre", 0), ("und zorbel quen", 0)]
+    df = spark.createDataFrame(rows, "text string, n int")
+    got = df.select("text", "n", F.size(pii.personal_spans(F.col("text"), by)).alias("found")).collect()
+    assert [r.found for r in got] == [r.n for r in got]
+    plain = df.select("text", F.size(pii.personal_spans(F.col("text"))).alias("found")).collect()
+    assert plain[0].found == 0  # which nobody could know without the corpus
+
+
+def test_planted_candidates_in_real_documents(spark, sf):
+    """Recall and precision of what the trees add, on announced and unannounced numbers put into documents of the test data."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400").select("text").limit(400).collect()]
+    dice = random.Random(9)
+    d = lambda k: "".join(dice.choice("0123456789") for _ in range(k))
+    bad = [lambda: f"call {d(3)}-{d(3)}-{d(4)}", lambda: f"tel. 0{d(3)} {d(6)}", lambda: f"ssn {d(3)}-{d(2)}-{d(4)}", lambda: f"passport no {d(9)}", lambda: "contact lee [at] some [dot] net"]
+    good = [lambda: f"order {d(9)}", lambda: f"version {d(1)}.{d(2)}.{d(3)}.{d(4)}", lambda: d(8), lambda: f"isbn {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: "look at this dot com"]
+    rows = []
+    for k, t in enumerate(docs):
+        words, planted = t.split(" "), dice.choice(bad if k % 2 else good)()
+        at = dice.randrange(1, len(words))
+        rows.append((" ".join([*words[:at], planted, *words[at:]]), k % 2))
+    df = spark.createDataFrame(rows, "text string, planted int")
+    by = pii.fitted(spark.createDataFrame([(t,) for t in docs], "text string"))
+    added = F.size(F.filter(pii.personal_spans(F.col("text"), by), lambda s: s["kind"] >= pii.BASE_KINDS))
+    got = df.select("planted", added.alias("n")).collect()
+    recall = np.mean([r.n > 0 for r in got if r.planted])
+    wrong = np.mean([r.n > 0 for r in got if not r.planted])
+    print(f"recall {recall:.3f}, wrongly added {wrong:.3f}")
+    assert recall > 0.85 and wrong < 0.03
