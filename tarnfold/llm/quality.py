@@ -2,12 +2,13 @@
 
 A host (the ``source`` column) has a failure rate: the share of its documents that break a rule.  Rates
 are shrunk towards all hosts' by a beta prior fitted to them by moments, so that a small host is not
-judged by a few documents.  A host whose shrunk rate reaches ``bad_rate`` is strict ground: its documents
-are held to the strict limits, others to the usual ones.  A document that breaks no limit stays wherever
-it comes from.
+judged by a few documents.  A host whose shrunk rate is in the prior's upper tail (TAIL standard deviations above its
+mean), or reaches ``bad_rate``, is strict ground: its documents are held to the strict limits, others to the usual
+ones.  A document that breaks no limit stays wherever it comes from.
 
-Defined results: a null text has no words, and fails the base rule; a null source is a host of its own;
-repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+Defined results: a null text has no words, and fails the base rule; a null source is a host of its own; a very long
+text is read as a whole; repeated rows and ties of doc_id are judged each; hosts that tie get the same verdict; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .words import batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Shrunk failure rate from which a host is strict ground.
-BAD_RATE = 0.5
+#: Shrunk failure rate from which a host is strict ground whatever the others' are, and how far in the prior's tail it is so otherwise (a host in a hundred, were they as a normal distribution).
+BAD_RATE, TAIL = 0.5, 2.33
 #: (usual, strict) limits: symbols a word, share of capitals among ASCII letters, share of repeated lines, characters a word.
 LIMITS = {"symbols": (0.2, 0.1), "capitals": (0.6, 0.4), "repeated_lines": (0.5, 0.35), "long_words": (15.0, 12.0)}
 FIGURES = {
@@ -107,12 +108,12 @@ def broken(strict: bool) -> str:
 
 def verdict(bad_rate: float) -> Column:
     """Whether a document is kept, by its figures and its host's rate."""
-    limit = F.when(F.col("host_rate") >= bad_rate, F.expr(broken(True))).otherwise(F.expr(broken(False)))
+    limit = F.when(F.col("host_rate") >= F.least(F.lit(bad_rate), F.col("host_limit")), F.expr(broken(True))).otherwise(F.expr(broken(False)))
     return ~(base_failed() | limit)
 
 
 def host_rates(stats: DataFrame) -> DataFrame:
-    """(source, host_docs, host_rate): failure rates shrunk by a beta prior of mean m and strength s.
+    """(source, host_docs, host_rate, host_limit): failure rates shrunk by a beta prior of mean m and strength s, and where the prior's tail begins.
 
     With the variance v of the rates over hosts, less what sampling explains, s = m (1 - m) / v - 1, held to 1..1000.
     """
@@ -123,7 +124,8 @@ def host_rates(stats: DataFrame) -> DataFrame:
     m = m or 0.0
     v = max((spread or 0.0) - m * (1 - m) * (per_host or 0.0), 1e-9)
     s = max(1.0, min(1000.0, m * (1 - m) / v - 1))
-    return hosts.select("source", "host_docs", ((F.col("failures") + F.lit(m * s)) / (F.col("host_docs") + F.lit(s))).alias("host_rate"))
+    tail = m + TAIL * (m * (1 - m) / (s + 1)) ** 0.5
+    return hosts.select("source", "host_docs", F.lit(float(tail)).alias("host_limit"), ((F.col("failures") + F.lit(m * s)) / (F.col("host_docs") + F.lit(s))).alias("host_rate"))
 
 
 def judged(stats: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
@@ -152,9 +154,8 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _sql() -> str:
-    """The same in DuckDB: windows by position, and the host verdicts from the rows' figures."""
-    return rf"""
+#: The same in DuckDB, with the limits written out: windows by position, and the host verdicts from the rows' figures.
+ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 e AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
@@ -166,13 +167,12 @@ s AS (SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_su
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
   length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN r USING (rid)),
-f AS (SELECT *, ({BASE_FAILED}) AS base_failed, {broken(False)} AS usual, {broken(True)} AS strict FROM s),
+q AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbols, n_upper / greatest(n_letters, 1) AS capitals, n_dup_lines / greatest(n_lines, 1) AS lines, word_chars / greatest(n_words, 1) AS long FROM s),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  symbols > 0.2 OR capitals > 0.6 OR lines > 0.5 OR long > 15 AS usual, symbols > 0.1 OR capitals > 0.4 OR lines > 0.35 OR long > 12 AS strict FROM q),
 h AS (SELECT source, count(*) AS k, sum(CASE WHEN base_failed OR usual THEN 1 ELSE 0 END) AS x FROM f GROUP BY source),
 m AS (SELECT sum(x) / sum(k) AS m, var_pop(x / k) - sum(x) / sum(k) * (1 - sum(x) / sum(k)) * avg(1 / k) AS v FROM h),
 p AS (SELECT m, greatest(1.0, least(1000.0, m * (1 - m) / greatest(v, 1e-9) - 1)) AS s FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR CASE WHEN (x + m * p.s) / (k + p.s) >= {BAD_RATE} THEN strict ELSE usual END) AS kept
+  NOT (base_failed OR CASE WHEN (x + m * p.s) / (k + p.s) >= least(0.5, m + 2.33 * sqrt(m * (1 - m) / (p.s + 1))) THEN strict ELSE usual END) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source CROSS JOIN p"""
-
-
-ORACLE_SQL = _sql()

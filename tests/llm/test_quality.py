@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.llm import quality
+from tarnfold.llm.common import stored
 
 
 def brute(t):
@@ -60,3 +61,25 @@ def test_kept_agrees_with_the_query(spark, odd):
     assert out.columns == docs.columns
     want = collections.Counter(r.doc_id for r in quality.op8_host_quality_rules(spark, odd).where("kept").collect())
     assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == want
+
+
+def test_hosts_change_verdicts_of_real_documents(spark, sf):
+    """Junk of the test data is put on one host with some documents of middling figures: those go, the same on other hosts stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    junk = [r.doc_id for r in quality.op8_host_quality_rules(spark, sf).where("not kept").select("doc_id").collect()]
+    middling = " ".join(f"word{i}" + "#" * (i % 7 == 0) for i in range(100))  # 15 symbols in 100 words: between the strict and the usual limit
+    moved = docs.withColumn("source", F.when(F.col("doc_id").isin(junk), "farm").otherwise(F.col("source")))
+    extra = spark.createDataFrame([(-1 - i, s, f"text {i} {middling}") for i, s in enumerate(["farm"] * 10 + ["src1", "src2", "src3"] * 2)], docs.schema)
+    rows = quality.judged(stored(quality.with_stats(moved.unionByName(extra)), "stats")).collect()
+    rates = {r.source: (r.host_rate, min(0.5, r.host_limit)) for r in rows}
+    assert rates["farm"][0] >= rates["farm"][1] and all(a < b for s, (a, b) in rates.items() if s != "farm")
+    assert {r.source for r in rows if r.doc_id < 0 and r.kept} == {"src1", "src2", "src3"}
+    assert not any(r.kept for r in rows if r.doc_id < 0 and r.source == "farm")
+
+
+def test_a_spread_that_sampling_explains_makes_no_host_strict(spark):
+    """Hosts of one true rate, as in the test data: their rates differ by chance only."""
+    path = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source", F.col("text"))
+    hosts = quality.host_rates(stored(quality.with_stats(docs), "stats")).collect()
+    assert len(hosts) == 20 and all(h.host_rate < h.host_limit for h in hosts)
