@@ -9,10 +9,15 @@ from .common import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node hands its larger (or else its smaller) neighbours to the smallest node that it knows."""
+    """Every node hands its larger (or else its smaller) neighbours to the smallest node that it knows.
+
+    The least neighbours are stored before they are joined, so that the join's sides are plain shuffles: those Spark
+    can split where one node has very many neighbours, which it can't if it has to aggregate in the same stage.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(least, "least")
     met = both.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

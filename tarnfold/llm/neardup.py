@@ -10,11 +10,15 @@ Texts that agree in a band of registers are candidates.  Candidates that hang to
 and within a cluster every two texts are held against each other: links are those whose sets of shingles,
 taken from the whole texts, have a Jaccard similarity of at least 0.8.  Overlaps are counted shingle by
 shingle, so no pair becomes a row, and a link is passed on only if it joins what earlier ones left apart.
-A large cluster is dealt in blocks, each two of which meet in a task of bounded size.  Classes are the
-connected components of the links.  Equal texts are one node, found by digest, so copies never meet.
+Classes are the connected components of the links.  Equal texts are one node, found by digest, so copies never meet.
+
+A cluster that is too large for one task is verified in two passes.  In the first each text meets the hub that it
+shares most bands with, beside others of that hub; what is linked there is one class already, and two texts of
+a class need not meet again.  In the second what is left apart meets: blocks of texts, each two of which come
+together in a task of bounded size, but for those of one class.
 
 Defined results: null and empty texts are one class of equal (empty) texts; a text of one to four words
-is one shingle; repeated rows fall into one class; a class is named by its least doc_id that isn't null
+is one shingle; a very long text is taken as a whole; repeated rows fall into one class; a class is named by its least doc_id that isn't null
 (by a negative number from its digest if all are null, or if that doc_id names another class); an empty table gives no rows; other columns are
 ignored.
 """
@@ -102,27 +106,74 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, node binary, n_shingles long, bands array<long>")
 
 
-def clusters(found: DataFrame) -> DataFrame:
-    """(node, n, cluster) for every node that shares a band; ``found`` is the stored output of signed()."""
+def clusters(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, cluster) for every node that shares a band, and (a, b, bands): with which hub it shares how many.
+
+    ``found`` is the stored output of signed(); a band's hub is its least node.
+    """
     nodes = found.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).where("n > 0")
     bands = stored(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    edges = bands.join(hubs, "band").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = stored(hubs.select("band", "hub"), "hubs")  # a join of plain shuffles, which Spark can split where a band is hot
+    edges = bands.join(hubs.hint("merge"), "band").where(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("bands"))
+    edges = stored(edges, "edges")
     roots = components(edges)
     sizes = nodes.select("node", "n")
     own = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    return own.join(sizes, "node").select("node", "n", F.col("root").alias("cluster"))
+    members = own.join(sizes, "node").select("node", "n", F.col("root").alias("cluster"))
+    return stored(members, "clusters"), edges
+
+
+def _blocks(shingles: str, texts: str):
+    return F.greatest(F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.ceil(F.col(texts) / BLOCK_TEXTS))
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """(node, unit, side) from clusters(): the tasks in which a node meets others.  A node of a cluster of k blocks is in k units."""
+    """(node, unit, side, large) from clusters(): a unit for each cluster that is small enough; of ``large`` ones the nodes alone, without a unit."""
     total = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS))
-    rows = members.join(total.select("cluster", blocks.alias("blocks")), "cluster")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select("node", unit.alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    total = stored(total.select("cluster", (_blocks("shingles", "texts") > 1).alias("large")), "sizes")
+    rows = members.join(total, "cluster")
+    return rows.select("node", F.when(~F.col("large"), F.xxhash64("cluster")).alias("unit"), F.lit(0).alias("side"), "large", "n", "cluster")
+
+
+def by_hub(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, unit, side): each node of large clusters beside the hub that it shares most bands with; many such nodes are dealt to several units, each with the hub."""
+    best = F.min_by(F.col("b"), F.struct(-F.col("bands"), "b"))
+    chosen = edges.groupBy(F.col("a").alias("node")).agg(best.alias("hub")).join(large.select("node", "n"), "node")
+    total = chosen.groupBy("hub").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
+    total = stored(total.select("hub", _blocks("shingles", "texts").alias("parts")), "hub-sizes")
+    unit = lambda part: F.xxhash64("hub", part, F.lit("hub"))
+    nodes = chosen.join(total.hint("merge"), "hub").select("node", unit(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("unit"))
+    hubs = total.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.col("hub").alias("node"), unit(F.col("part")).alias("unit"))
+    return nodes.unionByName(hubs).withColumn("side", F.lit(0))
+
+
+def across(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, unit, side): the meetings of large clusters' nodes that are in different classes so far.
+
+    Blocks hold texts of one class, or of several small ones, and each two meet, but for two of one class; a block of
+    several classes also meets itself.
+    """
+    rows = large.select("node", "n", "cluster").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    own = rows.groupBy("cluster", "class").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
+    own = own.withColumn("parts", F.when((F.col("shingles") >= BLOCK_SHINGLES / 2) | (F.col("texts") >= BLOCK_TEXTS / 2), _blocks("shingles", "texts")).otherwise(0))
+    small = F.sum(F.when(F.col("parts") == 0, F.col("shingles"))), F.sum(F.when(F.col("parts") == 0, F.col("texts")))
+    total = own.groupBy("cluster").agg(F.count("*").alias("classes"), F.coalesce(small[0], F.lit(0)).alias("shingles"), F.coalesce(small[1], F.lit(0)).alias("texts"))
+    total = total.where("classes > 1").select("cluster", _blocks("shingles", "texts").alias("shared"))
+    own = stored(own.select("cluster", "class", "parts").join(total, "cluster"), "class-sizes")
+    # a block: its class (empty for one of several), and its number
+    def blocks(rows):
+        return rows.withColumn("label", F.when(F.col("parts") > 0, F.col("class")).otherwise(F.lit(b"")))
+
+    all_ = blocks(own).groupBy("cluster", "label").agg(F.max(F.when(F.col("parts") > 0, F.col("parts")).otherwise(F.col("shared"))).alias("parts"))
+    all_ = all_.select("cluster", F.col("label").alias("other_label"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    rows = blocks(rows.join(own.hint("merge"), ["cluster", "class"]))
+    number = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("class"), F.col("shared")))
+    rows = rows.select("node", "cluster", "label", number.alias("block")).join(stored(all_, "blocks"), "cluster")
+    one, two = F.struct("label", "block"), F.struct(F.col("other_label").alias("label"), F.col("other").alias("block"))
+    rows = rows.where((F.col("label") != F.col("other_label")) | (F.octet_length("label") == 0))
+    unit = F.xxhash64("cluster", F.least(one, two), F.greatest(one, two))
+    return rows.select("node", unit.alias("unit"), F.when(one <= two, 0).otherwise(1).alias("side"))
 
 
 def unit_links(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -173,11 +224,25 @@ def unit_links(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIM
 
 def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between nodes that make up the classes, from ``docs`` (text)."""
-    members = stored(clusters(found), "clusters")
+    members, edges = clusters(found)
     units = stored(dealt(members), "units")
+    large = units.where("large").select("node", "n", "cluster")
+    if large.isEmpty():
+        return verified(units.select("node", "unit", "side"), docs, similarity)
+    first = units.where(~F.col("large")).select("node", "unit", "side").unionByName(by_hub(large, edges))
+    first = verified(stored(first, "units"), docs, similarity)
+    roots = components(first)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    left = stored(across(large, roots), "units")
+    return first if left.isEmpty() else first.unionByName(verified(left, docs, similarity))
+
+
+def verified(units: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links within units (node, unit, side), from ``docs`` (text)."""
     # texts are shuffled once, by a merge join at every size; first of all copies are dropped
+    nodes = units.select("node").distinct()
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("node"), whole_text().alias("text"))
-    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").hint("merge"), "node", "left_semi")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(nodes.hint("merge"), "node", "left_semi")
     rows = texts.join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
 
     def hold(batches_):
@@ -230,9 +295,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = stored(signed(narrow), "signed")
     names = named(found, components(links(found, narrow, similarity)))
     heads = names.where("node = head_node").select("node", "head_doc")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.md5(whole_text())).alias("node")).join(heads.hint("merge"), "node")
-    rows = rows.where(F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head_doc")))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("doc")))).where("place = 1").select("doc.*")
+    # copies are told apart by doc_id before they meet, and of rows that agree in that too one is left before the last shuffle
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.md5(whole_text())).alias("node"), F.col("doc_id").cast("long").alias("id"))
+    same = (rows["node"] == heads["node"]) & F.col("id").eqNullSafe(F.col("head_doc"))
+    rows = rows.join(heads.hint("merge"), same).select(rows["node"], "doc")
+    return rows.groupBy("node").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
 
 
 def op3_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

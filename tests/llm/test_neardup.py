@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.llm import neardup
+from tarnfold.llm.common import stored
 from tarnfold.llm.components import components
 
 
@@ -119,6 +120,42 @@ def test_large_clusters_meet_in_blocks(spark, monkeypatch, sf):
     assert sorted(neardup.classes(docs).select("doc_id", "class_id", "representative").collect()) == want
 
 
+@pytest.mark.parametrize("texts_in_block", [4, 12])
+def test_large_clusters_of_several_classes_lose_no_link(spark, monkeypatch, texts_in_block):
+    """Drifting copies: neighbours are similar, far ones aren't, and clusters hold several classes; held against all pairs."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for family in range(4):
+        words = [f"f{family}w{i}" for i in range(80)]
+        for k in range(45):
+            for at in rng.choice(80, rng.integers(1, 4), replace=False):
+                words[at] = f"f{family}n{k}x{at}"
+            rows.append((1000 * family + k, " ".join(words)))
+    rows += [(9000 + i, rows[i][1]) for i in range(0, 40, 7)]
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", texts_in_block)
+    want, _ = brute(rows)
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: want[t] for i, t in rows}
+    assert 20 < len(set(want.values())) < 150
+
+
+def test_a_large_class_meets_its_hub_only(spark, monkeypatch):
+    """After the first pass nothing is left to meet, however many blocks the texts make."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 10)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = stored(neardup.signed(docs), "signed")
+    members, edges = neardup.clusters(found)
+    large = neardup.dealt(members).where("large")
+    units = neardup.by_hub(large.select("node", "n", "cluster"), edges)
+    assert large.count() == 200 and 200 <= units.count() < 260
+    roots = components(neardup.verified(stored(units, "units"), docs))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    assert neardup.across(large.select("node", "n", "cluster"), roots).count() == 0
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+
+
 def test_components(spark):
     links = [("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("e", "d"), ("f", "a"), ("z", "z")]
     rows = components(spark.createDataFrame(links, "a string, b string")).collect()
