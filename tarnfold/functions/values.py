@@ -86,8 +86,28 @@ def score(v: Column, path: str) -> Column:
     return member(v, path).number
 
 
-def label_of(v: Column, key: Column) -> Column:
-    """The first of LABELS that is a non-blank string, else the document if it is a string of at most 64 bytes, else the key."""
-    named = [F.when(F.trim(member(v, n).string) != "", member(v, n).string) for n in LABELS]
+#: White space at either end, of any script.
+OUTER_SPACE = r"(?U)^\s+|\s+$"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, OUTER_SPACE, "")
+
+
+def label_of(v: Column, key: Column, raw: Column | None = None) -> Column:
+    """The first of LABELS that is a non-blank string; of a document that is a string, or isn't JSON (``raw``), its text
+    without outer spaces if that is 1 to 64 bytes; else the key."""
+    named = [F.when(trimmed(member(v, n).string) != "", member(v, n).string) for n in LABELS]
     plain = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    return F.coalesce(*named, F.when(F.octet_length(plain) <= 64, plain), key)
+    if raw is not None:
+        plain = F.when(v.isNull(), raw).otherwise(plain)
+    plain = trimmed(plain)
+    return F.coalesce(*named, F.when(F.octet_length(plain).between(1, 64), plain), key)
+
+
+def textual_score(raw: Column, path: str) -> Column:
+    """A number as the original's indexes read it, without parsing: what follows the members' names, one after the
+    other, anywhere in the text.  So names inside strings and in other objects count too."""
+    names = [r'"\Q' + part.replace("\\E", r"\E\\E\Q") + r'\E"[ \t\r\n]*:[ \t\r\n]*' for part in path.split(".")]
+    found = F.regexp_extract(raw, "(?s)" + ".*?".join(names) + "([0-9.+eE-]*)", 1)
+    return F.when(found.rlike(NUMBER_TEXT), found.try_cast("double"))

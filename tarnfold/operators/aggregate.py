@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numeric
+from ..functions import document, numeric
 from .select import matching
 
 
@@ -35,3 +35,11 @@ def physical_stats(log: DataFrame) -> DataFrame:
         F.count_distinct("key").alias("keys"), F.max("seq").alias("last_seq"),
         F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).cast("long").alias("value_bytes"),
     )
+
+
+def log_audit(log: DataFrame) -> DataFrame:
+    """One row on a log's soundness: rows, keys, values that aren't JSON, and versions that share a place with another."""
+    places = log.groupBy("key", "seq", "batch_pos").agg(F.count("*").alias("n"), F.count_if((F.col("op") == "PUT") & document(F.col("raw")).isNull()).alias("bad"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    keys = places.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n") - 1).alias("extra"))
+    return keys.agg(total("n").alias("rows"), F.count("*").alias("keys"), total("bad").alias("invalid_json"), total("extra").alias("doubled"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import key_of, label_of
-from ..functions.values import LABELS, member
+from ..functions.values import LABELS, member, trimmed
 
 SCAN_LIMIT, SCAN_MOST = 100, 10_000
+#: The most that a scan or a filter over the web gives.
+WEB_MOST = 1000
 
 
 def shown(docs: DataFrame) -> DataFrame:
@@ -57,6 +59,21 @@ def range_scan(docs: DataFrame, start: str | None = None, end: str | None = None
     return docs.orderBy("key").limit(clamp(limit, SCAN_LIMIT, 1, most))
 
 
+def web_limit(limit: str | int | None) -> int:
+    """100 unless it is a number, and 1,000 at most; unlike a command's, 0 gives none."""
+    text = str(limit)
+    return min(int(text), WEB_MOST) if text.isascii() and text.isdigit() else SCAN_LIMIT
+
+
+def web_scan(docs: DataFrame, start: str | None = None, end: str | None = None, limit: str | int | None = None) -> DataFrame:
+    """range_scan() by the web's rules: blank bounds are passed over, and "-" and the like are keys as any other text is."""
+    if start and start.strip():
+        docs = docs.where(F.col("key") >= key_of(start))
+    if end and end.strip():
+        docs = docs.where(F.col("key") <= key_of(end))
+    return docs.orderBy("key").limit(web_limit(limit))
+
+
 def scan_arguments(words: list[str]) -> tuple[str | None, str | None, int | None]:
     """(start, end, limit) of a scan command's words: one is a limit if it is an integer, else a start; of two, an integer second one is a limit."""
     integer = lambda w: w.isascii() and w.isdigit()
@@ -72,7 +89,7 @@ def scan_arguments(words: list[str]) -> tuple[str | None, str | None, int | None
 def key_labels(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """(uuid, label) in the order of keys; 5,000 unless asked otherwise, and 50,000 at most."""
     rows = docs.orderBy("key").limit(clamp(limit, 5_000, 1, 50_000))
-    return rows.select(F.col("key").alias("uuid"), label_of(F.col("v"), F.col("key")).alias("label"))
+    return rows.select(F.col("key").alias("uuid"), label_of(F.col("v"), F.col("key"), F.col("raw")).alias("label"))
 
 
 def names(v: Column, term: str) -> Column:
@@ -80,7 +97,7 @@ def names(v: Column, term: str) -> Column:
     wanted = term.strip().lower()
     found = F.lit(False)
     for name in LABELS:
-        found = found | F.coalesce(F.lower(F.trim(member(v, name).string)) == wanted, F.lit(False))
+        found = found | F.coalesce(F.lower(trimmed(member(v, name).string)) == wanted, F.lit(False))
     return found
 
 

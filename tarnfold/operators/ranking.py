@@ -1,19 +1,26 @@
 """Leaderboards over (key, score).  Rank 1 has the highest score; ties go to the greater key.
 
-No operator ranks the whole table: a rank is a count of what comes before, a stretch of ranks is a
-bounded sort with an offset or the rows between two scores.  Only such bounded rows are numbered.
+No operator ranks the whole table: a rank is a count of what comes before, a stretch of ranks is a bounded
+sort.  A stretch far down begins at an anchor, a score (and among equal scores a part of the keys) with not many
+rows of the board between it and the first rank asked for; counts find it.  What is looked at more than once is
+written first, as (key, score), so that documents are parsed once.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import key_of, score
+from ..shared import is_stored, stored
 
+#: Ranks up to which a stretch is cut from the top, and the most rows between an anchor and a rank.
+NEAR = 10_000
+#: Scores that are counted at a time.
+PARTS = 32
 TOP_LIMIT, RANGE_LIMIT, MOST = 10, 50, 1000
 
 
@@ -30,6 +37,11 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("key", F.inline(F.filter(found, lambda s: s["score"].isNotNull())))
 
 
+def written(board: DataFrame) -> DataFrame:
+    """The board as a table of (key, score), for several looks at it."""
+    return board if is_stored(board) else stored(board.select("key", "score"), "board")
+
+
 def _board(rows: DataFrame, before: int) -> DataFrame:
     """Numbers a bounded set of rows, ``before`` of which rank ahead of it."""
     place = F.row_number().over(W.orderBy(*_best())) + F.lit(before)
@@ -52,6 +64,7 @@ def rank_of_key(board: DataFrame, key: str) -> DataFrame:
     The key's score is looked up first; a single pass then counts what beats it.
     """
     k = key_of(key)
+    board = written(board)
     own = board.where(F.col("key") == k).select("score").first()
     s = F.lit(float(own["score"]) if own else 0.0)
     better = (F.col("score") > s) | ((F.col("score") == s) & (F.col("key") > k))
@@ -59,11 +72,65 @@ def rank_of_key(board: DataFrame, key: str) -> DataFrame:
     return one if own else one.limit(0)
 
 
-def rank_range(board: DataFrame, first: int, last: int) -> DataFrame:
-    """Ranks ``first`` to ``last``, both included; empty if first is 0 or beyond last.  As long as asked for."""
+def rank_range(board: DataFrame, first: int, last: int, near: int = NEAR) -> DataFrame:
+    """Ranks ``first`` to ``last``, both included; empty if first is 0 or beyond last.  As long as asked for.
+
+    Up to ``near`` they are cut from the top; further down from an anchor as near as that.
+    """
     if first < 1 or first > last:
         return _board(board.limit(0), 0)
-    return _board(board.orderBy(*_best()).offset(first - 1).limit(last - first + 1), first - 1)
+    before = 0
+    if last > near:
+        board = written(board)
+        if board.count() < first:
+            return _board(board.limit(0), 0)
+        onward, before = _anchor(board, first, near)
+        board = board.where(onward)
+    return _board(board.orderBy(*_best()).limit(last - before), before).where(F.col("rank") >= first)
+
+
+def score_at(board: DataFrame, rank: int, near: int = NEAR) -> float:
+    """The score at a rank that the board has."""
+    onward, before = _anchor(board, rank, near)
+    return board.where(onward).orderBy(F.desc("score")).limit(rank - before).agg(F.min("score")).first()[0]
+
+
+def _anchor(board: DataFrame, rank: int, near: int) -> tuple[Column, int]:
+    """Which rows to go on with, and how many of the board come before them: fewer than ``rank``, by ``near`` at most.
+
+    Scores that part the rows evenly are counted, and so on between the two that the rank is between.  If it is
+    among equal scores, their keys are counted by how they begin.
+    """
+    rows, onward, before = board, F.lit(True), 0
+    while rank - before > near:
+        points = F.percentile_approx("score", [i / PARTS for i in range(PARTS + 1)], 10_000)
+        found = rows.agg(points.alias("p"), F.max("score").alias("high"), F.min("score").alias("low")).first()
+        scores = sorted({found["high"], found["low"], *found["p"]}, reverse=True)
+        counts = rows.agg(*[F.count_if(F.col("score") >= s if at else F.col("score") > s).alias(f"c{i}{at}") for i, s in enumerate(scores) for at in (0, 1)]).first()
+        i = next(i for i in range(len(scores)) if before + counts[f"c{i}1"] >= rank)
+        if before + counts[f"c{i}0"] < rank:  # among those with this very score
+            s = F.lit(scores[i])
+            return _anchor_of_keys(board.where(F.col("score") == s), rank, near, F.col("score") < s, F.col("score") == s, before + counts[f"c{i}0"])
+        before += counts[f"c{i - 1}1"]
+        onward = F.col("score") < F.lit(scores[i - 1])
+        rows = board.where(onward & (F.col("score") > F.lit(scores[i])))
+    return onward, before
+
+
+def _anchor_of_keys(ties: DataFrame, rank: int, near: int, lower: Column, equal: Column, before: int) -> tuple[Column, int]:
+    """The same among rows of one score, by the first characters of their keys: up to 16 ** 4 beginnings at a time."""
+    keys, width = F.lit(True), 0
+    while rank - before > near and width < 36:
+        width += 4
+        begin = F.substring("key", 1, width)
+        found = ties.groupBy(begin.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
+        for r in found:
+            if before + r["n"] >= rank:
+                keys = begin <= F.lit(r["b"])
+                ties = ties.where(begin == F.lit(r["b"]))
+                break
+            before += r["n"]
+    return lower | (equal & keys), before
 
 
 def _around(board: DataFrame, centre: int, total: int, limit: int) -> DataFrame:
@@ -79,6 +146,7 @@ def _around(board: DataFrame, centre: int, total: int, limit: int) -> DataFrame:
 
 def around_key(board: DataFrame, key: str, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """``limit`` (10; 1000 at most) rows with the key in their middle; empty if it has no score.  The key's rank is looked up first."""
+    board = written(board)
     own = rank_of_key(board, key).first()
     return _around(board, own["rank"], own["total_ranked"], _limit(limit, TOP_LIMIT, most)) if own else rank_range(board, 0, 0)
 
@@ -87,6 +155,7 @@ def around_score(board: DataFrame, target: float, limit: int | None = None, most
     """``limit`` (10; 1000 at most) rows around the place where a score would be."""
     if math.isnan(target):
         raise ValueError("a score can't be NaN")
+    board = written(board)
     found = board.agg(F.count_if(F.col("score") > target).alias("above"), F.count("*").alias("total")).first()
     return _around(board, min(found["total"], found["above"] + 1), found["total"], _limit(limit, TOP_LIMIT, most))
 
@@ -97,6 +166,7 @@ def score_range(board: DataFrame, low: float, high: float, limit: int | None = N
         raise ValueError("a score can't be NaN")
     if low > high:
         return rank_range(board, 0, 0)
+    board = written(board)
     above = board.agg(F.count_if(F.col("score") > high)).first()[0]
     rows = board.where(F.col("score").between(low, high)).orderBy(*_best()).limit(_limit(limit, RANGE_LIMIT, most))
     return _board(rows, above)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import label_of
+from ..shared import released, stored
+from .ranking import score_at
 
 
 def byte_size(n: Column) -> Column:
@@ -19,7 +21,7 @@ def byte_size(n: Column) -> Column:
 
 def search(docs: DataFrame, term: str) -> DataFrame:
     """(uuid, label, raw) of documents whose label, key or text contains the term, in any case."""
-    rows = docs.select(F.col("key").alias("uuid"), label_of(F.col("v"), F.col("key")).alias("label"), "raw")
+    rows = docs.select(F.col("key").alias("uuid"), label_of(F.col("v"), F.col("key"), F.col("raw")).alias("label"), "raw")
     wanted, found = term.strip().lower(), F.lit(False)
     for c in ("label", "uuid", "raw"):
         found = found | F.coalesce(F.contains(F.lower(c), F.lit(wanted)), F.lit(False))
@@ -29,11 +31,11 @@ def search(docs: DataFrame, term: str) -> DataFrame:
 def percentiles(df: DataFrame, column: str) -> DataFrame:
     """One row: avg, min, max, p50, p90 and p99, each percentile p the value at place floor(n * p) in order; zeros if there is none.
 
-    Two aggregations: the number of values tells which places are asked for.
+    Exact without holding all values anywhere: each is found as a rank is, between counted values.
     """
     x = F.col(column).cast("double")
-    n = df.select(F.count(x)).first()[0]
-    places = [int(n * p) / max(1, n - 1) for p in (0.5, 0.9, 0.99)]
-    row = df.agg(F.avg(x).alias("avg"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*[F.lit(min(1.0, p)) for p in places])).alias("p"))
-    out = row.select("avg", "min", "max", *[F.col("p")[i].alias(f"p{k}") for i, k in enumerate((50, 90, 99))])
-    return out.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in out.columns])
+    values = stored(df.select(x.alias("score"), F.lit("").alias("key")).where("score IS NOT NULL"), "values")
+    row = values.agg(*[F.coalesce(f("score"), F.lit(0.0)).alias(n) for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))], F.count("*").alias("n")).first()
+    found = {f"p{k}": score_at(values, row["n"] - min(row["n"] - 1, int(row["n"] * k / 100))) if row["n"] else 0.0 for k in (50, 90, 99)}
+    released(values)
+    return df.sparkSession.createDataFrame([(row["avg"], row["min"], row["max"], *found.values())], "avg double, min double, max double, p50 double, p90 double, p99 double")

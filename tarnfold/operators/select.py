@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.filters import compile_filter
-from .lookup import SCAN_LIMIT, SCAN_MOST, clamp
+from .lookup import SCAN_LIMIT, SCAN_MOST, clamp, web_limit
 
 #: Rows that the original looks at before it gives up, by command and over HTTP.
 COMPAT_SCAN, COMPAT_SCAN_HTTP = 100_000, 10_000
@@ -21,3 +21,9 @@ def filter_documents(docs: DataFrame, query: str, limit: int | None = None, prom
     """The first matches by key.  ``compat`` looks at the first ``scan`` rows only."""
     pool = docs.orderBy("key").limit(scan) if compat else docs
     return matching(pool, query, promoted, compat).orderBy("key").limit(clamp(limit, SCAN_LIMIT, 1, SCAN_MOST))
+
+
+def web_filter(docs: DataFrame, query: str, limit: str | int | None = None, promoted: dict | None = None, compat: bool = False) -> DataFrame:
+    """filter_documents() by the web's rules: 1,000 at most; ``compat`` looks at the first COMPAT_SCAN_HTTP rows only."""
+    pool = docs.orderBy("key").limit(COMPAT_SCAN_HTTP) if compat else docs
+    return matching(pool, query, promoted, compat).orderBy("key").limit(web_limit(limit))

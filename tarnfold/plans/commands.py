@@ -101,6 +101,15 @@ def parse_command(line: str) -> Command:
 
     if verb in ("PING", "QUIT", "TABLES", "MULTI", "EXEC", "DISCARD"):
         return Command(verb)
+    if verb == "METRICS":
+        return Command(verb)
+    if verb == "CONFIG":
+        need(1, "GET | SET name value")
+        if words[0].upper() == "GET":
+            return Command("CONFIG GET")
+        if words[0].upper() == "SET" and len(words) == 3:
+            return Command("CONFIG SET", None, {"name": words[1].lower(), "value": words[2]})
+        raise CommandError("usage: CONFIG GET | SET name value")
     if verb == "AUTH":
         need(1, "password")
         return Command(verb, None, {"password": words[0]})
@@ -130,6 +139,9 @@ def parse_command(line: str) -> Command:
     need(1, "table ...")
     table = words[0].lower()
     make = lambda v=verb, **args: Command(v, table, args)
+    if verb == "COMPRESSION":
+        need(2, "table type")
+        return make(type=words[1])
     if verb in ("GET", "DEL", "TTL"):
         need(2, "table key")
         return make(key=words[1])

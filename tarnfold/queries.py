@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
 from .edits import set_member
-from .functions import canonical_key, document, key_of, member, numeric
+from .functions import canonical_key, document, key_of, member, numeric, textual_score
 from .functions.values import allow_repeated_members
-from .sources.log import current_documents, index_scores, latest_versions, live_documents
+from .sources.log import compacted, current_documents, index_scores, latest_versions, live_documents, seconds_left
 from .sources.ndjson import documents_of_events, export_ndjson, lines_to_changes
 from .streaming import windowed_counts
 from .streaming.board import newest_scores
@@ -122,12 +122,36 @@ def _round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("key", document(F.col("raw")).alias("v")).select("key", member(F.col("v"), "user_id").number.cast("long").alias("user_id"), numeric(F.col("v"), "value").alias("value"))
 
 
-def _ttl_live(spark: SparkSession, d: str) -> DataFrame:
-    """Keys expire at their customer's first order plus 400 days, by a fixed clock; later puts don't help."""
+def _with_ttl(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Documents, TTLs and a clock: keys expire at their customer's first order plus 400 days; later puts don't help."""
     log = _log(spark, d)
     ttl = log.groupBy("key").agg((F.min("ts") + F.expr("INTERVAL 400 DAYS")).alias("expires_at"), F.lit(1).cast("long").alias("seq"))
-    live = live_documents(current_documents(log), ttl, F.lit("1996-06-01 00:00:00").cast("timestamp"))
-    return live.select("key", "raw")
+    return current_documents(log), ttl, F.lit("1996-06-01 00:00:00").cast("timestamp")
+
+
+def _ttl_live(spark: SparkSession, d: str) -> DataFrame:
+    return live_documents(*_with_ttl(spark, d)).select("key", "raw")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are objects, strings, other values and no JSON, by the event's id."""
+    n = F.col("event_id")
+    own = lambda before, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    kinds = [
+        own('"  Bob ', ' "'), F.lit('"  "'), own(" plain text ", "  "), own('{"name":"\\t","title":"T', '"}'), n.cast("string"),
+        own("x" * 70, ""), own('{"id":"x","user":"U', '","name":7}'), F.lit('["name"]'),
+    ]
+    raw = F.get(F.array(*kinds), (n % len(kinds)).cast("int"))
+    docs = _read(spark, d, "events").select(canonical_key(own("event:", "")).alias("key"), raw.alias("raw"))
+    return docs.withColumn("v", document(F.col("raw")))
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    """Every second document has something behind its end, which is no JSON."""
+    docs = _docs(spark, d)
+    even = F.substring("key", 1, 1).isin(*"02468ace")
+    docs = docs.withColumn("raw", F.when(even, F.concat("raw", F.lit(" x"))).otherwise(F.col("raw")))
+    return docs.withColumn("v", document(F.col("raw")))
 
 
 def _delete_where(spark: SparkSession, d: str) -> DataFrame:
@@ -160,9 +184,14 @@ QUERIES: dict[str, Query] = {
     "range_scan_both": lambda s, d: _uuid(ops.range_scan(_docs(s, d), "40000000-0000-0000-0000-000000000000", "50000000-0000-0000-0000-000000000000", 10_000)),
     "key_labels": lambda s, d: ops.key_labels(_docs(s, d).withColumn("v", F.try_parse_json(F.concat(F.lit('{"name":"  ","title":"T'), F.substring("key", 1, 4), F.lit('"}')))), 50_000),
     "label_lookup": lambda s, d: _uuid(ops.find_by_label(_read(s, d, "customer").select(canonical_key(F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit('{"name":" '), F.col("c_name"), F.lit(' "}')).alias("raw")).withColumn("v", F.try_parse_json("raw")), "customer#000000042", None)),
+    "key_labels_mixed": lambda s, d: ops.key_labels(_mixed(s, d), 50_000),
+    "web_scan": lambda s, d: _uuid(ops.web_scan(_docs(s, d), " ", "f0000000-0000-0000-0000-000000000000", "no number")),
+    "web_filter_compat": lambda s, d: _uuid(ops.web_filter(_docs(s, d), "props.k >= 50", "5000", compat=True)),
+    "filter_broken_json": lambda s, d: _uuid(ops.matching(_broken(s, d), "value != 12.34")),
+    "count_broken_json": lambda s, d: ops.count_documents(_broken(s, d)),
     **{name: _filtered(query) for name, (query, _) in FILTERS.items()},
     "filter_promoted": lambda s, d: (lambda docs, p: ops.matching(docs, 'value > 100 AND event_type = "click" OR user_id = 3', p).select("event_id", "value"))(*_typed(s, d)),
-    "filter_capped_compat": lambda s, d: _uuid(ops.filter_documents(_docs(s, d), "props.k >= 90", 10_000, compat=True, scan=5_000)),
+    "filter_capped_compat": lambda s, d: _uuid(ops.filter_documents(_docs(s, d), "props.k >= 90", 10_000, compat=True)),
     "filter_first": lambda s, d: _uuid(ops.filter_documents(_docs(s, d), "props.k >= 90")),
     "count_all": lambda s, d: ops.count_documents(_docs(s, d)),
     "count_where": lambda s, d: ops.count_documents(_docs(s, d), "value > 100 AND props.k < 50"),
@@ -181,6 +210,12 @@ QUERIES: dict[str, Query] = {
     "around_score_end": lambda s, d: ops.around_score(board_of_events(s, d), -1.0, 7),
     "score_range": lambda s, d: ops.score_range(board_of_events(s, d), 50.0, 60.0, 1000),
     "rank_range": lambda s, d: ops.rank_range(_ties(s, d), 30, 250),
+    "rank_range_deep": lambda s, d: ops.rank_range(_ties(s, d), 900, 1100, near=50),
+    "rankings_around_score": lambda s, d: ops.rankings(board_of_events(s, d), "around_score", 1200, score=250.0),
+    "rankings_score_range": lambda s, d: ops.rankings(board_of_events(s, d), "score_range", 2000, low=20.0, high=300.0),
+    "rankings_rank_range": lambda s, d: ops.rankings(board_of_events(s, d), "rank_range", first=5, last=60),
+    "textual_scores": lambda s, d: _docs(s, d).select("key", textual_score(F.col("raw"), "value").alias("score")).where("score IS NOT NULL"),
+    "textual_scores_nested": lambda s, d: _docs(s, d).select("key", textual_score(F.col("raw"), "props.k").alias("score")).where("score IS NOT NULL"),
     "rankings_uncapped": lambda s, d: ops.rankings(_ties(s, d), "top", 1500),
     "rankings_around": lambda s, d: ops.rankings(_ties(s, d), "around_key", 20, key="event:77"),
     "search": lambda s, d: ops.search(_docs(s, d), "CLICK").select("uuid", "label"),
@@ -190,6 +225,10 @@ QUERIES: dict[str, Query] = {
     "current_documents": lambda s, d: current_documents(_log(s, d)).select("key", "raw", "seq"),
     "delete_where": _delete_where,
     "ttl_live": _ttl_live,
+    "ttl_get": lambda s, d: seconds_left(*_with_ttl(s, d)),
+    "compacted_log": lambda s, d: compacted(_log(s, d))[0].select("key", "raw", "seq", "op"),
+    "compacted_gone": lambda s, d: compacted(_log(s, d))[1].select("key", "seq", "op"),
+    "log_audit": lambda s, d: ops.log_audit(_log(s, d)),
     "txn_batch": _txn_batch,
     "index_history": lambda s, d: index_scores(_log(s, d), "price", 1000),
     "board_of_log": lambda s, d: newest_scores(_log(s, d), "price").where("score is not null").select("key", "score"),
@@ -222,9 +261,15 @@ ORACLE_SQL: dict[str, str] = {
     "range_scan_both": _E + "SELECT key AS uuid, raw FROM e WHERE key BETWEEN '40000000-0000-0000-0000-000000000000' AND '50000000-0000-0000-0000-000000000000' ORDER BY key LIMIT 10000",
     "key_labels": _E + "SELECT key AS uuid, 'T' || substr(key, 1, 4) AS label FROM e ORDER BY key LIMIT 50000",
     "label_lookup": f"SELECT {_sql_key('CAST(c_custkey AS VARCHAR)')} AS uuid, '{{\"name\":\" ' || c_name || ' \"}}' AS raw FROM customer WHERE lower(trim(c_name)) = 'customer#000000042' ORDER BY 1 LIMIT 1",
+    "key_labels_mixed": _E + """SELECT key AS uuid, CASE event_id % 8 WHEN 0 THEN 'Bob ' || event_id WHEN 2 THEN 'plain text ' || event_id WHEN 3 THEN 'T' || event_id WHEN 6 THEN 'U' || event_id ELSE key END AS label
+  FROM e ORDER BY key LIMIT 50000""",
+    "web_scan": _E + "SELECT key AS uuid, raw FROM e WHERE key <= 'f0000000-0000-0000-0000-000000000000' ORDER BY key LIMIT 100",
+    "web_filter_compat": _E + "SELECT key AS uuid, raw FROM (SELECT * FROM e ORDER BY key LIMIT 10000) WHERE k >= 50 ORDER BY key LIMIT 1000",
+    "filter_broken_json": _E + "SELECT key AS uuid, raw FROM e WHERE substr(key, 1, 1) NOT IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AND NOT (kind = 'number' AND abs(x - 12.34) < 1e-9)",
+    "count_broken_json": "SELECT count(*) AS n FROM events",
     **{name: _E + f"SELECT key AS uuid, raw FROM e WHERE {where}" for name, (_, where) in FILTERS.items()},
     "filter_promoted": "SELECT event_id, value FROM events WHERE (value > 100 AND event_type = 'click') OR user_id = 3",
-    "filter_capped_compat": _E + "SELECT key AS uuid, raw FROM (SELECT * FROM e ORDER BY key LIMIT 5000) WHERE k >= 90 ORDER BY key LIMIT 10000",
+    "filter_capped_compat": _E + "SELECT key AS uuid, raw FROM (SELECT * FROM e ORDER BY key LIMIT 100000) WHERE k >= 90 ORDER BY key LIMIT 10000",
     "filter_first": _E + "SELECT key AS uuid, raw FROM e WHERE k >= 90 ORDER BY key LIMIT 100",
     "count_all": "SELECT count(*) AS n FROM events",
     "count_where": _E + "SELECT count(*) AS n FROM e WHERE kind = 'number' AND x > 100 AND k < 50",
@@ -243,6 +288,18 @@ ORACLE_SQL: dict[str, str] = {
     "around_score_end": f"WITH {BOARD} " + _around_sql("(SELECT least(count(*), 1 + count(*) FILTER (WHERE score > -1.0)) FROM r)", 7),
     "score_range": f"WITH {BOARD} SELECT * FROM r WHERE score BETWEEN 50.0 AND 60.0 ORDER BY rank LIMIT 1000",
     "rank_range": f"WITH {TIES} SELECT * FROM r WHERE rank BETWEEN 30 AND 250",
+    "rank_range_deep": lambda s, d: ops.rank_range(_ties(s, d), 900, 1100, near=50),
+    "rankings_around_score": lambda s, d: ops.rankings(board_of_events(s, d), "around_score", 1200, score=250.0),
+    "rankings_score_range": lambda s, d: ops.rankings(board_of_events(s, d), "score_range", 2000, low=20.0, high=300.0),
+    "rankings_rank_range": lambda s, d: ops.rankings(board_of_events(s, d), "rank_range", first=5, last=60),
+    "textual_scores": lambda s, d: _docs(s, d).select("key", textual_score(F.col("raw"), "value").alias("score")).where("score IS NOT NULL"),
+    "textual_scores_nested": lambda s, d: _docs(s, d).select("key", textual_score(F.col("raw"), "props.k").alias("score")).where("score IS NOT NULL"),
+    "rank_range_deep": f"WITH {TIES} SELECT * FROM r WHERE rank BETWEEN 900 AND 1100",
+    "rankings_around_score": f"WITH {BOARD} " + _around_sql("(SELECT least(count(*), 1 + count(*) FILTER (WHERE score > 250.0)) FROM r)", 1200),
+    "rankings_score_range": f"WITH {BOARD} SELECT * FROM r WHERE score BETWEEN 20.0 AND 300.0 ORDER BY rank LIMIT 2000",
+    "rankings_rank_range": f"WITH {BOARD} SELECT * FROM r WHERE rank BETWEEN 5 AND 60",
+    "textual_scores": _E + "SELECT key, x AS score FROM e WHERE kind = 'number'",
+    "textual_scores_nested": _E + "SELECT key, k AS score FROM e",
     "rankings_uncapped": f"WITH {TIES} SELECT * FROM r WHERE rank <= 1500",
     "rankings_around": f"WITH {TIES} " + _around_sql(f"(SELECT rank FROM r WHERE uuid = '{key_of('event:77')}')", 20),
     "search": _E + "SELECT key AS uuid, key AS label FROM e WHERE raw LIKE '%click%'",
@@ -252,6 +309,10 @@ ORACLE_SQL: dict[str, str] = {
     "current_documents": f"WITH {NEWEST} SELECT key, raw, seq FROM n WHERE op = 'PUT'",
     "delete_where": f"WITH {NEWEST} SELECT key, raw FROM n WHERE op = 'PUT' AND NOT coalesce(price >= 200000, false)",
     "ttl_live": f"WITH {NEWEST}, t AS (SELECT {_sql_key("'customer:' || o_custkey")} AS key, min(o_orderdate) + INTERVAL 400 DAYS AS expires_at FROM orders GROUP BY 1) SELECT n.key, raw FROM n JOIN t ON n.key = t.key WHERE op = 'PUT' AND expires_at > TIMESTAMP '1996-06-01 00:00:00'",
+    "ttl_get": f"WITH {NEWEST}, t AS (SELECT {_sql_key("'customer:' || o_custkey")} AS key, min(o_orderdate) + INTERVAL 400 DAYS AS expires_at FROM orders GROUP BY 1) SELECT n.key, CAST(epoch(CAST(expires_at AS TIMESTAMP)) - epoch(TIMESTAMP '1996-06-01 00:00:00') AS BIGINT) AS left FROM n JOIN t ON n.key = t.key WHERE op = 'PUT' AND expires_at > TIMESTAMP '1996-06-01 00:00:00'",
+    "compacted_log": f"WITH {NEWEST} SELECT key, raw, seq, op FROM n WHERE op = 'PUT'",
+    "compacted_gone": f"WITH {NEWEST} SELECT key, seq, op FROM n WHERE op <> 'PUT'",
+    "log_audit": f"WITH {VERSIONS} SELECT count(*) AS rows, count(DISTINCT key) AS keys, 0::BIGINT AS invalid_json, 0::BIGINT AS doubled FROM l",
     "txn_batch": f"WITH {VERSIONS} SELECT DISTINCT key, '{{\"price\":2}}' AS raw FROM l",
     "index_history": f"WITH {VERSIONS}, p AS (SELECT key, max(seq) FILTER (WHERE op = 'DEL') AS gone, max(seq) FILTER (WHERE price IS NOT NULL AND seq > 1000) AS put FROM l GROUP BY key) SELECT p.key, l.price AS score FROM p JOIN l ON l.key = p.key AND l.seq = p.put WHERE put > coalesce(gone, 0)",
     "board_of_log": f"WITH {NEWEST} SELECT key, price AS score FROM n WHERE price IS NOT NULL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable
 from typing import Any
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .edits import literal_value, set_member
-from .functions import document, key_of
+from .functions import key_of
 from .plans.commands import Command, CommandError, parse_command
-from .sources.log import Log, index_scores
+from .sources.files import Folder, Markers
+from .sources.log import COMPRESSION, Log, current_documents, index_scores, seconds_left
 from .sources.ndjson import export_ndjson, import_ndjson
 
 
@@ -23,7 +25,7 @@ class Table:
     ``now`` stands for the current time, if given.
     """
 
-    def __init__(self, spark: SparkSession, path: str, compat: bool = False, now: Column | None = None, compression: str = "lz4"):
+    def __init__(self, spark: SparkSession, path: str, compat: bool = False, now: Column | None = None, compression: str | None = None):
         self.spark, self.compat, self.now = spark, compat, now
         self.log = Log(spark, path, compression)
 
@@ -34,7 +36,7 @@ class Table:
         if self.compat:
             if path not in self.log.indexes:
                 raise CommandError(f"no index on {path}")
-            return index_scores(self.log.rows(), path, self.log.indexes[path])
+            return index_scores(self.log.rows(), path, self.log.indexes[path], textual=True)
         return ops.scored(self.documents(), path)
 
     # changes
@@ -56,10 +58,9 @@ class Table:
 
     def delete_where(self, query: str) -> int:
         """Deletes all matches in one batch; how many there were."""
-        before = self.log.next_seq()
         gone = ops.matching(self.documents(), query).select("key", F.lit(None).cast("string").alias("raw"), F.lit("DEL_WHERE").alias("op"))
-        self.log.append(gone)
-        return self.log.rows().where((F.col("seq") == before) & (F.col("op") == "DEL_WHERE")).count()
+        seq = self.log.append(gone)
+        return self.log.rows().where((F.col("seq") == seq) & (F.col("op") == "DEL_WHERE")).count()
 
     def expire(self, key: str, seconds: int) -> int:
         """1 if the key exists, else 0."""
@@ -71,12 +72,8 @@ class Table:
 
     def ttl(self, key: str) -> int:
         """Seconds left; -1 without a TTL, -2 if the key is absent or expired."""
-        if not ops.point_get(self.documents(), key).limit(1).count():
-            return -2
-        ttl = self.log.ttl()
-        now = F.current_timestamp() if self.now is None else self.now
-        left = ttl and ttl.where(F.col("key") == key_of(key)).agg((F.unix_seconds(F.max_by("expires_at", "seq")) - F.unix_seconds(now)).alias("left")).first()["left"]
-        return -1 if left is None else left
+        row = seconds_left(ops.point_get(current_documents(self.log.rows()), key), self.log.ttl(), self.now).first()
+        return row["left"] if row else -2
 
     def load(self, path: str) -> None:
         self.log.append(import_ndjson(self.spark, path))
@@ -112,6 +109,12 @@ class Table:
     def keys(self, limit: int | None = None) -> DataFrame:
         return ops.key_labels(self.documents(), limit)
 
+    def web_scan(self, start: str | None = None, end: str | None = None, limit: str | int | None = None) -> DataFrame:
+        return ops.lookup.shown(ops.web_scan(self.documents(), start, end, limit))
+
+    def web_filter(self, query: str, limit: str | int | None = None) -> DataFrame:
+        return ops.lookup.shown(ops.web_filter(self.documents(), query, limit, compat=self.compat))
+
     def find(self, term: str) -> DataFrame:
         return ops.lookup.shown(ops.find_by_label(self.documents(), term, scan=10_000 if self.compat else None))
 
@@ -135,10 +138,18 @@ class Table:
 
     def audit(self) -> DataFrame:
         """One row on the log's soundness: rows, keys, values that aren't JSON, versions that share a place."""
-        rows = self.log.rows()
-        doubled = rows.groupBy("key", "seq", "batch_pos").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)))
-        bad = F.count_if((F.col("op") == "PUT") & document(F.col("raw")).isNull())
-        return rows.agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"), bad.alias("invalid_json"), F.lit(doubled.first()[0]).cast("long").alias("doubled"))
+        return ops.log_audit(self.log.rows())
+
+
+def _within(low: float, high: float | None = None):
+    return lambda x: max(low, x if high is None else min(x, high))
+
+
+#: Settings: default, type, and what holds them in range.  What they stand for in an engine of its own, threads and caches, is Spark's here.
+SETTINGS: dict[str, tuple] = {
+    "compaction_trigger": (4, int, _within(2)),  # files of a table from which maintain() compacts it
+    "compression": ("lz4", lambda x: x.lower() if x.lower() in COMPRESSION else "lz4", lambda x: x),  # of tables that are made from then on
+}
 
 
 class Session:
@@ -155,15 +166,44 @@ class Session:
             if not create:
                 raise CommandError(f"no table {name}")
             t.log.create()
+            if (chosen := self.config()["compression"]) != t.log.compression():
+                t.log.set_compression(chosen)
         self.tables[name] = t
         return t
 
     def names(self) -> list[str]:
-        fs, path = Log(self.spark, self.root)._fs()
-        if not fs.exists(path(self.root)):
-            return []
-        found = [x.getPath().getName() for x in fs.listStatus(path(self.root)) if x.isDirectory()]
-        return sorted(n for n in found if Log(self.spark, f"{self.root}/{n}").exists())
+        found = Folder(self.spark, self.root)
+        return [n for n in found.folders() if Log(self.spark, f"{self.root}/{n}").exists()]
+
+    def config(self) -> dict[str, Any]:
+        """The settings of the tables under the folder, with their defaults."""
+        kept = Markers(Folder(self.spark, f"{self.root}/_settings"))
+        return {k: type_(kept.get(k, default)) for k, (default, type_, _) in SETTINGS.items()}
+
+    def configure(self, **changes: Any) -> dict[str, Any]:
+        """Changes settings; a value that can't be read leaves its setting, one out of range is moved into it.  Unknown names are errors."""
+        kept = Markers(Folder(self.spark, f"{self.root}/_settings"))
+        for name, value in changes.items():
+            if name not in SETTINGS:
+                raise CommandError(f"no setting {name}")
+            _, type_, within = SETTINGS[name]
+            with contextlib.suppress(ValueError):
+                kept[name] = str(within(type_(str(value).strip())))
+        return self.config()
+
+    def metrics(self) -> DataFrame:
+        """(metric, table, value): what a monitor asks for, of each table and of all (table null)."""
+        rows = [("up", None, 1.0)]
+        total = 0
+        for name in self.names():
+            log = self.table(name).log
+            files, size = Folder(self.spark, f"{log.path}/{log._version()}").bytes()
+            stats = self.table(name).stats().first()
+            rows += [(m, name, float(x)) for m, x in (("table_records", stats["total_records"]), ("table_keys", stats["keys"]), ("table_tombstones", stats["tombstones"]), ("table_files", files), ("table_disk_bytes", log.folder.bytes()[1]))]
+            total += log.folder.bytes()[1]
+        rows.append(("total_disk_bytes", None, float(total)))
+        rows.append(("shuffle_partitions", None, float(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        return self.spark.createDataFrame(rows, "metric string, table string, value double")
 
     def details(self) -> DataFrame:
         """(table, total_records, tombstones, keys, last_seq, value_bytes, size) of all tables, by name."""
@@ -171,6 +211,16 @@ class Session:
         out = self.spark.createDataFrame(rows, "table string, total_records long, tombstones long, keys long, last_seq long, value_bytes long")
         return out.withColumn("size", ops.byte_size(F.col("value_bytes"))).orderBy("table")
 
+    def maintain(self) -> list[str]:
+        """Compacts the tables that have come to as many files as the setting says; their names."""
+        most, done = self.config()["compaction_trigger"], []
+        for name in self.names():
+            log = self.table(name).log
+            if sum(n.endswith(".parquet") for n in Folder(self.spark, f"{log.path}/{log._version()}").names()) >= most:
+                log.compact()
+                done.append(name)
+        return done
+
     def run(self, line: str) -> Any:
         """A DataFrame, a number, a text, or a list of those from EXEC."""
         c = parse_command(line)
@@ -213,8 +263,16 @@ class Session:
         a, v = c.args, c.verb
         if v == "PING":
             return "PONG"
-        if v in ("QUIT", "AUTH"):  # who may connect is Spark's deployment's business
+        if v == "QUIT":
             return "OK"
+        if v == "AUTH":
+            raise CommandError("AUTH is not supported: who may connect is the business of Spark's deployment")
+        if v == "METRICS":
+            return self.metrics()
+        if v == "CONFIG GET":
+            return self.config()
+        if v == "CONFIG SET":
+            return self.configure(**{a["name"]: a["value"]})
         if v == "TABLES":
             return self.names()
         if v in ("FLUSH", "BACKUP") and c.table is None:
@@ -234,8 +292,10 @@ class Session:
                 self.tables.pop(c.table)
             return "OK"
         if v == "INDEX CREATE":
-            t.log.indexes.setdefault(a["path"], t.log.next_seq() - 1)
+            t.log.indexes.setdefault(a["path"], t.log.last_seq())
             return "OK"
+        if v == "COMPRESSION":
+            return t.log.set_compression(a["type"])
         if v == "JSON.SET":
             return t.json_set(a["key"], a["path"], literal_value(a["value"])) or "OK"
         if v == "SCAN":

@@ -48,6 +48,37 @@ def test_ties_go_to_the_greater_key(spark):
         assert ops.rank_of_key(board, str(uuid.UUID(int=k))).first()["rank"] == rank
 
 
+@pytest.mark.parametrize("kind", ["distinct", "few", "one", "skewed"])
+def test_deep_ranks_begin_at_an_anchor(spark, kind):
+    """Any stretch is that of a sort of all rows, whatever the scores are."""
+    from pyspark.sql import functions as F
+
+    score = {"distinct": F.col("id") * 1.5, "few": F.col("id") % 3, "one": F.lit(7.0), "skewed": F.when(F.col("id") % 10 < 8, 5.0).otherwise(F.col("id") % 100)}[kind]
+    key = F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 8), F.lit("-0000-0000-0000-000000000000"))
+    board = spark.range(6000).select(key.alias("key"), score.cast("double").alias("score"))
+    whole = sorted(((r.score, r.key) for r in board.collect()), reverse=True)
+    want = [(i + 1, k, s) for i, (s, k) in enumerate(whole)]
+    table = ops.written(board)
+    for first, last in ((101, 130), (2990, 3010), (4795, 4810), (5990, 6000), (5999, 7000), (1, 200), (6001, 6005)):
+        got = [(r["rank"], r["uuid"], r["score"]) for r in ops.rank_range(table, first, last, near=60).collect()]
+        assert got == want[first - 1 : last], (first, last)
+    assert [ops.score_at(table, i, near=60) for i in (1, 3000, 6000)] == [whole[i - 1][0] for i in (1, 3000, 6000)]
+
+
+def test_a_deep_rank_has_no_offset_and_a_short_sort(spark):
+    """Rank 500,000 of a million: the sort keeps the rows between the anchor and the last rank only."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    board = spark.range(1_000_000).select(F.concat(F.md5(F.col("id").cast("string")), F.lit("")).alias("key"), (F.xxhash64("id") % 10**9).cast("double").alias("score"))
+    df = ops.rank_range(board, 500_000, 500_010)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    limits = [int(x) for x in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)]
+    assert "offset" not in plan.lower() and limits and max(limits) <= 10_011
+    assert [r["rank"] for r in df.collect()] == list(range(500_000, 500_011))
+
+
 def test_no_operator_sorts_the_whole_board_in_one_task(board):
     for df in (ops.top_n(board, 5), ops.rank_range(board, 30, 50), ops.score_range(board, 50, 100)):
         assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()

@@ -126,7 +126,7 @@ def test_stream_keeps_the_board(spark, tmp_path):
     stream = BoardStream(spark, str(tmp_path / "state"), "x")
     for batch in ([("a", '{"x":1}'), ("b", '{"x":5}')], [("a", '{"x":9}'), ("b", None)], [("c", '{"x":2}')]):
         t.mset(batch)
-        stream.start(read_log(spark, f"{t.log.path}/log-000000"), str(tmp_path / "ck")).awaitTermination()
+        stream.start(read_log(spark, t.log.path), str(tmp_path / "ck")).awaitTermination()
         assert sorted(stream.board().collect()) == sorted(t.board("x").collect())
 
 
@@ -194,3 +194,172 @@ def test_scans(session):
     assert ids("SCAN players 2") == keys[:2] and ids(f"SCAN players {keys[1]} {keys[2]}") == keys[1:3]
     assert ids("SCAN players 0") == keys[:1]  # a limit of 0 counts as 1
     assert ids(f"SCAN players {keys[2]} {keys[1]}") == []
+
+
+def test_batch_numbers_never_fall(spark, tmp_path):
+    """Deletes and compactions leave no number to be given again, nor does a truncation."""
+    t = Table(spark, str(tmp_path / "t"))
+    t.set("a", "{}")
+    t.set("b", '{"x":1}')
+    t.delete("b")
+    assert t.log.last_seq() == 3
+    t.log.compact()
+    t.set("c", "{}")
+    assert t.log.last_seq() == 4 and max(r.seq for r in t.log.rows().collect()) == 4
+    t.delete_where("x = 1")
+    assert t.log.last_seq() == 5
+    t.log.truncate()
+    t.set("d", "{}")
+    assert [r.seq for r in t.log.rows().collect()] == [t.log.last_seq()] and t.log.last_seq() > 5
+
+
+def test_numbers_are_given_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tarnfold.sources.files import Counter, Folder
+
+    counters = [Counter(Folder(spark, str(tmp_path / "seq"))) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        given = [n for part in pool.map(lambda c: [c.take() for _ in range(10)], counters) for n in part]
+    assert len(set(given)) == 80 and counters[0].last() == max(given)
+
+
+def test_a_board_outlives_compactions_and_new_checkpoints(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    stream = BoardStream(spark, str(tmp_path / "state"), "x")
+    go = lambda ck="ck": stream.start(read_log(spark, t.log.path), str(tmp_path / ck)).awaitTermination()
+    same = lambda: sorted(stream.board().collect()) == sorted(t.board("x").collect())
+    t.mset([("a", '{"x":1}'), ("b", '{"x":5}'), ("d", '{"x":6}')])
+    go()
+    t.delete("b")
+    t.log.compact()  # the delete is in no log file now
+    t.set("c", '{"x":2}')
+    go()
+    assert same() and len(stream.board().collect()) == 3
+    t.set("a", '{"x":9}')
+    t.delete_where("x = 6")
+    t.log.compact()
+    t.set("b", '{"x":7}')  # back again
+    t.log.compact()
+    go()
+    assert same() and t.log.gone().count() == 1
+    t.set("a", '{"x":10}')
+    go("another")
+    assert same()
+
+
+def test_index_registry_is_kept_with_the_table(spark, tmp_path):
+    first = Session(spark, str(tmp_path / "db"), compat=True)
+    first.run('SET t a {"stats":{"kills":1}}')
+    first.run("INDEX CREATE t stats.kills")
+    first.run('SET t b {"stats":{"kills":2}}')
+    second = Session(spark, str(tmp_path / "db"), compat=True)
+    assert second.run("INDEX LIST t") == ["stats.kills"]
+    assert ranks(second.run("TOP t stats.kills 5")) == [(1, key_of("b"))]  # what was put after it was made
+
+
+def test_compression_is_kept_and_unknown_names_are_the_default(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    db = Session(spark, str(tmp_path / "db"))
+    db.run("CREATE TABLE t")
+    assert [db.run(f"COMPRESSION t {x}") for x in ("zstd", "gzip", "None", "ZSTD")] == ["zstd", "lz4", "none", "zstd"]
+    Session(spark, str(tmp_path / "db")).run("SET t a {}")
+    codecs = {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in (tmp_path / "db/t/log-000000").glob("*.parquet") if pq.ParquetFile(p).metadata.num_row_groups}
+    assert codecs == {"ZSTD"}
+    assert Table(spark, str(tmp_path / "u"), compression="nonsense").log.compression() == "lz4"
+
+
+def test_config_metrics_and_maintenance(session):
+    assert session.run("CONFIG GET") == {"compaction_trigger": 4, "compression": "lz4"}
+    assert session.run("CONFIG SET compaction_trigger 1")["compaction_trigger"] == 2  # moved into its range
+    assert session.run("CONFIG SET compaction_trigger many")["compaction_trigger"] == 2  # passed over
+    session.run("CONFIG SET compression zstd")
+    with pytest.raises(CommandError):
+        session.run("CONFIG SET colour red")
+    fill(session)
+    session.run("DEL players alex")
+    assert session.table("players").log.compression() == "zstd"
+    rows = {(r.metric, r.table): r.value for r in session.run("METRICS").collect()}
+    assert rows["up", None] == 1 and rows["table_records", "players"] == 5 and rows["table_tombstones", "players"] == 1 and rows["table_keys", "players"] == 4
+    assert rows["total_disk_bytes", None] >= rows["table_disk_bytes", "players"] > 0
+    assert session.maintain() == ["players"] and session.table("players").log.rows().count() == 3
+    with pytest.raises(CommandError, match="not supported"):
+        session.run("AUTH secret")
+
+
+def test_backup_and_restore(spark, tmp_path):
+    at = lambda s: F.lit(s).cast("timestamp")
+    t = Table(spark, str(tmp_path / "t"), now=at("2024-01-01 00:00:00"))
+    t.mset([("a", '{"x":1}'), ("b", "{}")])
+    t.expire("a", 60)
+    t.log.indexes["x"] = 1
+    t.log.set_compression("zstd")
+    copy = Table(spark, str(tmp_path / "copy"), now=at("2024-01-01 00:00:30"))
+    copy.log.restore(t.log.backup(str(tmp_path / "backup")))
+    assert copy.ttl("a") == 30 and copy.ttl("b") == -1 and dict(copy.log.indexes) == {"x": 1} and copy.log.compression() == "zstd"
+    copy.set("c", "{}")
+    assert copy.log.last_seq() > t.log.last_seq()
+
+
+def test_labels_of_values_that_are_no_objects(spark):
+    from tarnfold.functions import document, label_of
+
+    rows = [
+        ('"  Bob  "', "Bob"), ('"   "', "KEY"), ("plain text", "plain text"), (" \t padded\u00a0", "padded"), ('{"name":"\\t","title":"T"}', "T"), ('{"name":" x "}', " x "),
+        ("5", "KEY"), ("[1]", "KEY"), ('"' + "y" * 65 + '"', "KEY"), ("y" * 64, "y" * 64), ("", "KEY"), ('{"name":5}', "KEY"), ("null", "KEY"), ('{"a":1} trailing', '{"a":1} trailing'),
+    ]
+    df = spark.createDataFrame(rows, "raw string, want string").withColumn("v", document(F.col("raw")))
+    got = df.select("raw", "want", label_of(F.col("v"), F.lit("KEY"), F.col("raw")).alias("label")).collect()
+    assert [(r.raw, r.label) for r in got] == rows
+
+
+def test_textual_scores(spark):
+    from tarnfold.functions import textual_score
+
+    rows = [
+        ('{"a":{"b":5}}', 5.0), ('{"a": {"b" :\n -1.5e2}}', -150.0), ('{"b":1,"a":{"c":0},"b":7}', 7.0), ('{"a":{"b":"5"}}', None), ('{"a":{"c":1}}', None),
+        ('broken "a": "b": 3', 3.0), ('{"a":{"b":1.2.3}}', None), ('{"a":{"b":true}}', None), ('{"a":{"b":.5}}', 0.5), ("", None),
+    ]
+    df = spark.createDataFrame(rows, "raw string, want double")
+    assert [tuple(r) for r in df.select("raw", textual_score(F.col("raw"), "a.b")).collect()] == rows
+
+
+def test_web_limits(session):
+    fill(session)
+    t = session.table("players")
+    keys = sorted(key_of(n) for n, *_ in PLAYERS)
+    ids = lambda df: [r.uuid for r in df.collect()]
+    assert ids(t.web_scan()) == ids(t.web_scan(" ", "", "x")) == keys and ids(t.web_scan(limit="2")) == keys[:2] and ids(t.web_scan(limit=0)) == []
+    assert ids(t.web_scan(keys[1], keys[2])) == keys[1:3]
+    assert len(ids(t.web_filter("stats.kills > 0", 5000))) == 4 and len(ids(t.web_filter("stats.kills > 0", "1"))) == 1
+    from tarnfold.operators.lookup import web_limit
+
+    assert [web_limit(x) for x in (None, "5000", "-1", "7", 1001)] == [100, 1000, 100, 7, 1000]
+
+
+def test_live_scores_with_a_time_to_live(spark, tmp_path):
+    from tarnfold.sources import SCHEMA
+    from tarnfold.streaming import live_scores
+
+    src = tmp_path / "src"
+
+    def batch(*rows):
+        spark.createDataFrame([(k, raw, seq, 0, ts, "PUT" if raw else "DEL") for k, raw, seq, ts in rows], "key string, raw string, seq long, batch_pos int, ts string, op string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
+
+    found = []
+    take = lambda df, _: found.extend(tuple(r) for r in df.select("key", "score", "live").collect())
+
+    def go():
+        found.clear()
+        stream = spark.readStream.schema(SCHEMA).parquet(str(src))
+        live_scores(stream, "x", 60).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(found)
+
+    batch(("a", '{"x":1}', 1, "2024-01-01 00:00:00"), ("a", '{"x":3}', 3, "2024-01-01 00:00:01"), ("b", '{"x":5}', 2, "2024-01-01 00:00:00"))
+    assert go() == [("a", 3.0, True), ("b", 5.0, True)]
+    batch(("a", '{"x":2}', 2, "2024-01-01 00:00:02"), ("b", None, 4, "2024-01-01 00:00:03"))
+    assert go() == [("b", 5.0, False)]  # an older change of a changes nothing
+    batch(("c", '{"x":7}', 5, "2024-01-01 00:10:00"))
+    got = go()
+    assert ("c", 7.0, True) in got and ("a", 3.0, False) in got
