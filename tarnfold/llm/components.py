@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """Every node hands its larger (or else its smaller) neighbours to the smallest node that it knows.
 
     The least neighbours are stored before they are joined, so that the join's sides are plain shuffles: those Spark
     can split where one node has very many neighbours, which it can't if it has to aggregate in the same stage.
+    Returns the new edges and that table.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -23,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,7 +35,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
     seen = None
     while True:
-        edges = stored(_star(_star(edges, True), False), "links")
+        for large in (True, False):
+            new, least = _star(edges, large)
+            new = stored(new, "links")
+            released(least)
+            released(edges)
+            edges = new
         now = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
