@@ -79,7 +79,8 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> li
 
     A step moves a piece, or exchanges one or two pieces against one, so that the fuller bin gets fuller
     still: each raises the sum of squared fills, so the search ends, and the emptiest bins run dry.  Passes go
-    on until one changes nothing; in each, every underfull bin is tried as a giver, against every fuller one.
+    on until one changes nothing; in each, every underfull bin is tried as a giver, against every fuller one: at
+    first, or once it has changed, against all, else against those that have changed since it was tried.
 
     Bins stand in rows, with the distinct lengths that they hold (and a 0, for a move) and what a bin would
     have room for if that piece left.  A giver is a table of the most it can give up to any size, so that one
@@ -87,53 +88,52 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> li
     """
     held = [b for b in bins if lengths[b].sum() == capacity]
     short = [b for b in bins if b and lengths[b].sum() < capacity]
-    changed = True
-    while changed and len(short) > 1:
-        changed = False
-        short.sort(key=lambda b: int(lengths[b].sum()))
-        fill = np.array([lengths[b].sum() for b in short], np.int64)
-        kinds = [np.unique(lengths[b]) for b in short]
-        back = np.zeros((len(short), 1 + max(map(len, kinds))), np.int64)  # blanks are zeros too
-        for r, k in enumerate(kinds):
-            back[r, 1 : len(k) + 1] = k
-        room = back + (capacity - fill)[:, None]
-        failed: set = set()  # givers, by their lengths, that found no step since the last change
-        for giver in range(len(short)):
-            while short[giver] and fill[giver] < capacity:
-                own = lengths[short[giver]]
-                key = tuple(sorted(own.tolist()))
-                if key in failed:
+    if len(short) < 2:
+        return held + short
+    fill = np.array([lengths[b].sum() for b in short], np.int64)
+    kinds = [np.unique(lengths[b]) for b in short]
+    back = np.zeros((len(short), 1 + max(map(len, kinds))), np.int64)  # blanks are zeros too
+    for r, k in enumerate(kinds):
+        back[r, 1 : len(k) + 1] = k
+    room = back + (capacity - fill)[:, None]
+    steps = 0
+    changed, tried = np.zeros(len(short), np.int64), np.full(len(short), -1)  # by the number of steps before
+    settled = -1
+    while settled != steps:
+        settled = steps
+        for giver in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[giver] < capacity:
+                # a giver that is as it was has nothing for takers that are as they were
+                some = np.flatnonzero((changed > tried[giver]) & (fill >= fill[giver])) if changed[giver] <= tried[giver] else np.flatnonzero(fill >= fill[giver])
+                tried[giver] = steps
+                some = some[some != giver]
+                if not len(some):
                     break
-                most = _most(own, capacity)
-                gain = most[room] - back
+                most = _most(lengths[short[giver]], capacity)
+                gain = most[room[some]] - back[some]
                 best = gain.max(1)
-                worth = np.where((best > 0) & (fill >= fill[giver]), best * (fill - fill[giver] + best), 0)
-                worth[giver] = 0
-                taker = int(worth.argmax())
-                if not worth[taker]:
-                    failed.add(key)
+                worth = np.where(best > 0, best * (fill[some] - fill[giver] + best), 0)
+                found = int(worth.argmax())
+                if not worth[found]:
                     break
-                column = int(gain[taker].argmax())
+                taker, column = int(some[found]), int(gain[found].argmax())
                 out = _pieces_of(int(most[room[taker, column]]), short[giver], lengths)
                 size = int(back[taker, column])
                 given = [next(i for i in short[taker] if lengths[i] == size)] if size else []
                 short[giver] = [i for i in short[giver] if i not in out] + given
                 short[taker] = [i for i in short[taker] if i not in given] + out
+                steps += 1
                 for r in (giver, taker):
                     k = np.unique(lengths[short[r]])
                     if len(k) >= back.shape[1]:
-                        wider = ((0, 0), (0, len(k) + 1 - back.shape[1]))
-                        back = np.pad(back, wider)
+                        back = np.pad(back, ((0, 0), (0, len(k) + 1 - back.shape[1])))
                         room = back + (capacity - fill)[:, None]
                     fill[r] = lengths[short[r]].sum()
                     back[r] = 0
                     back[r, 1 : len(k) + 1] = k
                     room[r] = back[r] + capacity - fill[r]
-                changed = True
-                failed.clear()
-        held += [b for b, f in zip(short, fill) if f == capacity]
-        short = [b for b, f in zip(short, fill) if 0 < f < capacity]
-    return held + short
+                    changed[r] = steps
+    return held + [b for b in short if b]
 
 
 def _most(own: np.ndarray, capacity: int) -> np.ndarray:
