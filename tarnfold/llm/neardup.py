@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 #: Registers in a band and bands: of pairs with 0.8, all but 3 in a million agree in a band.
 ROWS, BANDS = 6, 42
 #: A block of a large cluster has about so many shingles at most, and so many texts.
-BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 1500
+BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 3000
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -202,8 +202,12 @@ def unit_links(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIM
         a, b = (who[side[who] == 0], who[side[who] == 1]) if side.any() else (who, who)
         if len(a) and len(b):
             common[np.ix_(at[a], at[b])] += 1
-    x, y = np.nonzero((1 + similarity) * common.astype(np.float64) + 1e-6 >= similarity * (sizes[left][:, None] + sizes[right][None, :]))
-    x, y = left[x], right[y]
+    found = []
+    for k in range(0, len(left), 256):  # a stripe at a time, as the comparison takes several times the table's memory
+        some = slice(k, k + 256)
+        i, j = np.nonzero((1 + similarity) * common[some].astype(np.float64) + 1e-6 >= similarity * (sizes[left[some]][:, None] + sizes[right][None, :]))
+        found.append((left[some][i], right[j]))
+    x, y = (np.concatenate(z) for z in zip(*found))
     keep = (x != y) if side.any() else (x < y)
     parent = np.arange(n)
 
@@ -239,10 +243,9 @@ def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 def verified(units: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links within units (node, unit, side), from ``docs`` (text)."""
-    # texts are shuffled once, by a merge join at every size; first of all copies are dropped
-    nodes = units.select("node").distinct()
+    # texts are shuffled by node once, copies dropped before (a semi-join would be pushed below that), and by unit once
     texts = docs.select(F.unhex(F.md5(whole_text())).alias("node"), whole_text().alias("text"))
-    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(nodes.hint("merge"), "node", "left_semi")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     rows = texts.join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
 
     def hold(batches_):
