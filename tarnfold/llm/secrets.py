@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import complete_folders, new_folder, shared_folder, table, whole_text
+from .common import complete_folders, new_folder, shared_folder, stored, table, whole_text
 from .spans import listed, matches, ranked, sha256
 
 KINDS = ["assign", "access", "hex", "pem"]
@@ -31,6 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 PEM = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
 MIN_VALUE = 6
+#: New blobs up to which their digests are broadcast.
+FEW = 100_000
 
 
 def secret_spans(text: Column) -> Column:
@@ -86,16 +88,21 @@ class Ledger:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str | None = None) -> DataFrame:
     """New ledger rows (blob, version, spans) for the texts of ``docs`` that ``ledger`` has not under this rule version.
 
-    Copies of a blob are dropped before the shuffle.  With a ledger, what it lacks is found by digests alone, and
-    texts follow: to where they are if that is little, else they are dealt by digest.
+    Copies of a blob are dropped before the shuffle.  With a ledger, what it lacks is found by digests alone; if that
+    is little (FEW digests, 6 MB), they are sent to the texts, else the texts are dealt by digest to them.
     """
     version = version or rule_version()
     blobs = docs.select(F.sha2(whole_text(), 256).alias("blob"), whole_text().alias("text"))
+    unseen, few = None, False
     if ledger is not None:
         known = ledger.where(F.col("version") == version).select("blob")
-        unseen = blobs.select("blob").distinct().join(known, "blob", "left_anti")
-        blobs = blobs.join(unseen, "blob", "left_semi")
+        unseen = stored(blobs.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        few = unseen.count() <= FEW
+    if few:
+        blobs = blobs.join(F.broadcast(unseen), "blob")
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    if unseen is not None and not few:
+        blobs = blobs.join(unseen.hint("merge"), "blob")
     return blobs.select("blob", F.lit(version).alias("version"), secret_spans(F.col("text")).alias("spans"))
 
 
