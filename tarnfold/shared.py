@@ -56,5 +56,6 @@ def is_stored(df: DataFrame) -> bool:
 
 
 def released(df: DataFrame) -> None:
-    """Deletes the files of a table from stored() that nothing will read again."""
-    _drop(df.sparkSession, df._stored_at)
+    """Deletes the files of a table from stored() that nothing will read again; leaves any other."""
+    if is_stored(df):
+        _drop(df.sparkSession, df._stored_at)
