@@ -202,7 +202,8 @@ def unit_links(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIM
         a, b = (who[side[who] == 0], who[side[who] == 1]) if side.any() else (who, who)
         if len(a) and len(b):
             common[np.ix_(at[a], at[b])] += 1
-    found = []
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]  # one side may be missing
     for k in range(0, len(left), 256):  # a stripe at a time, as the comparison takes several times the table's memory
         some = slice(k, k + 256)
         i, j = np.nonzero((1 + similarity) * common[some].astype(np.float64) + 1e-6 >= similarity * (sizes[left[some]][:, None] + sizes[right][None, :]))

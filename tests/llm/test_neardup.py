@@ -113,6 +113,11 @@ def test_unit_links_join_what_belongs_together():
         assert joined(want) == joined(neardup.unit_links(sets, side))
 
 
+def test_a_unit_of_one_side_has_no_links():
+    sets = [np.arange(9, dtype=np.uint64)] * 3
+    assert neardup.unit_links(sets, np.ones(3, np.int64)) == []
+
+
 def test_large_clusters_meet_in_blocks(spark, monkeypatch, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     want = sorted(neardup.op3_probminhash_near_duplicates(spark, sf).collect())
