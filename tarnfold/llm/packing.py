@@ -4,8 +4,13 @@ Documents become pieces of at most ``capacity`` tokens.  Piece lengths alone are
 fixed number of pieces that are dealt by hash, so that blocks run beside each other at any scale; what a
 block leaves in badly filled bins is packed once more, over fewer blocks.
 
-Defined results: a null or empty text is its end token alone; repeated rows are packed each; an empty
-table gives no rows; other columns are ignored.
+A piece's place in its block comes from piece number, doc_id, checksum and length, so that runs agree; pieces that
+tie in all of them are interchangeable.  A table of one block is packed once: there are no other blocks whose badly
+filled bins could be packed with its own.
+
+Defined results: a null or empty text is its end token alone; a very long text is cut into pieces like any other,
+alone in its batch; an added token's string in a text is that token; repeated rows and ties of doc_id are packed
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

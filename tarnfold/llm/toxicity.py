@@ -7,12 +7,12 @@ weights at the start of training, then ever more on the words that speak for the
 words count alike in a short and in a long text.
 
 Only the fitting is bounded: by ``SAMPLE`` documents labelled toxic and three times as many others, the
-first by a hash of doc_id.
+first by a hash of doc_id; of several rows with one doc_id, one bag of words stands for it, the least.
 The vectors of n-grams then become one number per n-gram (the softmax is linear), and whole texts are
 scored with them on the executors.
 
-Defined results: null and empty texts get the score of a bag without words; repeated rows get the same
-score; without labels of both classes every score is the share of toxic labels (0 without any); repeated
+Defined results: null and empty texts get the score of a bag without words; a very long text is scored as a
+whole; repeated rows and ties of doc_id get the scores of their own texts; without labels of both classes every score is the share of toxic labels (0 without any); repeated
 labels of a doc_id count as toxic if one does; an empty table gives no rows; other columns are ignored.
 """
 
@@ -149,7 +149,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(joined, pa.string())], ["doc_id", "toxic", "words"])
 
     both = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 4 * per_class rows of two numbers
-    rows = both.mapInArrow(words, "doc_id long, toxic int, words string").orderBy("doc_id", "words").limit(8 * per_class).toArrow()
+    rows = both.mapInArrow(words, "doc_id long, toxic int, words string")
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("words").alias("words")).orderBy("doc_id").toArrow()  # at most 4 * per_class rows
     return [w.split(" ") if w else [] for w in rows.column("words").to_pylist()], rows.column("toxic").to_numpy()
 
 

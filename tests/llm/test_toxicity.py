@@ -41,3 +41,47 @@ def test_labels_of_held_out_rows_are_never_read(spark, odd, tmp_path):
     turned = labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     scores = [sorted(map(str, toxicity.scored(docs, toxicity.fit(*toxicity.sample(docs, x))).collect())) for x in (labels, turned)]
     assert scores[0] == scores[1]
+
+
+def test_scores_against_brute_force(spark, odd):
+    """Every score from the model's n-grams, word by word and document by document, in plain Python."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{odd}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "toxic"])))
+    model = toxicity.fit(*toxicity.sample(docs, labels))
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor % 2**64
+        return (h ^ (h >> 31)) % toxicity.BUCKETS
+
+    def word(w):
+        w = f"<{w}>"
+        grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+        return sum(model.gram[bucket(g)] for g in grams) / max(1, len(grams))
+
+    def score(text):
+        bag = {w.strip(".,;:!?\"'()[]|#*$%&<>-") for w in text.lower().split()} - {""}
+        if not bag:
+            return model.empty
+        z = [word(w) for w in bag]
+        top = max(z)
+        weights = [math.exp(toxicity.SHARPEST * (x - top)) for x in z]
+        mean = sum(a * x for a, x in zip(weights, z)) / sum(weights)
+        return 1 / (1 + math.exp(-max(-30, min(30, model.scale * mean + model.shift))))
+
+    rows = [(r.doc_id, r.text or "") for r in docs.collect() if len(r.text or "") < 60_000]
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.scored(docs.where("coalesce(length(text), 0) < 60000"), model).collect())
+    want = sorted((str(i), round(score(t), 6)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-5)
+
+
+def test_many_rows_of_a_labelled_document_are_one_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b a")] * 500 + [(1, "c"), (2, "d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    kept = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    words, toxic = toxicity.sample(docs, labels)
+    assert len(words) == len(kept) == len(toxic) and (1 not in kept or ["a", "b"] in words)
