@@ -111,3 +111,8 @@ def textual_score(raw: Column, path: str) -> Column:
     names = [r'"\Q' + part.replace("\\E", r"\E\\E\Q") + r'\E"[ \t\r\n]*:[ \t\r\n]*' for part in path.split(".")]
     found = F.regexp_extract(raw, "(?s)" + ".*?".join(names) + "([0-9.+eE-]*)", 1)
     return F.when(found.rlike(NUMBER_TEXT), found.try_cast("double"))
+
+
+def checksum(raw: Column) -> Column:
+    """CRC32 of a value's bytes, as an unsigned number; that of nothing for a delete."""
+    return F.crc32(F.coalesce(raw, F.lit("")).cast("binary"))

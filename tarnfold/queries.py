@@ -185,6 +185,9 @@ QUERIES: dict[str, Query] = {
     "key_labels": lambda s, d: ops.key_labels(_docs(s, d).withColumn("v", F.try_parse_json(F.concat(F.lit('{"name":"  ","title":"T'), F.substring("key", 1, 4), F.lit('"}')))), 50_000),
     "label_lookup": lambda s, d: _uuid(ops.find_by_label(_read(s, d, "customer").select(canonical_key(F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit('{"name":" '), F.col("c_name"), F.lit(' "}')).alias("raw")).withColumn("v", F.try_parse_json("raw")), "customer#000000042", None)),
     "key_labels_mixed": lambda s, d: ops.key_labels(_mixed(s, d), 50_000),
+    "shown_mixed": lambda s, d: ops.lookup.shown(_mixed(s, d)).select("uuid", F.to_json("data").alias("data")),
+    "top_none": lambda s, d: ops.top_n(board_of_events(s, d), 0),
+    "sorted_by_members": lambda s, d: _docs(s, d).select("key", member(F.col("v"), "props.k").number.alias("k"), member(F.col("v"), "event_type").string.alias("kind")).orderBy(F.desc("kind"), "k", "key").limit(300),
     "web_scan": lambda s, d: _uuid(ops.web_scan(_docs(s, d), " ", "f0000000-0000-0000-0000-000000000000", "no number")),
     "web_filter_compat": lambda s, d: _uuid(ops.web_filter(_docs(s, d), "props.k >= 50", "5000", compat=True)),
     "filter_broken_json": lambda s, d: _uuid(ops.matching(_broken(s, d), "value != 12.34")),
@@ -263,6 +266,10 @@ ORACLE_SQL: dict[str, str] = {
     "label_lookup": f"SELECT {_sql_key('CAST(c_custkey AS VARCHAR)')} AS uuid, '{{\"name\":\" ' || c_name || ' \"}}' AS raw FROM customer WHERE lower(trim(c_name)) = 'customer#000000042' ORDER BY 1 LIMIT 1",
     "key_labels_mixed": _E + """SELECT key AS uuid, CASE event_id % 8 WHEN 0 THEN 'Bob ' || event_id WHEN 2 THEN 'plain text ' || event_id WHEN 3 THEN 'T' || event_id WHEN 6 THEN 'U' || event_id ELSE key END AS label
   FROM e ORDER BY key LIMIT 50000""",
+    "shown_mixed": _E + """SELECT key AS uuid, CASE event_id % 8 WHEN 0 THEN '"  Bob ' || event_id || ' "' WHEN 1 THEN '"  "' WHEN 2 THEN '" plain text ' || event_id || '  "' WHEN 3 THEN '{"name":"\\t","title":"T' || event_id || '"}'
+  WHEN 4 THEN CAST(event_id AS VARCHAR) WHEN 5 THEN '"' || repeat('x', 70) || event_id || '"' WHEN 6 THEN '{"id":"x","name":7,"user":"U' || event_id || '"}' ELSE '["name"]' END AS data FROM e""",
+    "top_none": f"WITH {BOARD} SELECT * FROM r WHERE false",
+    "sorted_by_members": _E + "SELECT key, k, event_type AS kind FROM e ORDER BY kind DESC, k, key LIMIT 300",
     "web_scan": _E + "SELECT key AS uuid, raw FROM e WHERE key <= 'f0000000-0000-0000-0000-000000000000' ORDER BY key LIMIT 100",
     "web_filter_compat": _E + "SELECT key AS uuid, raw FROM (SELECT * FROM e ORDER BY key LIMIT 10000) WHERE k >= 50 ORDER BY key LIMIT 1000",
     "filter_broken_json": _E + "SELECT key AS uuid, raw FROM e WHERE substr(key, 1, 1) NOT IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AND NOT (kind = 'number' AND abs(x - 12.34) < 1e-9)",

@@ -363,3 +363,13 @@ def test_live_scores_with_a_time_to_live(spark, tmp_path):
     batch(("c", '{"x":7}', 5, "2024-01-01 00:10:00"))
     got = go()
     assert ("c", 7.0, True) in got and ("a", 3.0, False) in got
+
+
+def test_checksums(spark):
+    import zlib
+
+    from tarnfold.functions import checksum
+
+    rows = [('{"a":1}',), ("é",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "raw string").select("raw", checksum(F.col("raw")).alias("c")).collect()
+    assert [r.c for r in got] == [zlib.crc32((r[0] or "").encode()) for r in rows]
