@@ -108,10 +108,14 @@ def limits(docs: DataFrame, bucket_rows: int, buckets: int) -> list[tuple[tuple[
         return []
     wanted = max(1, min(buckets, n // bucket_rows))
     least = docs.agg(F.min(place()).alias("p")).first()["p"]
-    drawn = docs.sample(min(1.0, DRAWN * wanted / n), seed=7).select(place().alias("p")).collect() if wanted > 1 else []
-    drawn = sorted(tuple(r["p"]) for r in drawn)  # DRAWN * buckets places at most, on average
+    drawn = []
+    if wanted > 1:
+        rows = docs.sample(min(1.0, DRAWN * wanted / n), seed=7).select(place().alias("p"))
+        # DRAWN * buckets places at most, on average, are numbered in one task, and one of DRAWN comes here
+        rows = rows.withColumn("i", F.row_number().over(W.orderBy("p"))).where(F.col("i") % DRAWN == DRAWN // 2)
+        drawn = [tuple(r["p"]) for r in rows.orderBy("p").select("p").collect()]
     found: dict[tuple, int] = {tuple(least): 1}
-    for p in drawn[DRAWN // 2 :: DRAWN]:
+    for p in drawn:
         found[p] = found.get(p, 0) + 1
     return sorted(found.items())
 
