@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import key_of, score
-from ..shared import is_stored, stored
+from ..shared import is_stored, released, stored
 
 #: Ranks up to which a stretch is cut from the top, and the most rows between an anchor and a rank.
 NEAR = 10_000
@@ -42,6 +42,15 @@ def written(board: DataFrame) -> DataFrame:
     return board if is_stored(board) else stored(board.select("key", "score"), "board")
 
 
+def _settled(rows: DataFrame, table: DataFrame, board: DataFrame, most: int) -> DataFrame:
+    """``rows``, ``most`` of them: if they are few, they are taken from a table that was written for them, which then goes."""
+    if table is board or most > NEAR:
+        return rows
+    found = rows.collect()
+    released(table)
+    return rows.sparkSession.createDataFrame(found, rows.schema)
+
+
 def _board(rows: DataFrame, before: int) -> DataFrame:
     """Numbers a bounded set of rows, ``before`` of which rank ahead of it."""
     place = F.row_number().over(W.orderBy(*_best())) + F.lit(before)
@@ -64,12 +73,12 @@ def rank_of_key(board: DataFrame, key: str) -> DataFrame:
     The key's score is looked up first; a single pass then counts what beats it.
     """
     k = key_of(key)
-    board = written(board)
-    own = board.where(F.col("key") == k).select("score").first()
+    table = written(board)
+    own = table.where(F.col("key") == k).select("score").first()
     s = F.lit(float(own["score"]) if own else 0.0)
     better = (F.col("score") > s) | ((F.col("score") == s) & (F.col("key") > k))
-    one = board.agg((F.count_if(better) + 1).alias("rank"), F.lit(k).alias("uuid"), s.alias("score"), F.count("*").alias("total_ranked"))
-    return one if own else one.limit(0)
+    one = table.agg((F.count_if(better) + 1).alias("rank"), F.lit(k).alias("uuid"), s.alias("score"), F.count("*").alias("total_ranked"))
+    return _settled(one if own else one.limit(0), table, board, 1)
 
 
 def rank_range(board: DataFrame, first: int, last: int, near: int = NEAR) -> DataFrame:
@@ -79,14 +88,16 @@ def rank_range(board: DataFrame, first: int, last: int, near: int = NEAR) -> Dat
     """
     if first < 1 or first > last:
         return _board(board.limit(0), 0)
-    before = 0
+    table, before = board, 0
     if last > near:
-        board = written(board)
-        if board.count() < first:
-            return _board(board.limit(0), 0)
-        onward, before = _anchor(board, first, near)
-        board = board.where(onward)
-    return _board(board.orderBy(*_best()).limit(last - before), before).where(F.col("rank") >= first)
+        table = written(board)
+        if table.count() < first:
+            return _settled(_board(table.limit(0), 0), table, board, 0)
+        onward, before = _anchor(table, first, near)
+        rows = table.where(onward)
+    else:
+        rows = table
+    return _settled(_board(rows.orderBy(*_best()).limit(last - before), before).where(F.col("rank") >= first), table, board, last - first + 1)
 
 
 def score_at(board: DataFrame, rank: int, near: int = NEAR) -> float:
@@ -146,18 +157,18 @@ def _around(board: DataFrame, centre: int, total: int, limit: int) -> DataFrame:
 
 def around_key(board: DataFrame, key: str, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """``limit`` (10; 1000 at most) rows with the key in their middle; empty if it has no score.  The key's rank is looked up first."""
-    board = written(board)
-    own = rank_of_key(board, key).first()
-    return _around(board, own["rank"], own["total_ranked"], _limit(limit, TOP_LIMIT, most)) if own else rank_range(board, 0, 0)
+    table, n = written(board), _limit(limit, TOP_LIMIT, most)
+    own = rank_of_key(table, key).first()
+    return _settled(_around(table, own["rank"], own["total_ranked"], n) if own else rank_range(table, 0, 0), table, board, n)
 
 
 def around_score(board: DataFrame, target: float, limit: int | None = None, most: int | None = MOST) -> DataFrame:
     """``limit`` (10; 1000 at most) rows around the place where a score would be."""
     if math.isnan(target):
         raise ValueError("a score can't be NaN")
-    board = written(board)
-    found = board.agg(F.count_if(F.col("score") > target).alias("above"), F.count("*").alias("total")).first()
-    return _around(board, min(found["total"], found["above"] + 1), found["total"], _limit(limit, TOP_LIMIT, most))
+    table, n = written(board), _limit(limit, TOP_LIMIT, most)
+    found = table.agg(F.count_if(F.col("score") > target).alias("above"), F.count("*").alias("total")).first()
+    return _settled(_around(table, min(found["total"], found["above"] + 1), found["total"], n), table, board, n)
 
 
 def score_range(board: DataFrame, low: float, high: float, limit: int | None = None, most: int | None = MOST) -> DataFrame:
@@ -166,10 +177,10 @@ def score_range(board: DataFrame, low: float, high: float, limit: int | None = N
         raise ValueError("a score can't be NaN")
     if low > high:
         return rank_range(board, 0, 0)
-    board = written(board)
-    above = board.agg(F.count_if(F.col("score") > high)).first()[0]
-    rows = board.where(F.col("score").between(low, high)).orderBy(*_best()).limit(_limit(limit, RANGE_LIMIT, most))
-    return _board(rows, above)
+    table, n = written(board), _limit(limit, RANGE_LIMIT, most)
+    above = table.agg(F.count_if(F.col("score") > high)).first()[0]
+    rows = table.where(F.col("score").between(low, high)).orderBy(*_best()).limit(n)
+    return _settled(_board(rows, above), table, board, n)
 
 
 def rankings(board: DataFrame, mode: str = "top", limit: int = 50, key: str | None = None, score: float = 0.0, low: float = -math.inf, high: float = math.inf, first: int = 1, last: int = 50) -> DataFrame:

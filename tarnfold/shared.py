@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -45,10 +46,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scratch.get() is not None:
+        _scratch.get().append(out)
     return out
 
 
 _folders: set[str] = set()
+_scratch: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that are stored within go at its end, but for those that are given to what it yields."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._stored_at)
+        return df
+
+    token = _scratch.set([])
+    try:
+        yield keep
+    finally:
+        made = _scratch.get()
+        _scratch.reset(token)
+        for df in made:
+            if df._stored_at not in kept:
+                released(df)
+            elif _scratch.get() is not None:
+                _scratch.get().append(df)
 
 
 def is_stored(df: DataFrame) -> bool:

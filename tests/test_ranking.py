@@ -72,7 +72,7 @@ def test_a_deep_rank_has_no_offset_and_a_short_sort(spark):
     from pyspark.sql import functions as F
 
     board = spark.range(1_000_000).select(F.concat(F.md5(F.col("id").cast("string")), F.lit("")).alias("key"), (F.xxhash64("id") % 10**9).cast("double").alias("score"))
-    df = ops.rank_range(board, 500_000, 500_010)
+    df = ops.rank_range(ops.written(board), 500_000, 500_010)
     plan = df._jdf.queryExecution().executedPlan().toString()
     limits = [int(x) for x in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)]
     assert "offset" not in plan.lower() and limits and max(limits) <= 10_011
@@ -80,5 +80,24 @@ def test_a_deep_rank_has_no_offset_and_a_short_sort(spark):
 
 
 def test_no_operator_sorts_the_whole_board_in_one_task(board):
-    for df in (ops.top_n(board, 5), ops.rank_range(board, 30, 50), ops.score_range(board, 50, 100)):
+    table = ops.written(board)
+    for df in (ops.top_n(board, 5), ops.rank_range(board, 30, 50), ops.score_range(table, 50, 100)):
         assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_written_on_the_way_goes(spark, board, tmp_path):
+    """Few rows are taken from a table that was written for them; of many asked for, and of scratch tables that are kept, the files stay."""
+    import os
+
+    from tarnfold import shared
+
+    folder = f"{shared.shared_folder(spark)}/session-{shared._SESSION}"
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    for df in (ops.rank_of_key(board, str(uuid.UUID(int=50))), ops.around_score(board, 700, 10), ops.score_range(board, 50, 100), ops.rank_range(board, 60, 70, near=20)):
+        assert df.count() and there() == before
+    with shared.scratch() as keep:
+        one, two = shared.stored(board, "one"), keep(shared.stored(board, "two"))
+    assert two.count() == 100 and len(there() - before) == 1 and one is not two
+    shared.released(two)
+    assert there() == before
