@@ -21,6 +21,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,7 +94,8 @@ def queued(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHA
     parts = F.when((F.col("before") < goal) & (through > goal), F.array(goal - F.col("before"), through - goal)).otherwise(one)
     queue = queue.select("*", F.posexplode(parts).alias("part", "words"))
     done = F.when(F.col("part") == 1, through).otherwise(F.col("before") + F.col("words"))
-    finish = F.when(goal > 0, done / goal).otherwise(F.lit(2.0))  # beyond the budget, if it is to have less than a word
+    spread = F.pmod(F.col("dice"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    finish = F.when(goal > 0, done / goal).otherwise(F.lit(2.0) + spread)  # beyond the budget, if it is to have less than a word
     return queue.select(*sizes.columns, "source_size", "target", "copy", "part", "words", finish.alias("finish"))
 
 
@@ -109,7 +112,7 @@ def mix(sizes: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     queue = stored(queued(sizes, seed, weights, share, passes), "queue")
     goals = queue.groupBy("source").agg(F.first("target").alias("target"))
     found = goals.agg(F.coalesce(F.sum(whole_words(F.col("target"))), F.lit(0)).cast("long").alias("budget")).first()
-    rows = in_order(queue, queue.count())
+    rows = in_order(queue)
     return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(found["budget"]) - F.col("position"))).cast("long"))
 
 
@@ -125,14 +128,16 @@ def _running(rows: DataFrame, groups: list, part: str, order: list, amount: str,
     return both.withColumn("before", F.col("_ahead") + F.col("_within")).drop("_ahead", "_within", *[f"_{c}" for c in cells])
 
 
-def in_order(queue: DataFrame, n_rows: int) -> DataFrame:
+def in_order(queue: DataFrame) -> DataFrame:
     """Adds ``position`` to queued(): the words before a part in the order of virtual finish times.
 
-    Ranges of the finish time are sorted one by one; their totals say where each begins.
+    Ranges of the finish time are sorted one by one; their totals say where each begins.  Beyond time 1 they are ranges of
+    its logarithm, as a large source with a small target has much of its queue far out.
     """
-    n_ranges = max(1, -(-n_rows // SLICE_ROWS))
-    late = 1 + F.log2(F.greatest(F.col("finish"), F.lit(1.0))) / 40  # a large source with a small target has much of its queue far beyond time 1
-    rows = queue.withColumn("range", F.floor(F.least(F.col("finish"), late) * F.lit(n_ranges)))
+    found = queue.agg(F.count("*").alias("n"), F.coalesce(F.max("finish"), F.lit(1.0)).alias("latest")).first()
+    n_ranges = max(1, -(-found["n"] // SLICE_ROWS))
+    late = 1 + F.log2(F.greatest(F.col("finish"), F.lit(1.0))) / F.lit(max(1.0, math.log2(max(1.0, found["latest"]))))
+    rows = queue.withColumn("range", F.floor(F.when(F.col("finish") <= 1, F.col("finish")).otherwise(late) * F.lit(n_ranges)))
     keys = [c for c in queue.columns if c not in ("words", "finish", "target", "source_size")]
     return _running(rows, [], "range", ["finish", *keys], "words", over=[], steps=["range"]).withColumnRenamed("before", "position").drop("range")
 
