@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole_text
+from .common import scratch, stored, table, whole_text
 from .components import components
 from .shingles import Powers, scramble, shingle_counts, word_hashes
 from .words import batches
@@ -288,7 +288,8 @@ def named(found: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, class_id, representative) per row; the representative's exact copies of one doc_id all carry the mark."""
     found = stored(signed(docs), "signed")
-    names = named(found, components(links(found, docs, similarity)))
+    with scratch() as keep:
+        names = keep(named(found, components(links(found, docs, similarity))))
     mark = (F.col("head_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("head_doc"))
     return found.select("doc_id", "node").join(names, "node").select("doc_id", "node", "class_id", mark.alias("representative"))
 
@@ -296,8 +297,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class of ``docs`` (doc_id, text and others): of the representative's exact copies, any one."""
     narrow = docs.select("doc_id", "text")
-    found = stored(signed(narrow), "signed")
-    names = named(found, components(links(found, narrow, similarity)))
+    with scratch() as keep:
+        found = stored(signed(narrow), "signed")
+        names = keep(named(found, components(links(found, narrow, similarity))))
     heads = names.where("node = head_node").select("node", "head_doc")
     # copies are told apart by doc_id before they meet, and of rows that agree in that too one is left before the last shuffle
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.unhex(F.md5(whole_text())).alias("node"), F.col("doc_id").cast("long").alias("id"))

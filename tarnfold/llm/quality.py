@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, whole_text
+from .common import scratch, stored, table, whole_text
 from .words import batches
 
 MIN_WORDS = 50
@@ -141,8 +141,10 @@ def kept(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     Figures are made twice, for the hosts' rates and for the verdicts, so that texts are neither stored nor
     shuffled: the table of hosts is stored, so that Spark knows its size and broadcasts it if it is small.
     """
-    hosts = host_rates(stored(with_stats(docs.select("source", whole_text().alias("text"))), "stats"))
-    hosts = stored(hosts, "hosts").withColumnRenamed("source", "_source")
+    with scratch() as keep:
+        hosts = host_rates(stored(with_stats(docs.select("source", whole_text().alias("text"))), "stats"))
+        hosts = keep(stored(hosts, "hosts"))
+    hosts = hosts.withColumnRenamed("source", "_source")
     rows = with_stats(docs.select(F.struct(*docs.columns).alias("doc"), "source"), "doc")
     rows = rows.join(hosts, F.col("source").eqNullSafe(F.col("_source")))
     return rows.where(verdict(bad_rate)).select("doc.*")

@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import complete_folders, new_folder, shared_folder, stored, table, whole_text
+from .common import complete_folders, new_folder, scratch, shared_folder, stored, table, whole_text
 from .spans import listed, matches, ranked, sha256
 
 KINDS = ["assign", "access", "hex", "pem"]
@@ -71,8 +71,9 @@ class Ledger:
     def extend(self, docs: DataFrame) -> DataFrame:
         """Scans the blobs of ``docs`` (text) that are not in it under these rules; returns rows() with them."""
         known = self.rows()
-        new = scan(docs, known if complete_folders(self.spark, self.path) else None, self.version)
-        new.write.parquet(new_folder(self.path))
+        with scratch():
+            new = scan(docs, known if complete_folders(self.spark, self.path) else None, self.version)
+            new.write.parquet(new_folder(self.path))
         return self.rows()
 
     def compact(self) -> None:

@@ -71,7 +71,9 @@ def test_places_of_many_matches(spark):
     assert [r.s for r in sums] == [[], [5], np.cumsum(range(50)).tolist()]
 
 
-def test_the_ledger_scans_only_what_is_new(spark):
+@pytest.mark.parametrize("few", [secrets.FEW, 0])
+def test_the_ledger_scans_only_what_is_new(spark, monkeypatch, few):
+    monkeypatch.setattr(secrets, "FEW", few)
     day = lambda *rows: spark.createDataFrame(rows, "path string, text string")
     first = day(("a", "token=abcdef1"), ("b", "token=abcdef1"), ("c", None))
     ledger = secrets.scan(first)
