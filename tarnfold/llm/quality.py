@@ -2,8 +2,8 @@
 
 A host (the ``source`` column) has a failure rate: the share of its documents that break a rule.  Rates
 are shrunk towards all hosts' by a beta prior fitted to them by moments, so that a small host is not
-judged by a few documents.  A host whose shrunk rate is in the prior's upper tail (TAIL standard deviations above its
-mean), or reaches ``bad_rate``, is strict ground: its documents are held to the strict limits, others to the usual
+judged by a few documents.  A host whose shrunk rate is in the prior's upper tail (more than TAIL standard deviations
+above its mean), or reaches ``bad_rate``, is strict ground: its documents are held to the strict limits, others to the usual
 ones.  A document that breaks no limit stays wherever it comes from.
 
 Defined results: a null text has no words, and fails the base rule; a null source is a host of its own; a very long
@@ -108,7 +108,7 @@ def broken(strict: bool) -> str:
 
 def verdict(bad_rate: float) -> Column:
     """Whether a document is kept, by its figures and its host's rate."""
-    limit = F.when(F.col("host_rate") >= F.least(F.lit(bad_rate), F.col("host_limit")), F.expr(broken(True))).otherwise(F.expr(broken(False)))
+    limit = F.when((F.col("host_rate") >= bad_rate) | (F.col("host_rate") > F.col("host_limit")), F.expr(broken(True))).otherwise(F.expr(broken(False)))
     return ~(base_failed() | limit)
 
 
@@ -176,5 +176,5 @@ h AS (SELECT source, count(*) AS k, sum(CASE WHEN base_failed OR usual THEN 1 EL
 m AS (SELECT sum(x) / sum(k) AS m, var_pop(x / k) - sum(x) / sum(k) * (1 - sum(x) / sum(k)) * avg(1 / k) AS v FROM h),
 p AS (SELECT m, greatest(1.0, least(1000.0, m * (1 - m) / greatest(v, 1e-9) - 1)) AS s FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR CASE WHEN (x + m * p.s) / (k + p.s) >= least(0.5, m + 2.33 * sqrt(m * (1 - m) / (p.s + 1))) THEN strict ELSE usual END) AS kept
+  NOT (base_failed OR CASE WHEN (x + m * p.s) / (k + p.s) >= 0.5 OR (x + m * p.s) / (k + p.s) > m + 2.33 * sqrt(m * (1 - m) / (p.s + 1)) THEN strict ELSE usual END) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source CROSS JOIN p"""

@@ -72,7 +72,7 @@ def test_hosts_change_verdicts_of_real_documents(spark, sf):
     extra = spark.createDataFrame([(-1 - i, s, f"text {i} {middling}") for i, s in enumerate(["farm"] * 10 + ["src1", "src2", "src3"] * 2)], docs.schema)
     rows = quality.judged(stored(quality.with_stats(moved.unionByName(extra)), "stats")).collect()
     rates = {r.source: (r.host_rate, min(0.5, r.host_limit)) for r in rows}
-    assert rates["farm"][0] >= rates["farm"][1] and all(a < b for s, (a, b) in rates.items() if s != "farm")
+    assert rates["farm"][0] > rates["farm"][1] and all(a < b for s, (a, b) in rates.items() if s != "farm")
     assert {r.source for r in rows if r.doc_id < 0 and r.kept} == {"src1", "src2", "src3"}
     assert not any(r.kept for r in rows if r.doc_id < 0 and r.source == "farm")
 
@@ -83,3 +83,8 @@ def test_a_spread_that_sampling_explains_makes_no_host_strict(spark):
     docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source", F.col("text"))
     hosts = quality.host_rates(stored(quality.with_stats(docs), "stats")).collect()
     assert len(hosts) == 20 and all(h.host_rate < h.host_limit for h in hosts)
+
+
+def test_where_no_document_fails_no_host_is_strict(spark):
+    df = spark.createDataFrame(_stats([(s, False, 15) for s in ("a", "b", None) for _ in range(5)]), "source string, " + quality.STATS)
+    assert quality.judged(df).where("kept").count() == 15
