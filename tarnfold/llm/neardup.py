@@ -161,8 +161,8 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
     total = own.groupBy("cluster").agg(F.count("*").alias("classes"), F.coalesce(small[0], F.lit(0)).alias("shingles"), F.coalesce(small[1], F.lit(0)).alias("texts"))
     total = total.where("classes > 1").select("cluster", _blocks("shingles", "texts").alias("shared"))
     own = stored(own.select("cluster", "class", "parts").join(total, "cluster"), "class-sizes")
-    # a block: its class (empty for one of several), and its number
-    def blocks(rows):
+
+    def blocks(rows):  # a block is told by its class (empty for one of several) and its number
         return rows.withColumn("label", F.when(F.col("parts") > 0, F.col("class")).otherwise(F.lit(b"")))
 
     all_ = blocks(own).groupBy("cluster", "label").agg(F.max(F.when(F.col("parts") > 0, F.col("parts")).otherwise(F.col("shared"))).alias("parts"))
