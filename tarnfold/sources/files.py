@@ -62,7 +62,11 @@ class Folder:
 
 
 class Counter:
-    """Numbers that rise and are given once each, whoever asks: the greatest has a marker, which only one writer can make."""
+    """Numbers that rise and are given once each, whoever asks.
+
+    A number's marker can be made by one writer only, and the greatest is never dropped: so a number whose marker was
+    dropped is always below one that is there, and who makes it once more sees that and takes another.
+    """
 
     def __init__(self, folder: Folder):
         self.folder = folder
@@ -75,13 +79,17 @@ class Counter:
 
     def take(self, least: int = 0) -> int:
         """The next number, and at least ``least``."""
-        n = max(max(self._numbers(), default=-1) + 1, least)
-        while not self.folder.make(f"{n:019d}"):
-            n += 1
-        for other in self._numbers():
-            if other < n:
-                self.folder.drop(f"{other:019d}")
-        return n
+        while True:
+            n = max(max(self._numbers(), default=-1) + 1, least)
+            while not self.folder.make(f"{n:019d}"):
+                n += 1
+            there = self._numbers()
+            if max(there) > n:  # else it may have been given and its marker dropped since the look at them
+                continue
+            for other in there:
+                if other < n:
+                    self.folder.drop(f"{other:019d}")
+            return n
 
 
 class Markers(MutableMapping):
