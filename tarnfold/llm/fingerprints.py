@@ -34,7 +34,7 @@ _ONES = sum(1 << _SPACING * i for i in range(3))
 _MODULO = sum(((1 << 20) - 1) << _SPACING * i for i in range(3))
 PARAGRAPH_END = r"\n|(?<=[.!?])\x20"
 #: Documents in a bucket of neighbours, as an average, at least; the most buckets; and rows drawn for each bucket's limit.
-BUCKET_ROWS, BUCKETS, DRAWN = 2048, 65_536, 32
+BUCKET_ROWS, BUCKETS, DRAWN = 512, 65_536, 32
 
 
 def paragraphs(text: Column) -> Column:
