@@ -111,44 +111,87 @@ class Attention:
         return self.learn((flat[at[:, None] + np.arange(width + 1)] for at in starts), steps)
 
     def learn(self, windows, steps: int, rate: float = 0.02) -> Attention:
-        """Adam, a step for each of ``windows``: arrays (n, 2 * BLOCK + 1) of ids, about ``steps`` of them."""
+        """Adam, a step for each of ``windows``: arrays (n, 2 * BLOCK + 1) of ids, about ``steps`` of them.
+
+        As in scoring, no query sees beyond the end that stands before its text.
+        """
         width = 2 * BLOCK
         p, top = self.p, rate
-        first, second = ({n: np.zeros_like(x) for n, x in p.items() if n != "embed"} for _ in range(2))
+        names = ("q", "k", "v", "r", "out", "bias", "far")
+        theta = np.concatenate([np.concatenate([p[n] for n in "qkvr"], 1).ravel(), p["out"].ravel(), p["bias"], p["far"]])
+        into = lambda z: (z[: 4 * DIM * DIM].reshape(DIM, 4 * DIM), z[4 * DIM * DIM : -CLASSES - width].reshape(DIM, CLASSES), z[-CLASSES - width : -width], z[-width:])
+        all4, out, bias, far = into(theta)
+        first, second, grad = (np.zeros_like(theta) for _ in range(3))
+        g_all4, g_out, g_bias, g_far = into(grad)
         gap = np.arange(width)[:, None] - np.arange(width)[None, :]
-        mask = np.where(gap >= 0, 0, -1e9).astype(np.float32)
+        gaps, sees = np.maximum(gap, 0), (gap >= 0).astype(np.float32)
+        ones = np.ones(max(width, CLASSES), np.float32)
+        embed, scale = p["embed"], np.float32(DIM**-0.5)
+        room: dict = {}  # arrays that steps of one size use again
         for step, ids in enumerate(windows, 1):
-            n_windows = len(ids)
-            x, y = p["embed"][ids[:, :-1]], self.kind[ids[:, 1:]]
-            q, k, v, r = (x @ p[n] for n in "qkvr")
-            s = (q @ k.transpose(0, 2, 1)) * DIM**-0.5 + p["far"][np.maximum(gap, 0)] + mask
-            a = np.exp(s - s.max(-1, keepdims=True))
-            a /= a.sum(-1, keepdims=True)
-            h = np.tanh(a @ v + r)
-            logit = h @ p["out"] + p["bias"]
-            e = np.exp(logit - logit.max(-1, keepdims=True))
-            e /= e.sum(-1, keepdims=True)
-            e[np.arange(n_windows)[:, None], np.arange(width), y] -= 1
-            e /= n_windows * width
-            dh = (e @ p["out"].T) * (1 - h * h)
-            dv = a.transpose(0, 2, 1) @ dh
-            da = dh @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(-1, keepdims=True))
-            dq, dk = ds @ k * DIM**-0.5, ds.transpose(0, 2, 1) @ q * DIM**-0.5
-            two = lambda z: z.reshape(-1, z.shape[-1])
-            dx = sum(d @ p[n].T for n, d in (("q", dq), ("k", dk), ("v", dv), ("r", dh)))
-            grads = {n: two(x).T @ two(d) for n, d in (("q", dq), ("k", dk), ("v", dv), ("r", dh))}
-            grads |= {"out": two(h).T @ two(e), "bias": e.sum((0, 1)), "far": np.bincount(np.maximum(gap, 0).ravel(), ds.sum(0).ravel(), width)}
+            n = len(ids)
+            size = n * width
+            if n not in room:
+                wide = lambda *shape: np.empty(shape, np.float32)
+                room = {n: (wide(size, DIM), wide(size, 4 * DIM), wide(n, width, width), wide(n, width, width), wide(size, DIM), wide(size, CLASSES), wide(size, DIM), wide(size, 4 * DIM))}
+            x, mixed, a, ds, h, e, dh, back = room[n]
+            before = ids[:, :-1]
+            flat = before.ravel()
+            embed.take(flat, 0, x)
+            np.matmul(x, all4, mixed)
+            q, k, v = (np.ascontiguousarray(mixed.reshape(n, width, 4 * DIM)[:, :, i * DIM : (i + 1) * DIM]) for i in range(3))
+            q *= scale
+            np.matmul(q, k.transpose(0, 2, 1), a)
+            np.clip(a, -40, 40, a)
+            np.exp(a, a)
+            a *= np.exp(np.clip(far, -10, 10))[gaps] * sees
+            cut = np.flatnonzero((before[:, 1:] == self.end).any(1))
+            if len(cut):
+                text = np.cumsum(before[cut] == self.end, 1)
+                a[cut] *= text[:, :, None] == text[:, None, :]
+            part = 1 / (a.reshape(size, width) @ ones[:width])[:, None]
+            seen = np.matmul(a, v).reshape(size, DIM)
+            seen *= part
+            np.add(seen, mixed[:, 3 * DIM :], h)
+            np.tanh(h, h)
+            np.matmul(h, out, e)
+            e += bias
+            if np.abs(out).sum(0).max() + np.abs(bias).max() > 60:
+                e -= e.max(1, keepdims=True)
+            np.exp(e, e)
+            whole = e @ ones[:CLASSES]
+            e.ravel()[np.arange(0, size * CLASSES, CLASSES) + self.kind[ids[:, 1:].ravel()]] -= whole
+            whole = 1 / (size * whole)
+            np.matmul(e, out.T, dh)
+            dh *= (1 - h * h) * whole[:, None]
+            back[:, 3 * DIM :] = dh
+            dh *= part
+            d = dh.reshape(n, width, DIM)
+            np.matmul(d, v.transpose(0, 2, 1), ds)
+            ds -= ((dh * seen) @ ones[:DIM]).reshape(n, width, 1)
+            ds *= a
+            g_far[:] = np.bincount(gaps.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), width)
+            for i, found in enumerate((np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d))):
+                back[:, i * DIM : (i + 1) * DIM] = found.reshape(size, DIM)
+            h *= whole[:, None]
+            some = (-1, (4 if n % 4 == 0 else 1) * width)  # several times as fast as all in one
+            for left, right, grads in ((x, back, g_all4), (h, e, g_out)):
+                np.matmul(left.reshape(*some, DIM).transpose(0, 2, 1), right.reshape(*some, right.shape[1])).sum(0, out=grads)
+            np.matmul(whole, e, g_bias)
+            np.matmul(back, all4.T, x)
             rate = top * min(1, step / 30) * (1 - 0.9 * min(1, step / steps))
-            for n, g in grads.items():
-                first[n] += 0.1 * (g - first[n])
-                second[n] += 0.01 * (g * g - second[n])
-                p[n] -= (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            rows, back = np.unique(ids[:, :-1], return_inverse=True)
-            g = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(g, back.ravel(), two(dx))
-            self.steepness[rows] += g * g  # Adagrad: most ids are rare
-            p["embed"][rows] -= 2.5 * top * g / (np.sqrt(self.steepness[rows]) + 1e-6)
+            first += np.float32(0.1) * (grad - first)
+            second += np.float32(0.01) * (grad * grad - second)
+            theta -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            order = np.argsort(flat.astype(np.uint16) if len(embed) <= 1 << 16 else flat, kind="stable")
+            ascending = flat[order]
+            begin = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
+            rows, g = ascending[begin], np.add.reduceat(x.take(order, 0), begin, 0)
+            steepness = self.steepness.take(rows, 0) + g * g  # Adagrad: most ids are rare
+            self.steepness[rows] = steepness
+            embed[rows] -= np.float32(2.5 * top) * g / (np.sqrt(steepness) + np.float32(1e-6))
+        for name, z in zip(names, (*np.split(all4, 4, 1), out, bias, far)):
+            p[name] = z.copy()
         return self
 
     def follow(self, top: np.ndarray, leaders: np.ndarray, after: np.ndarray) -> None:

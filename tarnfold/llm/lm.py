@@ -5,10 +5,11 @@ table; scoring takes the most frequent ones along to every worker (``COMMON`` at
 bytes, as hashes), and joins the rest, whose keys are rare, by shuffle.  Subword counts come from the word
 counts, each distinct word encoded once; they are as many as the vocabulary.
 
-The attention weights are fitted on windows from anywhere in all training documents, one for ``SPACING``
-subwords, so that they grow with the corpus.  Windows are dealt to learners, ``EACH`` to one.  The first
-learner's model is where the others start; each goes on with its own windows, on the executors, and the
-models' parameters are averaged, row by row.  What stands beside what is counted in the same windows.
+The model learns from all training documents: their subwords are laid in a row, an end between two texts, and cut
+into windows, so that each subword and each end is predicted once (a small corpus has more windows, see ``each_more``).
+Windows are dealt to learners, ``EACH`` to one on average.  The first learner's model is where the others start; each
+goes on with its own windows, on the executors, and the models' parameters are averaged, row by row.  What stands beside
+what, and what follows what, is counted over all of it.
 
 Texts are read as their words, ASCII letters in lower case, one space before each.
 
@@ -33,11 +34,11 @@ from .words import Encoder, batches, tokenizer_path
 
 #: Words that every worker has the counts of, at most, and the bytes of the longest of them.
 COMMON, LONGEST = 200_000, 64
-#: Subwords of the training documents for each window that the attention model learns from (more windows if there would be fewer steps than STEPS).
-SPACING = 400
 #: Windows of a learner, on average.
 EACH = STEPS * BATCH
 WIDTH = 2 * BLOCK + 1
+#: Windows that a task mixes before it deals them into steps, and pairs of ids that it counts together.
+MIXED, PAIRS = 256 * BATCH, 1 << 19
 END_ID = 50256
 SIZE = 50257
 
@@ -145,82 +146,110 @@ def stretches(texts: list[bytes], each: float, most: int = 60 * WIDTH) -> tuple[
     return out, limits, [t for t in short if t]
 
 
-def learnt_from(training: DataFrame, counts: np.ndarray, path: str, each: float) -> DataFrame:
-    """From (text): rows of windows (``ids``), and rows of neighbour counts in them (``cell`` of neighbours(), ``n``).
+def cut_up(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WIDTH): windows in which every id of ``row`` but its first is predicted once, and the rest that fills none, with the id before it."""
+    n = (len(row) - 1) // (WIDTH - 1)
+    return row[(np.arange(n) * (WIDTH - 1))[:, None] + np.arange(WIDTH)], row[n * (WIDTH - 1) :]
 
-    If windows are few beside the texts, only the stretches that they come from are encoded.
+
+def learnt_from(training: DataFrame, counts: np.ndarray, path: str, each_more: float = 0.0) -> DataFrame:
+    """From (text): rows of windows (``ids``, one after the other, ``n``: how many pairs at their beginning stand in another
+    row too), and rows of neighbour counts (``cell`` of neighbours(), ``n``).  All texts are in them as a whole.
+
+    ``each_more``: windows from anywhere beside those, for every subword on average.
     """
     top, place, wide = frequent(counts)
 
-    def spans(found):
-        ids, ends = found.ids()
-        return [ids[a:b] for a, b in zip(ends[found.at[:-1]].tolist(), ends[found.at[1:]].tolist())]
-
     def encode(rows):
         import pyarrow as pa
 
         near = np.zeros((len(top), 2 * wide), np.int64)
+        rest = before = np.array([END_ID], "<u2")  # what is in no window yet, and what stands there before it
+        pools: dict[bool, list] = {False: [], True: []}  # windows of the row, more windows
+        pending = [rest]  # what neighbours are not counted in yet
+
+        def count():
+            found = np.concatenate(pending)
+            near[:] += neighbours(found[:-1], found[1:], place, len(top), wide)
+            pending[:] = [found[-1:]]
+
+        def table(windows: list, elsewhere: list):
+            return pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows], pa.binary()), pa.nulls(len(windows), pa.int64()), pa.array(elsewhere, pa.int64())], ["ids", "cell", "n"])
+
+        def dealt(more: bool, least: int):
+            if sum(map(len, pools[more])) >= least:
+                found = np.concatenate(pools[more])
+                found = found[np.random.default_rng(zlib.crc32(found[0].tobytes())).permutation(len(found))]
+                keep = len(found) % BATCH if least > 1 else 0
+                pools[more] = [found[len(found) - keep :]]
+                steps = [found[i : i + BATCH] for i in range(0, len(found) - keep, BATCH)]
+                yield table(steps, [len(w) * (WIDTH - 1) * more for w in steps])
+
         with Encoder.lent(path) as encoder:
             for batch in batches(rows):
-                texts = batch.column("text").to_pylist()
-                some, limits, out = [], [], []
-                if each * WIDTH < 0.5:
-                    some, limits, texts = stretches([t.encode() for t in texts], each / 2.7)  # a subword has about so many bytes
-                else:
-                    texts = [t for t in map(lower_words, texts) if t]
-                if some:
-                    for ids, limit in zip(spans(encoder.grouped(some, breaks=False)), limits):
-                        own = np.concatenate(([END_ID] * (limit & 1), ids, [END_ID] * (limit >> 1)))
-                        if len(own) >= WIDTH:
-                            out.append(own[-WIDTH:] if limit & 2 else own[:WIDTH])
-                if texts:
-                    for ids in spans(encoder.grouped(texts, breaks=False)):
-                        out.extend(windows_of(ids, each))
-                if out:
-                    found = np.array(out, "<u2")
-                    near += neighbours(found[:, :-1].ravel(), found[:, 1:].ravel(), place, len(top), wide)
-                    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in found], pa.binary()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], ["ids", "cell", "n"])
+                texts = list(map(lower_words, batch.column("text").to_pylist()))
+                full = [t for t in texts if t]
+                own = np.full(len(texts) - len(full), END_ID, "<u2")  # the ends of empty texts
+                if full:
+                    found = encoder.grouped(full, breaks=False)
+                    ids, ends = found.ids()
+                    ends = ends[found.at[1:]]
+                    if each_more:
+                        pools[True] += [windows_of(x, each_more) for x in np.split(ids, ends[:-1])]
+                    own = np.concatenate((np.insert(ids, ends, END_ID), own)).astype("<u2")
+                pending.append(own)
+                if sum(map(len, pending)) > PAIRS:
+                    count()
+                before = np.concatenate((before, own))[-WIDTH:]
+                windows, rest = cut_up(np.concatenate((rest, own)))
+                pools[False].append(windows)
+                for more in pools:
+                    yield from dealt(more, MIXED)
+        for more in pools:
+            yield from dealt(more, 1)
+        if len(rest) > 1:  # filled up with what stands before it, or with itself
+            if len(before) < WIDTH:
+                before = np.append(np.tile(before[:-1], -(-WIDTH // (len(before) - 1))), before[-1:])[-WIDTH:]
+            yield table([before], [WIDTH - len(rest)])
+        count()
         at = np.flatnonzero(near)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(near.ravel()[at])], ["ids", "cell", "n"])
 
     return training.select(whole_text().alias("text")).mapInArrow(encode, "ids binary, cell long, n long")
 
 
-def steps_of(windows: list[bytes]):
-    """Batches of ids for Attention.learn(), in an order of their own."""
-    windows = sorted(windows, key=zlib.crc32)
-    for i in range(0, len(windows), BATCH):
-        part = windows[i : i + BATCH]
-        yield np.frombuffer(b"".join(part), "<u2").reshape(len(part), -1).astype(np.int64)
+def steps_of(rows: list[bytes]) -> tuple:
+    """Batches of ids for Attention.learn(), from rows of windows, in an order of their own; and how many they are."""
+    found = np.frombuffer(b"".join(sorted(rows, key=zlib.crc32)), "<u2").reshape(-1, WIDTH)
+    return (found[i : i + BATCH].astype(np.int64) for i in range(0, len(found), BATCH)), -(-len(found) // BATCH)
 
 
-def trained(training: DataFrame, counts: np.ndarray, path: str, spacing: int = SPACING, each_learner: int = EACH) -> Attention:
-    """The attention model, fitted on windows from all of (text); ``counts`` are those of its ids."""
+def trained(training: DataFrame, counts: np.ndarray, path: str, each_learner: int = EACH) -> Attention:
+    """The attention model, fitted on all of (text); ``counts`` are those of its ids."""
     total = counts.sum()
     if not total:
         return Attention(np.zeros(SIZE), np.arange(SIZE) % CLASSES, END_ID)
-    wanted = max(total / spacing, STEPS * BATCH)
-    found = stored(learnt_from(training, counts, path, wanted / total), "learnt")
+    wanted = max(total / (WIDTH - 1), STEPS * BATCH)
+    found = stored(learnt_from(training, counts, path, wanted / total - 1 / (WIDTH - 1)), "learnt")
     top, _, wide = frequent(counts)
     sums = found.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 1500 * 600 numbers
     near = np.zeros(len(top) * 2 * wide)
     near[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     kind = classes_of(counts, near.reshape(len(top), 2 * wide), counts, Encoder.shared(path).opens)
-    windows = found.where("ids IS NOT NULL").select("ids")
-    n_learners = max(1, round(windows.count() / each_learner))
-    windows = windows.withColumn("learner", F.pmod(F.xxhash64("ids"), F.lit(n_learners)))
+    n_learners = max(1, round(wanted / each_learner))
+    windows = found.where("ids IS NOT NULL").select("ids", "n", F.pmod(F.xxhash64("ids"), F.lit(n_learners)).alias("learner"))
     first = windows.where("learner = 0").select("ids").toArrow().column("ids").to_pylist()  # about each_learner * 66 bytes
     model = Attention(counts, kind, END_ID)
-    model.learn(steps_of(first), -(-len(first) // BATCH))
-    often = np.argsort(-counts, kind="stable")[:FOLLOWERS]
-    model.follow(often, often[:LEADERS], followers(windows.select("ids"), kind, often))
+    model.learn(*steps_of(first))
     if n_learners > 1:
-        _go_on(model, windows.where("learner > 0"), n_learners - 1)
+        _go_on(model, windows.where("learner > 0").select("ids", "learner"), n_learners - 1)
+    often = np.argsort(-counts, kind="stable")[:FOLLOWERS]
+    model.follow(often, often[:LEADERS], followers(windows.select("ids", "n"), kind, often))
     return model
 
 
 def followers(windows: DataFrame, kind: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """(CLASSES + leaders, len(top)): how often each id of ``top`` stands after an id of a class, and after each of the first LEADERS of ``top``, in windows (``ids``)."""
+    """(CLASSES + leaders, len(top)): how often each id of ``top`` stands after an id of a class, and after each of the first LEADERS of ``top``, in rows of windows (``ids``) without their first ``n`` pairs."""
     place = np.full(len(kind), -1)
     place[top] = np.arange(len(top))
     n_rows = CLASSES + min(LEADERS, len(top))
@@ -228,14 +257,17 @@ def followers(windows: DataFrame, kind: np.ndarray, top: np.ndarray) -> np.ndarr
     def count(rows):
         import pyarrow as pa
 
-        total = np.zeros(n_rows * len(top), np.int32)
+        total, one = np.zeros(n_rows * len(top), np.int32), np.int32(1)
         for batch in rows:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2").reshape(-1, WIDTH)
-            before, after = ids[:, :-1].ravel(), place[ids[:, 1:].ravel()]
-            leader = place[before]
-            for row, ok in ((kind[before], after >= 0), (CLASSES + leader, (after >= 0) & (leader >= 0) & (leader < n_rows - CLASSES))):
-                cell, n = np.unique(row[ok] * len(top) + after[ok], return_counts=True)
-                total[cell] += n.astype(np.int32)
+            for some, elsewhere in zip(batch.column("ids"), batch.column("n").to_pylist()):
+                ids = np.frombuffer(some.as_buffer(), "<u2").reshape(-1, WIDTH)
+                before, after = ids[:, :-1].ravel()[elsewhere:], place[ids[:, 1:].ravel()[elsewhere:]]
+                ok = after >= 0
+                before, after = before[ok], after[ok]
+                np.add.at(total, kind[before] * len(top) + after, one)
+                leader = place[before]
+                ok = (leader >= 0) & (leader < n_rows - CLASSES)
+                np.add.at(total, (CLASSES + leader[ok]) * len(top) + after[ok], one)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
@@ -259,8 +291,7 @@ def _go_on(model: Attention, windows: DataFrame, n_learners: int) -> None:
 
         own = copy.deepcopy(shared.value)
         before = own.rows()[0]
-        ids = t.column("ids").to_pylist()
-        own.learn(steps_of(ids), -(-len(ids) // BATCH), rate=0.004)
+        own.learn(*steps_of(t.column("ids").to_pylist()), rate=0.004)
         change = own.rows()[0] - before
         at = np.flatnonzero(np.abs(change).max(1) > 0)
         return pa.table([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(change[at].ravel().astype(np.float32)), DIM).cast(pa.list_(pa.float32()))], ["row", "change"])

@@ -178,3 +178,51 @@ def test_common_words_stay_within_their_number(spark):
     words = spark.createDataFrame([(f"w{i}", 1000 - i) for i in range(900)] + [("x" * 100, 5000)], "word string, n long")
     keys, counts = lm.common_words(words, 100)
     assert 50 < len(keys) <= 100 and (np.diff(keys.astype(object)) > 0).all() and sorted(counts) == sorted(range(1000, 1000 - len(keys), -1))
+
+
+def test_every_training_subword_is_learnt_from_once(spark):
+    """What stands beside what and what follows what is that of all texts, however many, and windows have each pair once."""
+    dice = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in dice.zipf(1.3, n) % 300) for n in [*dice.integers(0, 400, 3000), 9000, 1]] + [None, "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = lm.tokenizer_path()
+    encoder = lm.Encoder(path)
+    pairs = []
+    for t in texts:
+        ids = encoder._ids(" " + lm.lower_words(t).decode()).astype(np.int64) if (t or "").split() else np.zeros(0, np.int64)
+        pairs.append(np.stack((np.append(lm.END_ID, ids), np.append(ids, lm.END_ID)), 1))
+    pairs = np.concatenate(pairs)
+    counts = np.bincount(pairs[:, 1], minlength=lm.SIZE).astype(float)
+    key = lambda a, b: a.astype(np.int64) * lm.SIZE + b
+    found = lm.learnt_from(docs, counts, path).collect()
+    seen = []
+    for r in found:
+        if r.ids is not None:
+            w = np.frombuffer(r.ids, "<u2").reshape(-1, lm.WIDTH)
+            seen.append(key(w[:, :-1].ravel()[r.n :], w[:, 1:].ravel()[r.n :]))
+    assert (np.sort(np.concatenate(seen)) == np.sort(key(*pairs.T))).all()
+    top, place, wide = attention.frequent(counts)
+    near = np.zeros((len(top), 2 * wide), np.int64)
+    for r in found:
+        if r.cell is not None:
+            near.ravel()[r.cell] += r.n
+    assert (near == attention.neighbours(*pairs.T, place, len(top), wide)).all()
+    model = lm.trained(docs, counts, path, each_learner=lm.EACH // 4)
+    n = int((counts > 0).sum())
+    assert set(model.top[:n]) == set(np.unique(pairs[:, 1])) and model.after.sum() == len(pairs) + np.isin(pairs[:, 0], model.leaders).sum()
+    for leader in model.leaders[:40].tolist():
+        after = np.bincount(pairs[pairs[:, 0] == leader, 1], minlength=lm.SIZE)
+        assert (model.after[attention.CLASSES + model.leaders.tolist().index(leader)] == after[model.top]).all()
+
+
+def test_gradients_stop_at_the_end_before_a_text():
+    """What stands before an end learns nothing from what comes after it."""
+    moved = []
+    for last in (40, 41):
+        m = attention.Attention(np.ones(64), np.arange(64) % attention.CLASSES, 63)
+        m.p["out"][:] = np.random.default_rng(3).normal(size=m.p["out"].shape)
+        before = m.p["embed"].copy()
+        ids = np.concatenate((np.arange(10), [63], np.arange(20, 41), [last]))
+        m.learn([np.tile(ids, (8, 1))], 1)
+        moved.append(m.p["embed"] - before)
+    assert (moved[0][:10] == moved[1][:10]).all() and (moved[0][:10] != 0).any() and (moved[0][20:41] != moved[1][20:41]).any()
