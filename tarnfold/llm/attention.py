@@ -135,12 +135,13 @@ class Attention:
                 wide = lambda *shape: np.empty(shape, np.float32)
                 room = {n: (wide(size, DIM), wide(size, 4 * DIM), wide(n, width, width), wide(n, width, width), wide(size, DIM), wide(size, CLASSES), wide(size, DIM), wide(size, 4 * DIM))}
             x, mixed, a, ds, h, e, dh, back = room[n]
+            parts = lambda z: z.reshape(-1, (4 if n % 4 == 0 else 1) * width, z.shape[1])  # noqa: E731  products by parts are faster
             before = ids[:, :-1]
             flat = before.ravel()
-            embed.take(flat, 0, x)
-            np.matmul(x, all4, mixed)
-            q, k, v = (np.ascontiguousarray(mixed.reshape(n, width, 4 * DIM)[:, :, i * DIM : (i + 1) * DIM]) for i in range(3))
-            q *= scale
+            embed.take(flat, 0, x, "clip")
+            np.matmul(parts(x), all4, parts(mixed))
+            q, k, v = (mixed.reshape(n, width, 4 * DIM)[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+            q = q * scale
             np.matmul(q, k.transpose(0, 2, 1), a)
             np.clip(a, -40, 40, a)
             np.exp(a, a)
@@ -154,15 +155,15 @@ class Attention:
             seen *= part
             np.add(seen, mixed[:, 3 * DIM :], h)
             np.tanh(h, h)
-            np.matmul(h, out, e)
+            np.matmul(parts(h), out, parts(e))
             e += bias
             if np.abs(out).sum(0).max() + np.abs(bias).max() > 60:
                 e -= e.max(1, keepdims=True)
             np.exp(e, e)
             whole = e @ ones[:CLASSES]
-            e.ravel()[np.arange(0, size * CLASSES, CLASSES) + self.kind[ids[:, 1:].ravel()]] -= whole
+            e.ravel()[np.arange(0, size * CLASSES, CLASSES) + self.kind.take(ids[:, 1:].ravel())] -= whole
             whole = 1 / (size * whole)
-            np.matmul(e, out.T, dh)
+            np.matmul(parts(e), out.T.copy(), parts(dh))
             dh *= (1 - h * h) * whole[:, None]
             back[:, 3 * DIM :] = dh
             dh *= part
@@ -174,11 +175,10 @@ class Attention:
             for i, found in enumerate((np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d))):
                 back[:, i * DIM : (i + 1) * DIM] = found.reshape(size, DIM)
             h *= whole[:, None]
-            some = (-1, (4 if n % 4 == 0 else 1) * width)  # several times as fast as all in one
             for left, right, grads in ((x, back, g_all4), (h, e, g_out)):
-                np.matmul(left.reshape(*some, DIM).transpose(0, 2, 1), right.reshape(*some, right.shape[1])).sum(0, out=grads)
+                np.matmul(parts(left).transpose(0, 2, 1), parts(right)).sum(0, out=grads)
             np.matmul(whole, e, g_bias)
-            np.matmul(back, all4.T, x)
+            np.matmul(parts(back), all4.T.copy(), parts(x))
             rate = top * min(1, step / 30) * (1 - 0.9 * min(1, step / steps))
             first += np.float32(0.1) * (grad - first)
             second += np.float32(0.01) * (grad * grad - second)
@@ -189,7 +189,7 @@ class Attention:
             rows, g = ascending[begin], np.add.reduceat(x.take(order, 0), begin, 0)
             steepness = self.steepness.take(rows, 0) + g * g  # Adagrad: most ids are rare
             self.steepness[rows] = steepness
-            embed[rows] -= np.float32(2.5 * top) * g / (np.sqrt(steepness) + np.float32(1e-6))
+            embed[rows] = embed.take(rows, 0) - np.float32(2.5 * top) * g / (np.sqrt(steepness) + np.float32(1e-6))
         for name, z in zip(names, (*np.split(all4, 4, 1), out, bias, far)):
             p[name] = z.copy()
         return self
@@ -277,9 +277,9 @@ class Scorer:
             b = min(size, a + step)
             n = (b - a) // BLOCK
             own = ids[a - BLOCK : b]
-            seen = self.seen[own].reshape(n + 1, BLOCK, -1)
+            seen = self.seen.take(own, 0).reshape(n + 1, BLOCK, -1)
             seen = np.concatenate((seen[:-1], seen[1:]), 1)
-            asks = self.asks[own[BLOCK:]]
+            asks = self.asks.take(own[BLOCK:], 0)
             s = np.matmul(asks[:, : DIM + 1].reshape(n, BLOCK, DIM + 1), seen[:, :, : DIM + 1].transpose(0, 2, 1))
             if self.steep:
                 np.minimum(s, 60, out=s)
@@ -289,9 +289,9 @@ class Scorer:
             mixed = mixed[:, :, :DIM] / (mixed[:, :, DIM:] + np.float32(1e-30))
             h = hidden[: b - a]
             np.tanh(mixed.reshape(b - a, DIM) + asks[:, DIM + 1 :], out=h[:, :DIM])
-            logit = h @ self.out
-            mine = logit.ravel()[np.arange(0, (b - a) * width, width) + self.kind[goal[a:b]]]
+            logit = (h.reshape(-1, (8 if n % 8 == 0 else 1) * BLOCK, DIM + 1) @ self.out).reshape(b - a, width)  # by parts, which is faster
+            mine = logit.ravel().take(np.arange(0, (b - a) * width, width) + self.kind.take(goal[a:b]))
             np.exp(logit, out=logit)
             next_ = goal[a:b]
-            found[a:b] = mine - np.log(logit @ ones) + self.within[next_] + self.ratio.ravel()[self.row[own[BLOCK:]] + self.column[next_]]
+            found[a:b] = mine - np.log(logit @ ones) + self.within.take(next_) + self.ratio.ravel().take(self.row.take(own[BLOCK:]) + self.column.take(next_))
         return np.array([found[s : s + n].sum(dtype=np.float64) for s, n in zip(starts.tolist(), lengths.tolist())]) / np.log(10)
