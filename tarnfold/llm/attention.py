@@ -19,6 +19,8 @@ DIM = 16
 BLOCK = 16
 STEPS = 1200
 BATCH = 96
+#: Windows of a step that are worked on together, so that what they need stays in the cache.
+PART = 32
 #: Ids whose share of what follows is counted, the most frequent ones, ids that have followers of their own beside their
 #: class, and the weight of the coarser share, in counts.
 FOLLOWERS, LEADERS, TOWARDS = 4096, 512, 20.0
@@ -119,78 +121,104 @@ class Attention:
         p, top = self.p, rate
         names = ("q", "k", "v", "r", "out", "bias", "far")
         theta = np.concatenate([np.concatenate([p[n] for n in "qkvr"], 1).ravel(), p["out"].ravel(), p["bias"], p["far"]])
-        into = lambda z: (z[: 4 * DIM * DIM].reshape(DIM, 4 * DIM), z[4 * DIM * DIM : -CLASSES - width].reshape(DIM, CLASSES), z[-CLASSES - width : -width], z[-width:])
-        all4, out, bias, far = into(theta)
+        into = lambda z: (z[: 4 * DIM * DIM].reshape(DIM, 4 * DIM), z[4 * DIM * DIM : -width].reshape(DIM + 1, CLASSES), z[-width:])  # noqa: E731  the bias is one more row of the output
+        all4, out, far = into(theta)
         first, second, grad = (np.zeros_like(theta) for _ in range(3))
-        g_all4, g_out, g_bias, g_far = into(grad)
+        g_all4, g_out, g_far = into(grad)
         gap = np.arange(width)[:, None] - np.arange(width)[None, :]
         gaps, sees = np.maximum(gap, 0), (gap >= 0).astype(np.float32)
-        ones = np.ones(max(width, CLASSES), np.float32)
-        embed, scale = p["embed"], np.float32(DIM**-0.5)
-        room: dict = {}  # arrays that steps of one size use again
+        ones = np.ones(max(width, CLASSES, PART), np.float32)
+        scale = np.ones(4 * DIM, np.float32)  # queries are scaled by their weights
+        scale[:DIM] = DIM**-0.5
+        embed = p["embed"]
+        room: dict = {}  # arrays that parts of one size use again
         for step, ids in enumerate(windows, 1):
-            n = len(ids)
-            size = n * width
-            if n not in room:
-                wide = lambda *shape: np.empty(shape, np.float32)
-                room = {n: (wide(size, DIM), wide(size, 4 * DIM), wide(n, width, width), wide(n, width, width), wide(size, DIM), wide(size, CLASSES), wide(size, DIM), wide(size, 4 * DIM))}
-            x, mixed, a, ds, h, e, dh, back = room[n]
-            parts = lambda z: z.reshape(-1, (4 if n % 4 == 0 else 1) * width, z.shape[1])  # noqa: E731  products by parts are faster
-            before = ids[:, :-1]
-            flat = before.ravel()
-            embed.take(flat, 0, x, "clip")
-            np.matmul(parts(x), all4, parts(mixed))
-            q, k, v = (mixed.reshape(n, width, 4 * DIM)[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
-            q = q * scale
-            np.matmul(q, k.transpose(0, 2, 1), a)
-            np.clip(a, -40, 40, a)
-            np.exp(a, a)
-            a *= np.exp(np.clip(far, -10, 10))[gaps] * sees
-            cut = np.flatnonzero((before[:, 1:] == self.end).any(1))
-            if len(cut):
-                text = np.cumsum(before[cut] == self.end, 1)
-                a[cut] *= text[:, :, None] == text[:, None, :]
-            part = 1 / (a.reshape(size, width) @ ones[:width])[:, None]
-            seen = np.matmul(a, v).reshape(size, DIM)
-            seen *= part
-            np.add(seen, mixed[:, 3 * DIM :], h)
-            np.tanh(h, h)
-            np.matmul(parts(h), out, parts(e))
-            e += bias
-            if np.abs(out).sum(0).max() + np.abs(bias).max() > 60:
-                e -= e.max(1, keepdims=True)
-            np.exp(e, e)
-            whole = e @ ones[:CLASSES]
-            e.ravel()[np.arange(0, size * CLASSES, CLASSES) + self.kind.take(ids[:, 1:].ravel())] -= whole
-            whole = 1 / (size * whole)
-            np.matmul(parts(e), out.T.copy(), parts(dh))
-            dh *= (1 - h * h) * whole[:, None]
-            back[:, 3 * DIM :] = dh
-            dh *= part
-            d = dh.reshape(n, width, DIM)
-            np.matmul(d, v.transpose(0, 2, 1), ds)
-            ds -= ((dh * seen) @ ones[:DIM]).reshape(n, width, 1)
-            ds *= a
-            g_far[:] = np.bincount(gaps.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), width)
-            for i, found in enumerate((np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d))):
-                back[:, i * DIM : (i + 1) * DIM] = found.reshape(size, DIM)
-            h *= whole[:, None]
-            for left, right, grads in ((x, back, g_all4), (h, e, g_out)):
-                np.matmul(parts(left).transpose(0, 2, 1), parts(right)).sum(0, out=grads)
-            np.matmul(whole, e, g_bias)
-            np.matmul(parts(back), all4.T.copy(), parts(x))
+            total = len(ids) * width
+            flat = ids[:, :-1].ravel()
+            goals = self.kind.take(ids[:, 1:].ravel())
+            order = np.argsort(flat.astype(np.uint16) if len(embed) <= 1 << 16 else flat, kind="stable")
+            ascending = flat.take(order)
+            new = np.concatenate(([True], ascending[1:] != ascending[:-1]))
+            begin = np.flatnonzero(new)
+            rows = ascending.take(begin)
+            which = np.empty(total, np.int64)
+            which[order] = np.cumsum(new) - 1
+            # what comes from one id only is worked out once for each, and so is what goes back to it
+            x = embed.take(rows, 0)
+            weights = all4 * scale
+            looked_up = x @ weights
+            clash = (np.abs(looked_up[:, :DIM]).max(0) @ np.abs(looked_up[:, DIM : 2 * DIM]).max(0)) > 40
+            steep = np.abs(out[:DIM]).sum(0).max() + np.abs(out[DIM]).max() > 60
+            out_t = out[:DIM].T.copy()
+            fade = np.exp(np.clip(far, -10, 10))[gaps] * sees
+            back = np.empty((total, 4 * DIM), np.float32)
+            g_out[:] = 0
+            g_fade = np.zeros(width * width, np.float32)
+            for low in range(0, len(ids), PART):
+                before = ids[low : low + PART, :-1]
+                n = len(before)
+                size = n * width
+                own = slice(low * width, low * width + size)
+                if n not in room:
+                    wide = lambda *shape: np.empty(shape, np.float32)
+                    room[n] = (wide(size, 4 * DIM), wide(n, width, width), wide(n, width, width), wide(size, DIM), np.ones((size, DIM + 1), np.float32), wide(size, CLASSES), wide(size, DIM), wide(size, DIM), np.arange(0, size * CLASSES, CLASSES))
+                mixed, a, ds, seen, h, e, dh, slope, at = room[n]
+                parts = lambda z: z.reshape(-1, (8 if n % 8 == 0 else 1) * width, z.shape[1])  # noqa: E731  products by parts are faster
+                looked_up.take(which[own], 0, mixed, "clip")
+                q, k, v = (mixed.reshape(n, width, 4 * DIM)[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+                np.matmul(q, k.transpose(0, 2, 1), a)
+                if clash:
+                    np.clip(a, -40, 40, a)
+                np.exp(a, a)
+                a *= fade
+                for w, i in zip(*(found.tolist() for found in np.nonzero(before[:, 1:] == self.end))):
+                    a[w, i + 1 :, : i + 1] = 0
+                part = 1 / (a.reshape(size, width) @ ones[:width])[:, None]
+                np.matmul(a, v, seen.reshape(n, width, DIM))
+                seen *= part
+                hidden = h[:, :DIM]
+                np.add(seen, mixed[:, 3 * DIM :], dh)
+                np.tanh(dh, hidden)
+                np.matmul(parts(h), out, parts(e))
+                if steep:
+                    e -= e.max(1, keepdims=True)
+                np.exp(e, e)
+                whole = e @ ones[:CLASSES]
+                e.ravel()[at + goals[own]] -= whole
+                whole = (1 / (total * whole))[:, None]
+                np.matmul(parts(e), out_t, parts(dh))
+                np.multiply(hidden, hidden, slope)
+                np.subtract(1, slope, slope)
+                slope *= whole
+                dh *= slope
+                inner = back[own].reshape(n, width, 4 * DIM)
+                inner[:, :, 3 * DIM :] = d = dh.reshape(n, width, DIM)
+                dh *= part
+                np.matmul(d, v.transpose(0, 2, 1), ds)
+                seen *= dh
+                ds -= (seen @ ones[:DIM]).reshape(n, width, 1)
+                ds *= a
+                g_fade += ones[:n] @ ds.reshape(n, -1)
+                np.matmul(ds, k, inner[:, :, :DIM])
+                inner[:, :, DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), q)
+                inner[:, :, 2 * DIM : 3 * DIM] = np.matmul(a.transpose(0, 2, 1), d)
+                h *= whole
+                g_out += (e.T @ h).T
+                h[:, DIM] = 1
+            g_far[:] = np.bincount(gaps.ravel(), g_fade, width)
+            # pairs of numbers are summed as one complex number, which is twice as fast
+            back = np.add.reduceat(back.take(order, 0).view(np.complex64), begin, 0).view(np.float32)
+            np.matmul(x.T, back, g_all4)
+            g_all4 *= scale
+            g = back @ weights.T
             rate = top * min(1, step / 30) * (1 - 0.9 * min(1, step / steps))
             first += np.float32(0.1) * (grad - first)
             second += np.float32(0.01) * (grad * grad - second)
             theta -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-            order = np.argsort(flat.astype(np.uint16) if len(embed) <= 1 << 16 else flat, kind="stable")
-            ascending = flat[order]
-            begin = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
-            rows, g = ascending[begin], np.add.reduceat(x.take(order, 0), begin, 0)
             steepness = self.steepness.take(rows, 0) + g * g  # Adagrad: most ids are rare
             self.steepness[rows] = steepness
-            embed[rows] = embed.take(rows, 0) - np.float32(2.5 * top) * g / (np.sqrt(steepness) + np.float32(1e-6))
-        for name, z in zip(names, (*np.split(all4, 4, 1), out, bias, far)):
+            embed[rows] = x - np.float32(2.5 * top) * g / (np.sqrt(steepness) + np.float32(1e-6))
+        for name, z in zip(names, (*np.split(all4, 4, 1), out[:DIM], out[DIM], far)):
             p[name] = z.copy()
         return self
 

@@ -11,7 +11,8 @@ Windows are dealt to learners, ``EACH`` to one on average.  The first learner's
 goes on with its own windows, on the executors, and the models' parameters are averaged, row by row.  What stands beside
 what, and what follows what, is counted over all of it.
 
-Texts are read as their words, ASCII letters in lower case, one space before each.
+Texts are read as their words, ASCII letters in lower case, one space before each.  Where the training documents are some of
+the scored ones, each text is encoded once: its ids are stored, learnt from and scored.
 
 Defined results: a null text is empty, and has its end only; repeated rows and ties of doc_id get the same
 scores; a very long text is scored as a whole, alone in its batch; without
@@ -24,7 +25,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import BATCH, BLOCK, CLASSES, DIM, FOLLOWERS, LEADERS, STEPS, Attention, classes_of, frequent, neighbours
@@ -37,6 +38,8 @@ COMMON, LONGEST = 200_000, 64
 #: Windows of a learner, on average.
 EACH = STEPS * BATCH
 WIDTH = 2 * BLOCK + 1
+#: Bytes of ids that are worked on together.
+IDS_TOGETHER = 400_000
 #: Windows that a task mixes before it deals them into steps, and pairs of ids that it counts together.
 MIXED, PAIRS = 256 * BATCH, 1 << 19
 END_ID = 50256
@@ -152,13 +155,42 @@ def cut_up(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[(np.arange(n) * (WIDTH - 1))[:, None] + np.arange(WIDTH)], row[n * (WIDTH - 1) :]
 
 
+def encoded(rows, path: str):
+    """Of batches of ``text``: the ids of all texts in a row, and where each text's end."""
+    with Encoder.lent(path) as encoder:
+        for batch in batches(rows):
+            texts = list(map(lower_words, batch.column("text").to_pylist()))
+            ends, full = np.zeros(len(texts), np.int64), [t for t in texts if t]
+            ids = np.zeros(0, np.uint16)
+            if full:
+                found = encoder.grouped(full, breaks=False)
+                ids, to = found.ids()
+                ends[[i for i, t in enumerate(texts) if t]] = np.diff(to[found.at])
+            yield ids, np.cumsum(ends)
+
+
+def ids_of(rows):
+    """Of batches that have ``ids``: the same as encoded() has of their texts."""
+    for batch in batches(rows, lambda batch: batch.column("ids"), IDS_TOGETHER):
+        yield ids_in(batch.column("ids"))
+
+
+def ids_in(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in an Arrow array of binary values, all in a row, and where each value's end."""
+    limits = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[limits[0] : limits[-1]].view("<u2") if limits[-1] > limits[0] else np.zeros(0, "<u2")
+    return ids, (limits[1:] - limits[0]).astype(np.int64) // 2
+
+
 def learnt_from(training: DataFrame, counts: np.ndarray, path: str, each_more: float = 0.0) -> DataFrame:
-    """From (text): rows of windows (``ids``, one after the other, ``n``: how many pairs at their beginning stand in another
+    """From (text), or from ``ids`` as read() has them: rows of windows (``ids``, one after the other, ``n``: how many pairs at their beginning stand in another
     row too), and rows of neighbour counts (``cell`` of neighbours(), ``n``).  All texts are in them as a whole.
 
     ``each_more``: windows from anywhere beside those, for every subword on average.
     """
     top, place, wide = frequent(counts)
+    texts = "text" in training.columns
 
     def encode(rows):
         import pyarrow as pa
@@ -185,26 +217,18 @@ def learnt_from(training: DataFrame, counts: np.ndarray, path: str, each_more: f
                 steps = [found[i : i + BATCH] for i in range(0, len(found) - keep, BATCH)]
                 yield table(steps, [len(w) * (WIDTH - 1) * more for w in steps])
 
-        with Encoder.lent(path) as encoder:
-            for batch in batches(rows):
-                texts = list(map(lower_words, batch.column("text").to_pylist()))
-                full = [t for t in texts if t]
-                own = np.full(len(texts) - len(full), END_ID, "<u2")  # the ends of empty texts
-                if full:
-                    found = encoder.grouped(full, breaks=False)
-                    ids, ends = found.ids()
-                    ends = ends[found.at[1:]]
-                    if each_more:
-                        pools[True] += [windows_of(x, each_more) for x in np.split(ids, ends[:-1])]
-                    own = np.concatenate((np.insert(ids, ends, END_ID), own)).astype("<u2")
-                pending.append(own)
-                if sum(map(len, pending)) > PAIRS:
-                    count()
-                before = np.concatenate((before, own))[-WIDTH:]
-                windows, rest = cut_up(np.concatenate((rest, own)))
-                pools[False].append(windows)
-                for more in pools:
-                    yield from dealt(more, MIXED)
+        for ids, ends in encoded(rows, path) if texts else ids_of(rows):
+            if each_more:
+                pools[True] += [windows_of(x, each_more) for x in np.split(ids, ends[:-1]) if len(x)]
+            own = np.insert(ids, ends, END_ID).astype("<u2")
+            pending.append(own)
+            if sum(map(len, pending)) > PAIRS:
+                count()
+            before = np.concatenate((before, own))[-WIDTH:]
+            windows, rest = cut_up(np.concatenate((rest, own)))
+            pools[False].append(windows)
+            for more in pools:
+                yield from dealt(more, MIXED)
         for more in pools:
             yield from dealt(more, 1)
         if len(rest) > 1:  # filled up with what stands before it, or with itself
@@ -215,7 +239,7 @@ def learnt_from(training: DataFrame, counts: np.ndarray, path: str, each_more: f
         at = np.flatnonzero(near)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(near.ravel()[at])], ["ids", "cell", "n"])
 
-    return training.select(whole_text().alias("text")).mapInArrow(encode, "ids binary, cell long, n long")
+    return training.select(whole_text().alias("text") if texts else F.col("ids")).mapInArrow(encode, "ids binary, cell long, n long")
 
 
 def steps_of(rows: list[bytes]) -> tuple:
@@ -225,7 +249,7 @@ def steps_of(rows: list[bytes]) -> tuple:
 
 
 def trained(training: DataFrame, counts: np.ndarray, path: str, each_learner: int = EACH) -> Attention:
-    """The attention model, fitted on all of (text); ``counts`` are those of its ids."""
+    """The attention model, fitted on all of (text) or ``ids``; ``counts`` are those of its ids."""
     total = counts.sum()
     if not total:
         return Attention(np.zeros(SIZE), np.arange(SIZE) % CLASSES, END_ID)
@@ -305,31 +329,30 @@ def _go_on(model: Attention, windows: DataFrame, n_learners: int) -> None:
     model.put_rows(rows)
 
 
-def scored(docs: DataFrame, shared, path: str) -> DataFrame:
-    """Per (doc_id, text): what the common words give, the model's score, and the other words with their counts.
+def read(docs: DataFrame, common, path: str, learnt=None) -> DataFrame:
+    """Per (doc_id, text): its ids, what the common words give, the other words with their counts, and whether ``learnt`` holds.
 
-    ``shared`` broadcasts common_words() and a Scorer.  ``row`` numbers the rows; store the result before it is used twice.
+    ``common`` broadcasts common_words().  ``row`` numbers the rows; store the result before it is used twice.
     """
 
-    def score(rows):
+    def count(rows):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        keys, counts, scorer = shared.value
+        keys, counts = common.value
         logs = np.log10(counts + 1)
         row = TaskContext.get().partitionId() << 36
         with Encoder.lent(path) as encoder:
             for batch in batches(rows):
                 texts = list(map(lower_words, batch.column("text").to_pylist()))
                 n, full = len(texts), np.array([i for i, t in enumerate(texts) if t], np.int64)
-                words, known, base, rare = (np.zeros(n, t) for t in (np.int64, np.int64, np.float64, np.int64))
-                docs: list = [np.zeros(0, np.uint16)] * n
+                words, known, base, rare, sizes = (np.zeros(n, t) for t in (np.int64, np.int64, np.float64, np.int64, np.int64))
+                ids = np.zeros(0, np.uint16)
                 others = pa.StructArray.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32())], ["word", "tf"])
                 if len(full):
                     found = encoder.grouped([texts[i] for i in full], breaks=False)
                     ids, ends = found.ids()
-                    for i, a, b in zip(full.tolist(), ends[found.at[:-1]].tolist(), ends[found.at[1:]].tolist()):
-                        docs[i] = ids[a:b]
+                    sizes[full] = np.diff(ends[found.at])
                     own = np.zeros(len(found.keys))
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, found.keys), len(keys) - 1)
@@ -343,38 +366,62 @@ def scored(docs: DataFrame, shared, path: str) -> DataFrame:
                     pair, tf = np.unique(whose * len(own) + found.which[out], return_counts=True)
                     rare = np.bincount(pair // len(own), minlength=n)
                     others = pa.StructArray.from_arrays([found.words(pair % len(own)).cast(pa.string()), pa.array(tf, pa.int32())], ["word", "tf"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare))), pa.int32()), others)
-                columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array(words + 1), pa.array(known), pa.array(base), pa.array(scorer.score(docs)), lists]
+                limits = lambda each, size=1: pa.array(np.concatenate(([0], np.cumsum(each) * size)), pa.int32())
+                lists = pa.ListArray.from_arrays(limits(rare), others)
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, limits(sizes, 2).buffers()[1], pa.py_buffer(ids.astype("<u2").tobytes())])
+                columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), batch.column("learnt"), pa.array(words + 1), pa.array(known), pa.array(base), lists, binary]
                 row += n
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_tokens", "known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "learnt", "n_tokens", "known", "base", "rare", "ids"])
+
+    schema = "doc_id long, row long, learnt boolean, n_tokens long, known long, base double, rare array<struct<word: string, tf: int>>, ids binary"
+    learnt = F.lit(False) if learnt is None else F.coalesce(learnt, F.lit(False))
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), learnt.alias("learnt")).mapInArrow(count, schema)
+
+
+def scored(found: DataFrame, shared) -> DataFrame:
+    """The rows of read() with the model's score in place of ids; ``shared`` broadcasts a Scorer."""
+    names = ["doc_id", "row", "n_tokens", "known", "base"]
 
-    schema = "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<struct<word: string, tf: int>>"
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(score, schema)
+    def score(rows):
+        import pyarrow as pa
+
+        for batch in batches(rows, lambda batch: batch.column("ids"), IDS_TOGETHER):
+            ids, ends = ids_in(batch.column("ids"))
+            scores = shared.value.score(np.split(ids, ends[:-1]))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(scores)], [*names, "score"])
 
+    return found.select(*names, "ids").mapInArrow(score, "doc_id long, row long, n_tokens long, known long, base double, score double")
 
-def language_scores(docs: DataFrame, training: DataFrame, path: str | None = None, n_common: int = COMMON) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for ``docs``, learning from ``training``."""
+
+def language_scores(docs: DataFrame, training: DataFrame | Column, path: str | None = None, n_common: int = COMMON) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for ``docs``, learning from ``training``: other documents, or those of ``docs`` for which it holds, which are then encoded once."""
     path = path or tokenizer_path()
-    counts = stored(word_counts(training, path), "words")
+    others = isinstance(training, DataFrame)
+    chosen = training if others else docs.where(training)
+    counts = stored(word_counts(chosen, path), "words")
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_docs = training.count()
+    n_docs = chosen.count()
     total, distinct = n_words + n_docs, n_distinct + (n_docs > 0)
     subwords = subword_counts(counts, path)
     subwords[END_ID] = n_docs
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast(common_words(counts, n_common))  # at most n_common numbers
+    found = stored(read(docs, common, path, None if others else training), "read")
+    common.destroy()  # else workers keep it
     with scratch():
-        scorer = trained(training, subwords, path).tables()
-    shared = docs.sparkSession.sparkContext.broadcast((*common_words(counts, n_common), scorer))  # at most n_common numbers, and tables by id
-    found = stored(scored(docs, shared, path), "scored")
-    shared.destroy()  # else workers keep it
+        scorer = trained(training if others else found.where("learnt").select("ids"), subwords, path).tables()
+    shared = context.broadcast(scorer)  # tables by id
+    scores = stored(scored(found, shared), "scored")
+    shared.destroy()
     rare = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     rare = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("rare_base"), F.sum("tf").alias("rare_known"))
     end = F.lit(float(np.log10(n_docs + 1.0)))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + end - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))
-    out = found.drop("rare").join(rare, "row", "left")
+    out = scores.join(rare, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9_causal_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = language_scores(docs, docs.where(~held_out_mod(7, 2)))
+    scores = language_scores(docs, ~held_out_mod(7, 2))
     return scores.withColumn("held_out", held_out_mod(7, 2))

@@ -226,3 +226,45 @@ def test_gradients_stop_at_the_end_before_a_text():
         m.learn([np.tile(ids, (8, 1))], 1)
         moved.append(m.p["embed"] - before)
     assert (moved[0][:10] == moved[1][:10]).all() and (moved[0][:10] != 0).any() and (moved[0][20:41] != moved[1][20:41]).any()
+
+
+def test_a_step_by_parts_is_a_step(monkeypatch):
+    """Windows that are worked on together, and ids looked up once, change no gradient."""
+    ids = np.random.default_rng(4).integers(0, 40, (3, 45, lm.WIDTH))
+    ids[:, ::7, 11] = 63
+    found = []
+    for part in (45, 8):
+        monkeypatch.setattr(attention, "PART", part)
+        m = attention.Attention(np.ones(64), np.arange(64) % attention.CLASSES, 63)
+        m.p["out"][:] = np.random.default_rng(3).normal(size=m.p["out"].shape)
+        found.append(m.learn(iter(ids), len(ids)).rows()[0])
+    assert found[0] == pytest.approx(found[1], abs=1e-4) and np.abs(found[0]).max() > 0.1
+
+
+def test_texts_are_encoded_once(spark, odd):
+    """What is stored on the way has the ids of every text; learning and scoring from them is that from texts."""
+    from tarnfold.llm.common import held_out_mod
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text")
+    path, chosen = lm.tokenizer_path(), ~held_out_mod(7, 2)
+    common = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
+    rows = lm.read(docs, common, path, chosen).collect()
+    encoder = lm.Encoder(path)
+    ids = lambda t: encoder._ids(" " + lm.lower_words(t).decode()).astype("<u2").tobytes() if t.split() else b""
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2
+    want = [(str(r.doc_id), ids(r.text or ""), not held(r.doc_id)) for r in docs.collect()]
+    assert sorted((str(r.doc_id), bytes(r.ids), r.learnt) for r in rows) == sorted(want)
+    counts = np.bincount(np.frombuffer(b"".join(i for _, i, ok in want if ok), "<u2"), minlength=lm.SIZE).astype(float)
+    counts[lm.END_ID] = sum(ok for _, _, ok in want)
+    stored = lm.read(docs, common, path, chosen).where("learnt").select("ids").repartition(1)
+    pairs = []
+    for found in (lm.learnt_from(docs.where(chosen).repartition(1), counts, path).collect(), lm.learnt_from(stored, counts, path).collect()):
+        windows = [(np.frombuffer(r.ids, "<u2").reshape(-1, lm.WIDTH).astype(np.int64), r.n) for r in found if r.ids is not None]
+        pairs.append(sum(len(w[:, 1:].ravel()[n:]) for w, n in windows))
+        assert sorted(np.concatenate([w[:, 1:].ravel()[n:] for w, n in windows])) == np.repeat(np.arange(lm.SIZE), counts.astype(int)).tolist()
+    assert pairs[0] == pairs[1] == counts.sum()
+    apart = lm.language_scores(docs, docs.where(chosen)).collect()
+    once = lm.language_scores(docs, chosen).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+    assert sorted(map(key, apart)) == sorted(map(key, once))
+    assert sum(r.score for r in once) == pytest.approx(sum(r.score for r in apart), rel=0.05)
